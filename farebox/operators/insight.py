@@ -10,7 +10,7 @@ from farebox.functions.numbers import change, share
 from farebox.operators import questions
 from farebox.operators.filters import TripFilter
 from farebox.operators.quality import overlapping, quality_totals
-from farebox.operators.questions import ALL, WHOLE
+from farebox.operators.questions import ALL, whole
 from farebox.plans.route import TripStore
 
 # Fixed values of the unusual-day score.
@@ -112,7 +112,7 @@ def zones_share(
     order = [F.desc_nulls_last("value"), F.desc("trips"), F.asc_nulls_last("key")]
     ranked = zones.withColumns(
         {
-            "share": share(F.col("trips"), F.sum("trips").over(WHOLE)),
+            "share": share(F.col("trips"), F.sum("trips").over(whole())),
             "rank": F.row_number().over(Window.orderBy(*order)),
         }
     )
@@ -124,7 +124,7 @@ def breakdown_share(
     store: TripStore, dimension: str, f: TripFilter = ALL, metric: str = "total_trips"
 ) -> DataFrame:
     groups = questions.breakdown(store, dimension, f, metric)
-    return groups.withColumn("share", share(F.col("trips"), F.sum("trips").over(WHOLE)))
+    return groups.withColumn("share", share(F.col("trips"), F.sum("trips").over(whole())))
 
 
 def by_weekday(days: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def weekend_split(store: TripStore, f: TripFilter = ALL) -> DataFrame:
 
 def busiest_buckets(hist: DataFrame, limit: int = 8) -> DataFrame:
     """Histogram buckets with the most trips and their share of all counted trips."""
-    part = share(F.col("trips"), F.sum("trips").over(WHOLE))
+    part = share(F.col("trips"), F.sum("trips").over(whole()))
     return hist.withColumn("share", part).orderBy(F.desc("trips"), "start").limit(limit)
 
 
@@ -172,7 +172,7 @@ def quality_window(runs: DataFrame, periods: DataFrame, start: Column, end: Colu
     covered = overlapping(periods, start, end).select("taxi_type", "data_period", "run_id")
     chosen = runs.join(F.broadcast(covered), ["taxi_type", "data_period", "run_id"], "left_semi")
     totals = quality_totals(chosen)
-    accepted = F.max(F.when(F.col("name") == "accepted_rows", F.col("rows"))).over(WHOLE)
+    accepted = F.max(F.when(F.col("name") == "accepted_rows", F.col("rows"))).over(whole())
     flag_share = F.when(F.col("kind") == "flag", share(F.col("rows"), accepted))
     return totals.withColumn("share_of_accepted", flag_share)
 
@@ -191,13 +191,13 @@ def anomaly_scores(points: DataFrame) -> DataFrame:
         {
             "_enough": enough,
             "_same": F.percentile("value", F.lit(0.5)).over(same),
-            "_all": F.percentile("value", F.lit(0.5)).over(WHOLE),
+            "_all": F.percentile("value", F.lit(0.5)).over(whole()),
         }
     )
     spread = centred.withColumns(
         {
             "_same_mad": F.percentile(F.abs(F.col("value") - F.col("_same")), F.lit(0.5)).over(same),
-            "_all_mad": F.percentile(F.abs(F.col("value") - F.col("_all")), F.lit(0.5)).over(WHOLE),
+            "_all_mad": F.percentile(F.abs(F.col("value") - F.col("_all")), F.lit(0.5)).over(whole()),
         }
     )
     median = F.when(F.col("_enough"), F.col("_same")).otherwise(F.col("_all"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from farebox.functions import labels
@@ -24,11 +24,14 @@ ALL = TripFilter()
 MAX_POINTS = 5000
 MAX_GROUPS = 300
 MAX_HOURLY_DAYS = 62
-WHOLE = Window.partitionBy()  # only over grouped rows
-
 RANKED = ("pickup_zone", "dropoff_zone", "payment_type", "vendor_id")
 
 
+def whole() -> WindowSpec:
+    """All rows at once: for grouped frames only, whose size a dimension bounds."""
+    return Window.partitionBy()
+
+
 def grouped(source: tuple[DataFrame, str], metric: str, **keys: Column) -> DataFrame:
     """(keys, value, trips) per group of the source."""
     df, form = source
@@ -144,7 +147,7 @@ def time_series(
     points = grouped(store.pick(f, [f"time:{grain}"], [metric], prefer_fact), metric, bucket=bucket(grain))
     if f.days() is not None and f.days() <= MAX_POINTS:
         return points.orderBy("bucket")
-    counted = points.withColumn("_n", F.count(F.lit(1)).over(WHOLE))
+    counted = points.withColumn("_n", F.count(F.lit(1)).over(whole()))
     too_many = F.raise_error(F.lit("too many points; use a coarser grain or a shorter range"))
     guard = F.when(F.col("_n") <= MAX_POINTS, True).otherwise(too_many.cast("boolean"))
     return counted.filter(guard).drop("_n").orderBy("bucket")
@@ -187,8 +190,8 @@ def zone_totals(
     """Every zone for a map: its value, the log scale the map colours by, and its share of the selection."""
     zones = breakdown(store, f"{side}_zone", f, metric)
     value = F.col("value").cast("double")
-    total = F.sum(F.coalesce(value, F.lit(0.0))).over(WHOLE)
-    top = F.log10(F.greatest(F.max(value).over(WHOLE), F.lit(10.0)))
+    total = F.sum(F.coalesce(value, F.lit(0.0))).over(whole())
+    top = F.log10(F.greatest(F.max(value).over(whole()), F.lit(10.0)))
     return zones.select(
         "*",
         F.when(value > 0, F.log10(value)).alias("log_value"),
@@ -248,7 +251,7 @@ def histogram(store: TripStore, metric: str, f: TripFilter = ALL) -> DataFrame:
 def running(hist: DataFrame) -> DataFrame:
     so_far = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return hist.withColumns(
-        {"_so_far": F.sum("trips").over(so_far), "_total": F.sum("trips").over(WHOLE)}
+        {"_so_far": F.sum("trips").over(so_far), "_total": F.sum("trips").over(whole())}
     )
 
 

@@ -15,7 +15,7 @@ from farebox.operators import insight, questions, quality, registry
 from farebox.operators.filters import TripFilter
 from farebox.operators.insight import first_max, first_min, position
 from farebox.operators.metrics import METRICS
-from farebox.operators.questions import WHOLE
+from farebox.operators.questions import whole
 from farebox.plans.route import TripStore
 
 # Report limits and the headline metrics of each template.
@@ -72,7 +72,7 @@ class ReportInput:
 
 
 def part_of_all(column: str = "trips") -> Column:
-    return share(F.col(column), F.sum(column).over(WHOLE))
+    return share(F.col(column), F.sum(column).over(whole()))
 
 
 def ranked(order: list[Column]) -> Column:
@@ -399,17 +399,17 @@ def processing(r: ReportInput) -> DataFrame:
             "quarantined_rows",
             "duration_seconds",
             F.substring("schema_version", 1, 12).alias("schema"),
-            F.min("duration_seconds").over(WHOLE).alias("min_seconds"),
-            F.max("duration_seconds").over(WHOLE).alias("max_seconds"),
+            F.min("duration_seconds").over(whole()).alias("min_seconds"),
+            F.max("duration_seconds").over(whole()).alias("max_seconds"),
         )
         .orderBy("period")
     )
 
 
-def ranked_counts(r: ReportInput, kind: str, whole: str, key: str, count: str, label) -> DataFrame:
+def ranked_counts(r: ReportInput, kind: str, base: str, key: str, count: str, label) -> DataFrame:
     totals = quality.quality_totals(r.covered_runs())
-    base = F.max(F.when(F.col("name") == whole, F.col("rows"))).over(WHOLE)
-    rows = totals.withColumn("_whole", base).filter(F.col("kind") == kind)
+    of = F.max(F.when(F.col("name") == base, F.col("rows"))).over(whole())
+    rows = totals.withColumn("_whole", of).filter(F.col("kind") == kind)
     return rows.select(
         ranked([F.desc("rows"), F.asc("name")]).alias("rank"),
         F.col("name").alias(key),

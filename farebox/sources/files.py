@@ -100,7 +100,7 @@ def validate_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
         F.min(F.when(bad, F.col("offset"))).alias("bad_offset"),
         F.min(F.col("offset")).alias("base"),
         F.min_by("bad", F.when(bad, F.col("offset"))).alias("sample"),
-        F.max(F.coalesce(F.ltrim("bad").rlike(r'^"?[{<]'), F.lit(False))).alias("response_body"),
+        F.max(F.coalesce(bad & F.ltrim("first_value").rlike("^[{<]"), F.lit(False))).alias("response_body"),
     )
     ordered = splits.agg(
         F.sort_array(

@@ -202,16 +202,18 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored case per conversation: its turns are the calls, its last turn the answer."""
     talks = table(spark, sf_dir, "conversations")
-    c, t = F.col("conv_id"), F.col("turn")
-    call = F.struct(
-        _pick(TOOLS, c + t).alias("tool"),
-        F.when(t % 3 == 2, "error").otherwise("ok").alias("status"),
-        F.create_map(
-            F.lit("metric"), _pick(METRIC_ARGS, c + t), F.lit("limit"), t.cast("string")
-        ).alias("arguments"),
-    )
+    c = F.col("conv_id")
+
+    def call(t: Column) -> Column:
+        arguments = F.create_map(F.lit("metric"), _pick(METRIC_ARGS, c + t), F.lit("limit"), t.cast("string"))
+        return F.struct(
+            _pick(TOOLS, c + t).alias("tool"),
+            F.when(t % 3 == 2, "error").otherwise("ok").alias("status"),
+            arguments.alias("arguments"),
+        )
+
     grouped = talks.groupBy("conv_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("turn", call.alias("call")))), lambda x: x["call"]).alias("calls"),
+        F.transform(F.sort_array(F.collect_list("turn")), call).alias("calls"),
         F.max_by("text", "turn").alias("answer"),
         F.count(F.lit(1)).alias("model_calls"),
     )
