@@ -43,8 +43,7 @@ def percent(ratio: Column) -> Column:
     ratio = finite(ratio)
     nines = F.ceil(-F.log10(1 - ratio)).cast("int") - 2  # how many digits keep it below 100
     near = F.coalesce(F.least(F.lit(6), F.greatest(F.lit(2), nines)), F.lit(2))
-    scale = F.pow(F.lit(10.0), near.cast("double"))
-    floored = F.floor(ratio * scale * 100) / scale
+    floored = F.floor(ratio * F.pow(F.lit(10.0), near + 2.0)) / F.pow(F.lit(10.0), near.cast("double"))
     almost = F.lit(None).cast("string")
     for digits in range(6, 1, -1):
         almost = F.when(near == digits, plain(floored, digits)).otherwise(almost)

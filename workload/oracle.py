@@ -36,7 +36,7 @@ def oracle(name: str, body: str, extra: dict[str, str] | None = None) -> None:
 
 
 def R(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6)"
+    return f"round(CAST({x} AS DOUBLE) + 1e-9, 6)"
 
 
 def B(x: str) -> str:
@@ -221,7 +221,7 @@ def V(metric: str, expression: str | None = None) -> str:
 
 
 def excluded(metric: str) -> str:
-    return f"count(*) FILTER (WHERE NOT {VALID[metric]})" if metric in VALID else "0"
+    return f"count(*) FILTER (WHERE NOT {VALID[metric]})" if metric in VALID else "0 * count(*)"
 
 
 Y1996 = "pickup_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'"

@@ -34,12 +34,15 @@ LONG_TRIPS = TripFilter(min_distance=2.0, max_distance=60.0)
 MIN_GROUP = 100  # threshold of the "enough trips" tables, passed as a parameter
 
 
+TIE = 1e-9  # far below the last digit shown; settles exact ties, which engines round either way
+
+
 def _comparable(field: T.StructField) -> Column:
     """Plain types whose text is the same in any engine."""
     c = F.col(f"`{field.name}`")
     kind = field.dataType
     if isinstance(kind, T.DecimalType | T.FloatType | T.DoubleType):
-        c = F.round(c.cast("double"), 6) + F.lit(0.0)
+        c = F.round(c.cast("double") + TIE, 6) + F.lit(0.0)
     elif isinstance(kind, T.IntegralType):
         c = c.cast("long")
     elif isinstance(kind, T.DateType):
