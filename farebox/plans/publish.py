@@ -1,8 +1,9 @@
 """From monthly source files to published tables, many months in one job.
 
-Layout under one root: `fact` and the four rollups partitioned by (taxi_type, data_period), `quarantine` the
-same, `runs` (one row per run), `periods` and `zones` as versioned small tables. Data becomes visible only
-through `periods`: rollups are replaced first, the fact last, then the period rows are upserted.
+Layout under one root: `fact`, `quarantine` and the four rollups each hold one folder per publication, and in it
+months as partitions; `periods` says which publication every month is read from. Publishing therefore copies
+nothing: tables are written once under a new publication, verified there, and one upsert of `periods` makes all
+of them visible together. A rerun of a month is a new publication, so it replaces and never appends.
 """
 
 from __future__ import annotations
@@ -11,22 +12,24 @@ import math
 import time
 import uuid
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.operators import clean, quality, rollups
-from farebox.operators.filters import published
 from farebox.plans.route import TripStore
 from farebox.schema import Rules
-from farebox.session import cut, prepare, scratch_path
+from farebox.session import cut, prepare
 from farebox.sources import files
 from farebox.sources.mapping import map_schema
 
 PARTITION = ("taxi_type", "data_period")
 ROWS_PER_FILE = 1_000_000  # fixed value: most rows of one curated file
+MIN_TASK_ROWS = 50_000  # below this another writing task is not worth its file
 MAX_WRITE_TASKS = 20_000  # above this, tasks write several files instead of there being more tasks
 
 
@@ -106,8 +109,11 @@ def registry_row(spark: SparkSession, source: Source) -> DataFrame:
 # ---- writing --------------------------------------------------------------------------------------------------
 
 
-def write_tasks(rows: int, rows_per_file: int = ROWS_PER_FILE) -> int:
-    return max(1, min(math.ceil(rows / rows_per_file), MAX_WRITE_TASKS))
+def write_tasks(rows: int, rows_per_file: int = ROWS_PER_FILE, cores: int = 1) -> int:
+    """One task per full file; on a small table enough to keep the cores busy."""
+    files_needed = math.ceil(rows / rows_per_file)
+    busy = min(cores, math.ceil(rows / MIN_TASK_ROWS))
+    return max(1, min(max(files_needed, busy), MAX_WRITE_TASKS))
 
 
 def write_curated(
@@ -118,9 +124,8 @@ def write_curated(
     The last range key spreads trips that share one pickup time, so a crowded instant is split as well.
     """
     spread = F.xxhash64("dropoff_datetime", "pickup_location_id", "dropoff_location_id", "total_amount", "trip_distance")
-    ranged = df.withColumn("_spread", spread).repartitionByRange(
-        write_tasks(rows, rows_per_file), *PARTITION, "pickup_datetime", "_spread"
-    )
+    tasks = write_tasks(rows, rows_per_file, df.sparkSession.sparkContext.defaultParallelism)
+    ranged = df.withColumn("_spread", spread).repartitionByRange(tasks, *PARTITION, "pickup_datetime", "_spread")
     (
         ranged.sortWithinPartitions(*PARTITION, "pickup_datetime", "_spread")
         .drop("_spread")
@@ -195,29 +200,70 @@ def current_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/{pointers.agg(F.max('version')).first()[0]}")
 
 
+def upsert_periods(spark: SparkSession, root: str, periods: DataFrame) -> None:
+    current = current_table(spark, f"{root}/periods")
+    replace_table(periods if current is None else quality.upsert_period(current, periods), f"{root}/periods")
+
+
 def record_run(spark: SparkSession, root: str, records: DataFrame, periods: DataFrame) -> None:
     """Append the run rows, then upsert the periods: the step that makes months visible."""
     records.write.mode("append").parquet(f"{root}/runs")
-    current = current_table(spark, f"{root}/periods")
-    replace_table(periods if current is None else quality.upsert_period(current, periods), f"{root}/periods")
+    upsert_periods(spark, root, periods)
 
 
-# ---- the whole job --------------------------------------------------------------------------------------------
+# ---- publications ---------------------------------------------------------------------------------------------
+
+TABLES: tuple[str, ...] = ("fact", *rollups.ROLLUPS)
+# Tables a publication may lack, where nothing was flagged or no value was valid.
+SPARSE = {
+    "buckets": "taxi_type string, pickup_date date, metric string, bucket_start double, trips long, run_id string, "
+    "publication string, data_period date",
+    "flags_daily": "taxi_type string, pickup_date date, flag string, flagged_trips long, run_id string, "
+    "publication string, data_period date",
+}
+
+
+def new_publication() -> str:
+    return f"p{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
+
 
+def folder(root: str, table: str, publication: str) -> str:
+    return f"{root}/{table}/publication={publication}"
 
-def build_rollups(fact: DataFrame, root: str) -> None:
-    """The four rollups of the given months, replacing those months' partitions."""
+
+def read_publications(spark: SparkSession, root: str, table: str, months: dict[str, list[date]]) -> DataFrame:
+    """The given months of the given publications, by partition filters; other publications are not even listed."""
+    read = spark.read.option("basePath", f"{root}/{table}")
+    try:
+        df = read.parquet(*[folder(root, table, p) for p in sorted(months)])
+    except AnalysisException:
+        if table not in SPARSE:
+            raise
+        return spark.createDataFrame([], SPARSE[table])
+    current = [
+        (F.col("publication") == p) & F.col("data_period").isin(*sorted(periods)) for p, periods in months.items()
+    ]
+    return df.filter(reduce(lambda a, b: a | b, current))
+
+
+def build_rollups(fact: DataFrame, root: str, publication: str) -> dict[str, DataFrame]:
+    """The four rollups of the given trips under a publication, read back as written."""
+    spark = fact.sparkSession
+    frames = {}
     for name, build in rollups.ROLLUPS.items():
-        write_partitions(build(fact), f"{root}/{name}")
+        write_partitions(build(fact), folder(root, name, publication))
+        try:
+            frames[name] = spark.read.parquet(folder(root, name, publication))
+        except AnalysisException:
+            frames[name] = spark.createDataFrame([], SPARSE[name]).drop("publication")
+    return frames
 
 
 def verify_tables(fact: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
     return quality.verify_rollups(fact, frames["hourly"], frames["dropoff_daily"], frames["buckets"])
 
 
-def stage_rollups(fact: DataFrame, folder: str) -> dict[str, DataFrame]:
-    build_rollups(fact, folder)
-    return {name: fact.sparkSession.read.parquet(f"{folder}/{name}") for name in rollups.ROLLUPS}
+# ---- the whole job --------------------------------------------------------------------------------------------
 
 
 def publish_normalized(
@@ -234,29 +280,36 @@ def publish_normalized(
     cleaning shuffle runs once, and a lost executor costs a re-read, not a recomputation.
     """
     prepare(spark)
-    started = time.time()
+    started, publication = time.time(), new_publication()
     annotated = clean.annotate(clean.collapse_copies(rows), zones, rules)
     annotated = cut(clean.with_ingest_time(annotated, ingested_at), "annotated")
     metrics = cut(quality.run_metrics(annotated), "metrics")
     total = metrics.agg(F.sum("accepted_rows")).first()[0] or 0
+    if not total:
+        raise quality.VerificationError("an empty period is not published")
 
-    stage = scratch_path(spark, "stage")
-    write_curated(clean.accepted(annotated), f"{stage}/fact", total)
-    staged = spark.read.parquet(f"{stage}/fact")
-    quality.require(quality.verify_staged(staged, metrics), "staged")
-    frames = stage_rollups(staged, stage)
-    quality.require(verify_tables(staged, frames), "rollup")
-
-    write_quarantine(annotated, f"{root}/quarantine")
-    for name, frame in frames.items():
-        write_partitions(frame, f"{root}/{name}")
-    quality.require(publish(staged, f"{root}/fact"), "published")
+    write_curated(clean.accepted(annotated), folder(root, "fact", publication), total)
+    fact = spark.read.parquet(folder(root, "fact", publication))
+    quality.require(quality.verify_staged(fact, metrics), "fact")
+    frames = build_rollups(fact, root, publication)
+    quality.require(verify_tables(fact, frames), "rollup")
+    write_partitions(clean.quarantined(annotated), folder(root, "quarantine", publication))
 
-    elapsed = F.lit(round(time.time() - started, 3))
     records = quality.run_record(metrics).withColumns(
-        {"duration_seconds": elapsed, "status": F.lit("succeeded"), "completed_at": F.current_timestamp()}
+        {
+            "publication": F.lit(publication),
+            "duration_seconds": F.lit(round(time.time() - started, 3)),
+            "status": F.lit("succeeded"),
+            "completed_at": F.current_timestamp(),
+        }
+    )
+    periods = quality.published_periods(fact).withColumns(
+        {
+            "publication": F.lit(publication),
+            "rollup_publication": F.lit(publication),
+            "published_at": F.current_timestamp(),
+        }
     )
-    periods = quality.published_periods(staged).withColumn("published_at", F.current_timestamp())
     record_run(spark, root, records, periods)
     return records
 
@@ -269,20 +322,39 @@ def publish_months(
         if source.file_format == "csv":
             files.require_valid_csv(spark, source.path)
     run = uuid.uuid4().hex[:12]
-    named = [s if s.run_id else Source(**{**vars(s), "run_id": f"{run}-{s.key}"}) for s in sources]
+    named = [s if s.run_id else replace(s, run_id=f"{run}-{s.key}") for s in sources]
     return publish_normalized(spark, read_sources(spark, named), zones, root, rules)
 
 
-def rebuild_rollups(spark: SparkSession, root: str, months: Iterable | None = None) -> DataFrame:
-    """Rebuild the rollups of published months from the fact: one job for all of them; rows per month and table."""
-    fact = spark.read.parquet(f"{root}/fact")
+def published_months(spark: SparkSession, root: str, taxi_type: str | None = None) -> DataFrame:
+    periods = current_table(spark, f"{root}/periods")
+    if periods is None:
+        raise LookupError("nothing is published yet")
+    return periods if taxi_type is None else periods.filter(F.col("taxi_type") == taxi_type)
+
+
+def by_publication(periods: DataFrame, column: str) -> dict[str, list[date]]:
+    """Months per publication, on the driver: one small row per published month."""
+    found: dict[str, list[date]] = {}
+    for row in periods.select(column, "data_period").collect():
+        found.setdefault(row[0], []).append(row[1])
+    return found
+
+
+def rebuild_rollups(spark: SparkSession, root: str, months: Iterable[date] | None = None) -> DataFrame:
+    """Rebuild the rollups of published months from the fact, in one job; rows per month and table."""
+    prepare(spark)
+    periods = published_months(spark, root)
     if months is not None:
-        fact = fact.filter(F.col("data_period").isin(*months))
-    stage = scratch_path(spark, "rollups")
-    frames = stage_rollups(fact, stage)
+        periods = periods.filter(F.col("data_period").isin(*months))
+    fact = read_publications(spark, root, "fact", by_publication(periods, "publication")).drop("publication")
+    publication = new_publication()
+    frames = build_rollups(fact, root, publication)
     quality.require(verify_tables(fact, frames), "rollup")
-    for name, frame in frames.items():
-        write_partitions(frame, f"{root}/{name}")
+    renewed = periods.withColumns(
+        {"rollup_publication": F.lit(publication), "published_at": F.current_timestamp()}
+    )
+    upsert_periods(spark, root, renewed)
     return rollup_rows(frames)
 
 
@@ -301,20 +373,15 @@ def rollup_rows(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def open_store(spark: SparkSession, root: str, taxi_type: str = "yellow", zones: DataFrame | None = None) -> TripStore:
-    """The published tables of one taxi type, limited to its published months by partition filters.
-
-    The months are read on the driver: one small row per published month.
-    """
+    """The published tables of one taxi type, limited to its published months by partition filters."""
     prepare(spark)
-    periods = current_table(spark, f"{root}/periods")
-    if periods is None:
-        raise LookupError("nothing is published yet")
-    mine = periods.filter(F.col("taxi_type") == taxi_type)
-    months = [r.data_period for r in mine.select("data_period").collect()]
-    zones = zones if zones is not None else current_table(spark, f"{root}/zones")
+    periods = published_months(spark, root, taxi_type)
+    of_fact, of_rollups = (by_publication(periods, c) for c in ("publication", "rollup_publication"))
     tables = {
-        name: published(spark.read.parquet(f"{root}/{name}"), taxi_type, months) for name in ("fact", *rollups.ROLLUPS)
+        name: read_publications(spark, root, name, of_fact if name == "fact" else of_rollups).filter(
+            F.col("taxi_type") == taxi_type
+        )
+        for name in TABLES
     }
-    return TripStore(**tables, zones=zones, periods=mine)
-
-
+    zones = zones if zones is not None else current_table(spark, f"{root}/zones")
+    return TripStore(**tables, zones=zones, periods=periods)

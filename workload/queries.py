@@ -201,19 +201,23 @@ def _(spark, sf):
     return publish.current_table(spark, path)
 
 
+def published_root(spark, sf) -> str:
+    """The whole publication job over every month of the trip view."""
+    root = scratch_path(spark, "published")
+    publish.publish_normalized(spark, trips.normalized(spark, sf), trips.zones(spark, sf), root)
+    return root
+
+
 @query("publish_aggregates")
 def _(spark, sf):
-    root = scratch_path(spark, "rollups")
-    fact = trips.fact(spark, sf)
-    publish.build_rollups(fact, root)
-    return publish.rollup_rows({n: spark.read.parquet(f"{root}/{n}") for n in rollups.ROLLUPS})
+    """Rows of the rollups a publication made visible, month by month."""
+    s = publish.open_store(spark, published_root(spark, sf), zones=trips.zones(spark, sf))
+    return publish.rollup_rows({n: getattr(s, n) for n in rollups.ROLLUPS})
 
 
 @query("backfill_aggregates")
 def _(spark, sf):
-    root = scratch_path(spark, "backfill")
-    publish.write_curated(trips.fact(spark, sf), f"{root}/fact", 1_000_000)
-    return publish.rebuild_rollups(spark, root)
+    return publish.rebuild_rollups(spark, published_root(spark, sf))
 
 
 @query("record_run")

@@ -71,7 +71,8 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "taxi_type": F.lit(TAXI_TYPE),
         "data_period": F.when(ok % 191 == 0, F.add_months(month, 1)).otherwise(month),
     }
-    shaped = items.join(orders, ok == F.col("o_orderkey")).select(
+    # At scale both sides are large; asking for that plan outright keeps small runs representative.
+    shaped = items.join(orders.hint("merge"), ok == F.col("o_orderkey")).select(
         *[value.alias(name) for name, value in columns.items()], F.explode(copies).alias("copy")
     )
     label = F.date_format("data_period", "yyyy-MM")
