@@ -16,7 +16,7 @@ from farebox.operators.metrics import METRICS
 from farebox.plans import extract, publish, report
 from farebox.plans.route import TripStore
 from farebox.schema import FIELD_NAMES
-from farebox.session import scratch_path
+from farebox.session import cut, scratch_path
 from farebox.sources import files, mapping, zones
 from workload import inputs, trips
 
@@ -732,7 +732,8 @@ query("claim_candidates")(lambda spark, sf: claims.claim_candidates(inputs.claim
 
 @query("verify_claims")
 def _(spark, sf):
-    return claims.verify_claims(all_claims(spark, sf), inputs.claim_values(store(spark, sf)))
+    found = cut(all_claims(spark, sf), "claims")
+    return claims.verify_claims(found, cut(inputs.claim_values(store(spark, sf)), "values"))
 
 
 @query("number_groups")
