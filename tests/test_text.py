@@ -3,7 +3,6 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,7 +77,7 @@ def test_dates_ids_and_list_numbers_are_no_claims(spark):
 
 def test_more_shapes(spark):
     text = "Rank 3 of 7 in 1999, 2000 and 2001.5; −12 percent, -$4, 2025.7 and 7 March 1999; top 10, ids 4, 5 and 6. 24 and 25; 5 thousand"
-    assert [r.claim for r in found(spark, text)] == ["2001.5", "−12 percent", "4", "2025.7", "25", "5 thousand"][:2] + ["$4", "2025.7", "25", "5 thousand"] or True
+    assert [r.claim for r in found(spark, text)] == ["2001.5", "−12 percent", "$4", "2025.7", "25", "5 thousand"]
     assert found(spark, "no digits here") == []
     assert [r.claim for r in found(spark, "1,234,567.89 and 12,34")] == ["1,234,567.89", "34"]
 
@@ -194,5 +193,3 @@ def test_spread(spark):
     rows = {r.metric: r for r in scorecard.score_spread(df, ["a", "b"]).collect()}
     assert (rows["a"]["mean"], rows["a"]["min"], rows["a"]["max"]) == (0.7, 0.5, 0.9) and rows["b"].runs == 1
 
-
-assert re
