@@ -58,7 +58,7 @@ def per_row(
 
     The columns of `docs` are taken by name; others, whatever their names, are left behind.
     """
-    out = T._parse_datatype_string(schema)
+    out = T.DataType.fromDDL(schema)
     types = [arrow_type(f.dataType) for f in out.fields]
     names = out.names
 
