@@ -8,8 +8,8 @@ risk is
 where the second term, the risk on negatives written without any, must not fall below zero (when a batch drives it
 there, its gradient is turned round). The prior is the share of positives among the labelled rows of the training folds.
 
-Two disjoint bounded samples of each kind are drawn by a hash of doc_id: one gives a lexicon (words that positives hold
-more or less often than unlabelled texts), the other, described by that lexicon and by counts of characters, words and
+Two disjoint bounded samples of each kind are drawn by a hash of doc_id: one gives a lexicon (words and beginnings of
+words that positives hold more or less often than unlabelled texts), the other, described by that lexicon and by counts of characters, words and
 lines, trains the network. Every document is then scored over its whole text in one pass.
 """
 
@@ -38,10 +38,10 @@ class Settings:
     label: str  # column of `labels` with 1 for positives
     positives: int = 6_000  # sampled for both halves together
     unlabelled: int = 12_000
-    lexicon: int = 2_000  # words kept
-    sure: float = 4.0  # standard errors by which the log-odds of a kept word differ from none
+    lexicon: int = 2_000  # units kept
+    sure: float = 4.0  # standard errors by which the log-odds of a kept unit differ from none
     form: bool = True  # describe a text by counts of characters, words and lines too
-    least_documents: int = 6  # of the sample that hold a kept word
+    least_documents: int = 6  # of the sample that hold a kept unit
     hidden: int = 12
     epochs: int = 60
     rate: float = 0.01
@@ -85,12 +85,35 @@ def stats(text: bytes, ws: list[bytes]) -> list[float]:
     ]
 
 
-def features(text: bytes, lexicon: dict[bytes, float], form: bool) -> list[float]:
-    """The weight of a text's words in the lexicon, and its statistics if `form`."""
+PREFIXES = range(4, 9)  # bytes of a word's beginnings that are units too; they stand for words built on one stem
+CACHED_WORDS = 300_000
+
+
+def units(word: bytes) -> list[bytes]:
+    """What a lexicon may hold of a word: its beginnings, marked as such, and the word itself; the longest last."""
+    return [*(word[:n] + b"-" for n in PREFIXES if n < len(word)), word]
+
+
+class Weights(dict):
+    """Weight of a word: that of its longest unit in a lexicon, 0 without one. Bounded; forgets all when full."""
+
+    def __init__(self, lexicon: dict[bytes, float]) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        weight = next((self.lexicon[u] for u in reversed(units(word)) if u in self.lexicon), 0.0)
+        self[word] = weight
+        return weight
+
+
+def features(text: bytes, weights: Weights, form: bool) -> list[float]:
+    """The weight of a text's words, and its statistics if `form`."""
     ws = words(text)
     n = max(1, len(ws))
-    known = lexicon.get
-    found = [w for w in map(known, ws) if w is not None] if lexicon else []
+    found = list(filter(None, map(weights.__getitem__, ws)))
     for_it = [w for w in found if w > 0]
     n_for, n_against = len(for_it), len(found) - len(for_it)
     sum_for = sum(for_it)
@@ -214,8 +237,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
     lexicon = _lexicon(chosen.where("first"), s)
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(lexicon)
         for batch in small_batches(batches):
-            made = [features(b, lexicon, form) for b in blobs(batch.column(1))]
+            made = [features(b, weights, form) for b in blobs(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=_DESCRIBED.names)
 
     rows = chosen.where("not first").select("positive", "text").mapInArrow(describe, _DESCRIBED).toArrow()
@@ -229,13 +253,13 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
 
 
 def _lexicon(sample: DataFrame, s: Settings) -> dict[bytes, float]:
-    """Log-odds of the words whose share among positives and unlabelled texts differs most surely."""
+    """Log-odds of the units whose share among positives and unlabelled texts differs most surely."""
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
             out, kinds = [], []
             for kind, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
-                own = set(words(text))
+                own = {u for w in set(words(text)) for u in units(w)}
                 out.extend(own)
                 kinds.extend([kind] * len(own))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(kinds, pa.bool_())], names=_MADE.names)
@@ -269,9 +293,10 @@ def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
 
     def work():
         m = shared.value
+        weights = Weights(m.lexicon)
 
         def row(doc_id, text):
-            value = float(m.scores(np.array([features(text, m.lexicon, m.form)]))[0])
+            value = float(m.scores(np.array([features(text, weights, m.form)]))[0])
             return doc_id, value, int(value >= threshold)
 
         return row
@@ -288,9 +313,10 @@ def keep(docs: DataFrame, model: Model, wanted: Callable[[float], bool]) -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        weights = Weights(m.lexicon)
         for batch in small_batches(batches):
             if batch.num_rows:
-                x = np.array([features(b, m.lexicon, m.form) for b in blobs(batch.column(at))])
+                x = np.array([features(b, weights, m.form) for b in blobs(batch.column(at))])
                 yield batch.filter(pa.array([wanted(v) for v in m.scores(x).tolist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

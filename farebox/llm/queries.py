@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farebox.llm import pieces, unigram
+from farebox.llm import decontaminate, licenses, pieces, quality, toxicity, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")  # where the public vocabulary files are
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # read by the driver only
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(table(spark, sf_dir, "documents"), PIECES)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op6_token_counts": op6_token_counts,
+    "op8_licenses": op8_licenses,
     "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
