@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farebox.llm import decontaminate, licenses, pieces, quality, toxicity, unigram
+from farebox.llm import decontaminate, licenses, pieces, quality, simhash, toxicity, unigram, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # read by the driver only
@@ -28,10 +28,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,9 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
     "op8_licenses": op8_licenses,
     "op9_sentencepiece": op9_sentencepiece,
 }
