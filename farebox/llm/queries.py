@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farebox.llm import decontaminate, licenses, pieces, quality, simhash, toxicity, unigram, warc
+from farebox.llm import chat, decontaminate, licenses, pieces, quality, simhash, toxicity, unigram, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # read by the driver only
@@ -28,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
