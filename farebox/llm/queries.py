@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farebox.llm import chat, decontaminate, licenses, pieces, quality, simhash, toxicity, unigram, warc
+from farebox.llm import chat, decontaminate, graph, licenses, pieces, quality, simhash, toxicity, unigram, warc
+from farebox.llm.oracle import ORACLES
 
+__all__ = ["ORACLES", "QUERIES"]
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # read by the driver only
 
@@ -52,6 +54,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op10_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -62,5 +68,5 @@ QUERIES: dict[str, Query] = {
     "op7_warc": op7_warc,
     "op8_licenses": op8_licenses,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_embedding_graph": op10_embedding_graph,
 }
-ORACLES: dict[str, str] = {}
