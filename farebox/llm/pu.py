@@ -243,6 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=_DESCRIBED.names)
 
     rows = chosen.where("not first").select("positive", "text").mapInArrow(describe, _DESCRIBED).toArrow()
+    if not rows.num_rows:
+        return _constant(s.without_positives)
     x = np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, -1)
     positive = np.array(rows.column("positive").to_pylist(), bool)
     order = np.lexsort(x.T)  # the same order, and so the same model, whichever task came first

@@ -119,17 +119,18 @@ def linked_pairs(fps: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents as `doc_id, fp`, and `fp, component_id` for every fingerprint."""
+    """The documents as `doc_id, fp`, and `fp, root, component_id` for every fingerprint; root names its component."""
     rows = cut(fingerprints(docs), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(linked_pairs(nodes))
     linked = nodes.join(found, nodes.fp == found.node).select("fp", "least", "root")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(roots, "root").select(F.col("fp").alias("linked_fp"), "component_id")
+    linked = linked.join(roots, "root").select(F.col("fp").alias("linked_fp"), "root", "component_id")
     whole = nodes.join(linked, nodes.fp == linked.linked_fp, "left").select(
-        "fp", F.when(F.col("linked_fp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
-    )
-    return rows, whole
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("linked_fp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+    return rows, cut(whole, "groups")  # so that the join of the documents is dealt anew, and a large group split
 
 
 def hex16(fp: Column) -> Column:
@@ -154,8 +155,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows, groups = _grouped(docs)
     kept = (
         rows.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone"))
-        .agg(F.min("fp").alias("fp"))
+        .groupBy("root", "component_id").agg(F.min("fp").alias("fp"))
     )
     wanted = kept.select(F.struct(F.col("component_id").alias("id"), "fp").alias("__key__"))
     at_text = docs.columns.index("text")

@@ -258,7 +258,9 @@ class WarcReader(DataSourceReader):
             room -= size
         return out
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's way of reading a folder without files
+            return
         store, _ = _filesystem(self.path)
         rows, held = [], 0
         for name, size in partition.files:
