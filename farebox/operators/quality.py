@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,78 +26,77 @@ def weighted(condition: Column, rows: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, rows)), F.lit(0)).cast("long")
 
 
+def tally(names: Sequence[str], count: Callable[[str], Column]) -> Column:
+    """Map of name to its count, all counted in the same aggregation; a name nothing counted for has 0."""
+    return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[count(n) for n in names]))
+
+
 def run_metrics(annotated: DataFrame, by: Sequence[str] = RUN_KEYS) -> DataFrame:
-    """Every count of a run in one grouped aggregation, for all runs at once.
+    """Every count of a run in one grouped aggregation, for all runs at once; detailed counts are maps.
 
     Works on distinct trips weighted by their copies; combines before the shuffle, so one row per run and
     task crosses the network.
     """
     copies = F.col("_copies")
-    extra = copies - F.when(is_kept(), 1).otherwise(0)  # copies after the kept one
-    reasons, flags = F.col("_row_reasons"), F.col("quality_flags")
-    rejected_kept = is_kept() & ~is_accepted()
-
-    def reason_rows(name: str) -> Column:
-        if name == REASONS[3]:
-            return F.coalesce(F.sum(extra), F.lit(0)).cast("long")
-        return weighted(F.array_contains(reasons, name), copies)
-
-    unmapped = F.arrays_overlap(flags, F.array(F.lit(FLAGS[5]), F.lit(FLAGS[6])))
-    bad_time = F.arrays_overlap(reasons, F.array(F.lit(REASONS[0]), F.lit(REASONS[1])))
-    totals = [
+    repeats = F.coalesce(F.sum(copies - is_kept().cast("long")), F.lit(0)).cast("long")  # copies after the kept one
+    published = is_accepted()
+
+    def with_reason(*names: str) -> Column:
+        return weighted(F.arrays_overlap("_row_reasons", F.array(*map(F.lit, names))), copies)
+
+    def with_flag(*names: str) -> Column:
+        return F.count_if(published & F.arrays_overlap("quality_flags", F.array(*map(F.lit, names))))
+
+    def of_published(column: str) -> Column:
+        return F.when(published, F.col(column))
+
+    return annotated.groupBy(*by).agg(
         F.coalesce(F.sum(copies), F.lit(0)).cast("long").alias("input_rows"),
-        F.count_if(is_accepted()).alias("accepted_rows"),
-        (F.count_if(rejected_kept) + F.coalesce(F.sum(extra), F.lit(0))).cast("long").alias("quarantined_rows"),
-        reason_rows(REASONS[3]).alias("duplicate_rows"),
-        weighted(bad_time, copies).alias("invalid_timestamp_rows"),
-        F.count_if(is_accepted() & unmapped).alias("unmapped_location_rows"),
-        F.sum(F.when(is_accepted(), F.col("total_amount"))).cast(WIDE_MONEY).alias("accepted_amount"),
-        F.min(F.when(is_accepted(), F.col("pickup_date"))).alias("min_pickup_date"),
-        F.max(F.when(is_accepted(), F.col("pickup_date"))).alias("max_pickup_date"),
-    ]
-    detail = [reason_rows(name).alias(f"reason__{name}") for name in REASONS]
-    detail += [F.count_if(is_accepted() & F.array_contains(flags, name)).alias(f"flag__{name}") for name in FLAGS]
-    detail += [weighted(F.col(name).isNull(), copies).alias(f"null__{name}") for name in FIELD_NAMES]
-    detail += [
-        weighted(F.array_contains("_cast_failures", name), copies).alias(f"unread__{name}")
-        for name in FIELD_NAMES
-    ]
-    return annotated.groupBy(*by).agg(*totals, *detail)
-
-
-def unpivot_counts(metrics: DataFrame, prefix: str, names: Sequence[str], keys: Sequence[str], label: str) -> DataFrame:
-    """Columns `prefix__name` as rows (keys, label, rows); every name appears, with 0 where nothing counted."""
-    pairs = F.array(
-        *[F.struct(F.lit(n).alias(label), F.col(f"{prefix}__{n}").alias("rows")) for n in names]
+        F.count_if(published).alias("accepted_rows"),
+        (F.count_if(is_kept() & ~published) + repeats).alias("quarantined_rows"),
+        repeats.alias("duplicate_rows"),
+        with_reason(*REASONS[:2]).alias("invalid_timestamp_rows"),
+        with_flag(*FLAGS[5:]).alias("unmapped_location_rows"),
+        F.sum(of_published("total_amount")).cast(WIDE_MONEY).alias("accepted_amount"),
+        F.min(of_published("pickup_date")).alias("min_pickup_date"),
+        F.max(of_published("pickup_date")).alias("max_pickup_date"),
+        tally(REASONS, lambda n: repeats if n == REASONS[3] else with_reason(n)).alias("reason_rows"),
+        tally(FLAGS, with_flag).alias("flag_rows"),
+        tally(FIELD_NAMES, lambda n: weighted(F.col(n).isNull(), copies)).alias("null_rows"),
+        tally(FIELD_NAMES, lambda n: weighted(F.array_contains("_cast_failures", n), copies)).alias("unread_rows"),
     )
-    return metrics.select(*keys, F.inline(pairs))
+
+
+def _tall(metrics: DataFrame, counts: str, keys: Sequence[str], label: str, names: Sequence[str]) -> DataFrame:
+    rows = metrics.select(*keys, F.explode(counts).alias(label, "rows"))
+    return rows.filter(F.col(label).isin(*names))
 
 
 def reason_counts(metrics: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
-    return unpivot_counts(metrics, "reason", REASONS, keys, "reason")
+    return _tall(metrics, "reason_rows", keys, "reason", REASONS)
 
 
 def flag_counts(metrics: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
-    return unpivot_counts(metrics, "flag", FLAGS, keys, "flag")
+    return _tall(metrics, "flag_rows", keys, "flag", FLAGS)
 
 
 def cast_failure_counts(
     metrics: DataFrame, available: Sequence[str] = FIELD_NAMES, keys: Sequence[str] = RUN_KEYS
 ) -> DataFrame:
-    return unpivot_counts(metrics, "unread", list(available), keys, "field")
+    return _tall(metrics, "unread_rows", keys, "field", available)
+
+
+def percent_of(part: Column, rows: Column) -> Column:
+    return F.round(100.0 * F.try_divide(part, rows), 4)
 
 
 def missingness(
     metrics: DataFrame, available: Sequence[str] = FIELD_NAMES, keys: Sequence[str] = RUN_KEYS
 ) -> DataFrame:
     """NULLs and their share of the rows read, per field the source has."""
-    rows = unpivot_counts(metrics.select("*"), "null", list(available), [*keys, "input_rows"], "field")
-    return rows.select(
-        *keys,
-        "field",
-        F.col("rows").alias("null_count"),
-        F.round(100.0 * F.try_divide("rows", "input_rows"), 4).alias("null_pct"),
-    )
+    rows = _tall(metrics, "null_rows", [*keys, "input_rows"], "field", available)
+    share = percent_of(F.col("rows"), F.col("input_rows"))
+    return rows.select(*keys, "field", F.col("rows").alias("null_count"), share.alias("null_pct"))
 
 
 def missing_by_field(rows: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -109,34 +108,28 @@ def missing_by_field(rows: DataFrame, metrics: DataFrame) -> DataFrame:
     )
 
 
-def as_map(prefix: str, names: Sequence[str]) -> Column:
-    pairs = [c for n in names for c in (F.lit(n), F.col(f"{prefix}__{n}"))]
-    return F.create_map(*pairs)
+def run_record(metrics: DataFrame, available: Column | Sequence[str] = FIELD_NAMES) -> DataFrame:
+    """The one-row-per-run quality record. Per-field numbers cover the fields a source has: `available` is a list for
+    all runs, or a column of `metrics` with each run's own."""
+    fields = available if isinstance(available, Column) else F.array(*map(F.lit, available))
 
+    def of_source(counts: str) -> Column:
+        return F.map_filter(counts, lambda name, _: F.array_contains(fields, name))
 
-def run_record(metrics: DataFrame, available: Sequence[str] = FIELD_NAMES) -> DataFrame:
-    """The one-row-per-run quality record; per-reason, per-flag and per-column numbers live in maps."""
-    missing = [
-        c
-        for n in available
-        for c in (
-            F.lit(n),
-            F.struct(
-                F.col(f"null__{n}").alias("null_count"),
-                F.round(100.0 * F.try_divide(f"null__{n}", "input_rows"), 4).alias("null_pct"),
-            ),
-        )
-    ]
+    missing = F.transform_values(
+        of_source("null_rows"),
+        lambda _, n: F.struct(n.alias("null_count"), percent_of(n, F.col("input_rows")).alias("null_pct")),
+    )
     return metrics.select(
         *RUN_KEYS,
         *COUNTS,
         "accepted_amount",
         "min_pickup_date",
         "max_pickup_date",
-        as_map("reason", REASONS).alias("quarantine_reasons"),
-        as_map("flag", FLAGS).alias("flags"),
-        as_map("unread", available).alias("cast_failures"),
-        F.create_map(*missing).alias("missingness"),
+        F.col("reason_rows").alias("quarantine_reasons"),
+        F.col("flag_rows").alias("flags"),
+        of_source("unread_rows").alias("cast_failures"),
+        missing.alias("missingness"),
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +77,20 @@ def agg_flags_daily(fact: DataFrame) -> DataFrame:
     return rollup(rows, FLAG_KEYS, [F.count(F.lit(1)).alias("flagged_trips")])
 
 
-ROLLUPS = {
-    "hourly": agg_hourly,
-    "dropoff_daily": agg_dropoff_daily,
-    "buckets": agg_buckets,
-    "flags_daily": agg_flags_daily,
+@dataclass(frozen=True)
+class Rollup:
+    """A pre-aggregate: how it is built, the columns it is grouped by, and the measures it keeps (of MEASURES)."""
+
+    build: Callable[[DataFrame], DataFrame]
+    keys: tuple[str, ...]
+    measures: tuple[int, ...] = ()
+
+
+# The smallest tables come first among those that hold trips per group.
+TABLES: dict[str, Rollup] = {
+    "hourly": Rollup(agg_hourly, HOURLY_KEYS, (0, 1, 2)),
+    "dropoff_daily": Rollup(agg_dropoff_daily, DROPOFF_KEYS, (0, 1)),
+    "buckets": Rollup(agg_buckets, BUCKET_KEYS),
+    "flags_daily": Rollup(agg_flags_daily, FLAG_KEYS),
 }
+ROLLUPS = {name: table.build for name, table in TABLES.items()}

@@ -31,51 +31,36 @@ def bucket(grain: str) -> Column:
     return {"day": day, "month": F.trunc(day, "month")}[grain].cast("timestamp_ntz")
 
 
-@dataclass(frozen=True)
-class Reach:
-    """What one table can answer."""
-
-    name: str
-    form: str
-    filters: frozenset[str]
-    dimensions: frozenset[str]
-    metrics: frozenset[str]
-
-    def covers(self, f: TripFilter, dimensions: Iterable[str], metrics: Iterable[str]) -> bool:
-        return (
-            f.active() <= self.filters
-            and self.dimensions.issuperset(dimensions)
-            and self.metrics.issuperset(metrics)
-        )
-
-
-def _reach(name: str, form: str, lists: Iterable[str], extra: Iterable[str], grains: Iterable[str], metrics) -> Reach:
-    lists = frozenset(lists)
-    return Reach(
-        name, form, lists | frozenset(extra), lists | {f"time:{g}" for g in grains}, frozenset(metrics)
-    )
+# Columns of a trip that a question reads, by what it asks for.
+TIME_COLUMNS = {"hour": ("pickup_date", "pickup_hour"), "day": ("pickup_date",), "month": ("pickup_date",)}
+FILTER_COLUMNS = {name: (column,) for name, (column, *_) in LISTS.items()} | {
+    "date": ("pickup_date",), "distance": ("trip_distance",),
+}
+QUESTION_COLUMNS = {name: (column,) for name, column in DIMENSIONS.items()} | {
+    f"time:{grain}": columns for grain, columns in TIME_COLUMNS.items()
+}
 
 
-# Cheapest first; the last one answers everything.
-TABLES: tuple[Reach, ...] = (
-    _reach("hourly", ROLLUP, set(LISTS) - {"dropoff_zone"}, {"date"}, GRAINS, METRICS),
-    _reach(
-        "dropoff_daily", ROLLUP, {"dropoff_zone", "payment_type", "vendor_id"}, {"date"}, ("day", "month"),
-        set(METRICS) - {"avg_trip_duration_minutes"},
-    ),
-    _reach("fact", FACT, LISTS, {"date", "distance"}, GRAINS, METRICS),
-)
+def columns_read(f: TripFilter, dimensions: Iterable[str]) -> set[str]:
+    """What a table must be grouped by to answer: columns that are filtered, and columns that are grouped again."""
+    asked = [FILTER_COLUMNS[name] for name in f.active()] + [QUESTION_COLUMNS[name] for name in dimensions]
+    return {column for columns in asked for column in columns}
 
 
 def route(
     f: TripFilter, dimensions: Iterable[str] = (), metrics: Iterable[str] = (), prefer_fact: bool = False
-) -> Reach:
-    dimensions, metrics = list(dimensions), list(metrics)
-    unknown = [d for d in dimensions if d not in TABLES[-1].dimensions] + [m for m in metrics if m not in METRICS]
-    if unknown:
-        raise KeyError(f"unknown dimension or metric: {unknown}")
-    tables = TABLES[-1:] if prefer_fact else TABLES
-    return next(t for t in tables if t.covers(f, dimensions, metrics))
+) -> str:
+    """Name of the table to read: the first rollup that keeps the columns and measures asked for, else the fact.
+
+    Nothing but the rollups' own keys and measures decides, so a new rollup answers what it can without being listed.
+    """
+    columns = columns_read(f, dimensions)
+    measures = {METRICS[m].measure for m in metrics} - {None}
+    if not prefer_fact:
+        for name, table in rollups.TABLES.items():
+            if table.measures and columns <= {*table.keys} and measures <= {*table.measures}:
+                return name
+    return FACT
 
 
 @dataclass(frozen=True)
@@ -111,8 +96,8 @@ class TripStore:
         prefer_fact: bool = False,
     ) -> tuple[DataFrame, str]:
         """The filtered frame of the cheapest covering table, and its form."""
-        chosen = route(f, dimensions, metrics, prefer_fact)
-        return filters.apply(getattr(self, chosen.name), f), chosen.form
+        name = route(f, dimensions, metrics, prefer_fact)
+        return filters.apply(getattr(self, name), f), FACT if name == FACT else ROLLUP
 
     def histogram_rows(self, f: TripFilter) -> DataFrame | None:
         """The bucket rollup where only dates are filtered, else nothing: the fact must answer."""
