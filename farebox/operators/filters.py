@@ -10,16 +10,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farebox.schema import FLAGS
-
-# filter name -> (column, smallest, largest value, most values)
-LISTS: dict[str, tuple[str, int, int, int]] = {
-    "pickup_zone": ("pickup_location_id", 1, 265, 50),
-    "dropoff_zone": ("dropoff_location_id", 1, 265, 50),
-    "payment_type": ("payment_type", 0, 6, 7),
-    "vendor_id": ("vendor_id", 1, 99, 50),
-    "hour": ("pickup_hour", 0, 23, 24),
-    "weekday": ("pickup_day_of_week", 1, 7, 7),
+from farebox.schema import FLAGS, MAX_ZONE_ID
+
+# Filter name -> (column, smallest, largest value). The ranges of codes, hours and weekdays.
+LISTS: dict[str, tuple[str, int, int]] = {
+    "pickup_zone": ("pickup_location_id", 1, MAX_ZONE_ID),
+    "dropoff_zone": ("dropoff_location_id", 1, MAX_ZONE_ID),
+    "payment_type": ("payment_type", 0, 6),
+    "vendor_id": ("vendor_id", 1, 99),
+    "hour": ("pickup_hour", 0, 23),
+    "weekday": ("pickup_day_of_week", 1, 7),
 }
 
 
@@ -37,10 +37,10 @@ class TripFilter:
     max_distance: float | None = None
 
     def __post_init__(self) -> None:
-        for name, (_, low, high, most) in LISTS.items():
+        for name, (_, low, high) in LISTS.items():
             values = tuple(sorted(set(getattr(self, name))))
-            if len(values) > most or any(isinstance(v, bool) or not low <= v <= high for v in values):
-                raise ValueError(f"{name} takes at most {most} values from {low} to {high}")
+            if any(isinstance(v, bool) or not low <= v <= high for v in values):
+                raise ValueError(f"{name} takes values from {low} to {high}")
             object.__setattr__(self, name, values)
         for bound in (self.min_distance, self.max_distance):
             if bound is not None and not 0 <= bound <= 1000:
@@ -76,7 +76,7 @@ class TripFilter:
         return self.between(self.start - timedelta(days=days), self.start - timedelta(days=1))
 
     def conditions(self) -> list[Column]:
-        """A NULL in a filtered column never matches."""
+        """A NULL in a filtered column never matches. Long lists become one set lookup, at most one entry per zone id."""
         found = []
         if self.start:
             found.append(F.col("pickup_date") >= F.lit(self.start))
@@ -128,7 +128,7 @@ def published(df: DataFrame, taxi_type: str, months: Iterable[date]) -> DataFram
 def published_in(df: DataFrame, periods: DataFrame) -> DataFrame:
     """The same with the periods as a table (one row per month): partitions are pruned at run time."""
     months = periods.select("taxi_type", "data_period").distinct()
-    return df.join(F.broadcast(months), ["taxi_type", "data_period"], "left_semi")
+    return df.join(months, ["taxi_type", "data_period"], "left_semi")
 
 
 def with_quality(df: DataFrame, quality: str = "all", flag: str | None = None) -> DataFrame:

@@ -110,13 +110,10 @@ def zones_share(
     source = store.pick(f, [f"{side}_zone"], [metric])
     zones = questions.grouped(source, metric, key=F.col(questions.DIMENSIONS[f"{side}_zone"]))
     order = [F.desc_nulls_last("value"), F.desc("trips"), F.asc_nulls_last("key")]
-    ranked = zones.withColumns(
-        {
-            "share": share(F.col("trips"), F.sum("trips").over(whole())),
-            "rank": F.row_number().over(Window.orderBy(*order)),
-        }
-    )
-    top = labels.with_zone(ranked.filter(F.col("rank") <= limit), store.zones, "key")
+    total = zones.agg(F.sum("trips").alias("total")).scalar()
+    first = questions.at_most(zones.orderBy(*order), limit)  # so many rows are ranked, whatever number of zones
+    ranked = first.select("*", share(F.col("trips"), total).alias("share"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    top = labels.with_zone(ranked, store.zones, "key")
     return top.select("rank", "key", "label", "borough", "value", "trips", "share").orderBy("rank")
 
 
@@ -124,7 +121,7 @@ def breakdown_share(
     store: TripStore, dimension: str, f: TripFilter = ALL, metric: str = "total_trips"
 ) -> DataFrame:
     groups = questions.breakdown(store, dimension, f, metric)
-    return groups.withColumn("share", share(F.col("trips"), F.sum("trips").over(whole())))
+    return groups.withColumn("share", share(F.col("trips"), groups.agg(F.sum("trips").alias("total")).scalar()))
 
 
 def by_weekday(days: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from farebox.operators.clean import is_accepted, is_kept
 from farebox.schema import FIELD_NAMES, FLAGS, REASONS, WIDE_MONEY
+from farebox.session import cut
 
 RUN_KEYS: tuple[str, ...] = ("taxi_type", "data_period", "run_id")
 COUNTS: tuple[str, ...] = (
@@ -157,11 +158,14 @@ def checks(df: DataFrame, keys: Sequence[str], *named: tuple[str, Column, Column
 
 
 def require(checked: DataFrame, what: str) -> None:
-    """Raise with the failed checks; only failures reach the driver, and only the first few are shown."""
-    failed = checked.filter(~F.col("ok")).limit(20).collect()
-    if failed:
-        detail = "; ".join(str(r.asDict()) for r in failed)
-        raise VerificationError(f"{what} verification failed: {detail}")
+    """Raise where a check failed. All failed checks are written to the shared folder; the error names the table and
+    shows its first rows."""
+    failed = cut(checked.filter(~F.col("ok")), f"failed-{what.replace(' ', '-')}-checks")
+    shown = failed.limit(20).collect()
+    if shown:
+        detail = "; ".join(str(r.asDict()) for r in shown)
+        where = failed.select("_metadata.file_path").first()[0].rsplit("/", 1)[0]
+        raise VerificationError(f"{what} verification failed, {failed.count()} checks in {where}: {detail}")
 
 
 def verify_staged(staged: DataFrame, metrics: DataFrame) -> DataFrame:

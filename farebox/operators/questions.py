@@ -1,8 +1,8 @@
 """The fixed analytic questions: metric, filters and dimension in, one small DataFrame out.
 
 Every answer starts with one grouped aggregation that combines before its shuffle. What follows (ranking,
-shares, running totals) works on the grouped rows, whose number the dimension bounds: days, hours, zone ids,
-buckets. Windows without a partition are used on such frames only.
+shares, running totals) works on the grouped rows. Windows without a partition are used on days, hours and buckets
+only; codes and zone ids come from raw data and may be many, so their totals are scalar aggregates.
 """
 
 from __future__ import annotations
@@ -21,9 +21,6 @@ from farebox.operators.rollups import BUCKETS, MEASURES, bucket_start
 from farebox.plans.route import DIMENSIONS, TripStore, bucket
 
 ALL = TripFilter()
-MAX_POINTS = 5000
-MAX_GROUPS = 300
-MAX_HOURLY_DAYS = 62
 RANKED = ("pickup_zone", "dropoff_zone", "payment_type", "vendor_id")
 
 
@@ -141,21 +138,23 @@ def time_series(
     store: TripStore, f: TripFilter = ALL, metric: str = "total_trips", grain: str = "day",
     prefer_fact: bool = False,
 ) -> DataFrame:
-    """Metric and trips per bucket that has data; more than 5,000 points is an error, not a cut."""
-    if grain == "hour" and (f.days() is None or f.days() > MAX_HOURLY_DAYS):
-        raise ValueError(f"hourly series take a date range of at most {MAX_HOURLY_DAYS} days")
+    """Metric and trips per bucket that has data, over any range."""
     points = grouped(store.pick(f, [f"time:{grain}"], [metric], prefer_fact), metric, bucket=bucket(grain))
-    if f.days() is not None and f.days() <= MAX_POINTS:
-        return points.orderBy("bucket")
-    counted = points.withColumn("_n", F.count(F.lit(1)).over(whole()))
-    too_many = F.raise_error(F.lit("too many points; use a coarser grain or a shorter range"))
-    guard = F.when(F.col("_n") <= MAX_POINTS, True).otherwise(too_many.cast("boolean"))
-    return counted.filter(guard).drop("_n").orderBy("bucket")
+    return points.orderBy("bucket")
+
+
+def at_most(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows where a caller asks for so many, else all."""
+    if limit is None:
+        return df
+    if limit < 1:
+        raise ValueError("a limit is 1 or more")
+    return df.limit(limit)
 
 
 def breakdown(
     store: TripStore, dimension: str, f: TripFilter = ALL, metric: str = "total_trips",
-    limit: int = MAX_GROUPS, prefer_fact: bool = False,
+    limit: int | None = None, prefer_fact: bool = False,
 ) -> DataFrame:
     """Metric per hour, weekday, code or zone with its label; codes and zones ranked by value."""
     source = store.pick(f, [dimension], [metric], prefer_fact)
@@ -164,7 +163,7 @@ def breakdown(
         order = [F.desc_nulls_last("value"), F.desc("trips"), F.asc_nulls_last("key")]
     else:
         order = [F.asc_nulls_last("key")]
-    top = groups.orderBy(*order).limit(max(1, min(limit, MAX_GROUPS)))
+    top = at_most(groups.orderBy(*order), limit)
     if dimension.endswith("_zone"):
         return labels.with_zone(top, store.zones, "key").orderBy(*order)
     label = {
@@ -179,8 +178,6 @@ def breakdown(
 def top_zones(
     store: TripStore, side: str, f: TripFilter = ALL, metric: str = "total_trips", limit: int = 10
 ) -> DataFrame:
-    if not 1 <= limit <= 50:
-        raise ValueError("limit runs from 1 to 50")
     return breakdown(store, f"{side}_zone", f, metric, limit)
 
 
@@ -190,8 +187,8 @@ def zone_totals(
     """Every zone for a map: its value, the log scale the map colours by, and its share of the selection."""
     zones = breakdown(store, f"{side}_zone", f, metric)
     value = F.col("value").cast("double")
-    total = F.sum(F.coalesce(value, F.lit(0.0))).over(whole())
-    top = F.log10(F.greatest(F.max(value).over(whole()), F.lit(10.0)))
+    total = zones.agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("total")).scalar()
+    top = F.log10(F.greatest(zones.agg(F.max(value).alias("top")).scalar(), F.lit(10.0)))
     return zones.select(
         "*",
         F.when(value > 0, F.log10(value)).alias("log_value"),
@@ -210,8 +207,6 @@ def hour_weekday(
 
 def flows(store: TripStore, f: TripFilter = ALL, metric: str = "total_trips", limit: int = 15) -> DataFrame:
     """Ranked pickup and drop-off pairs; only the top rows are labelled."""
-    if not 1 <= limit <= 50:
-        raise ValueError("limit runs from 1 to 50")
     source = store.pick(f, ["pickup_zone", "dropoff_zone"], [metric])
     pairs = grouped(
         source, metric, pickup_zone=F.col("pickup_location_id"), dropoff_zone=F.col("dropoff_location_id")
@@ -220,7 +215,7 @@ def flows(store: TripStore, f: TripFilter = ALL, metric: str = "total_trips", li
         F.desc_nulls_last("value"), F.desc("trips"), F.asc_nulls_last("pickup_zone"),
         F.asc_nulls_last("dropoff_zone"),
     ]
-    top = pairs.orderBy(*order).limit(limit)
+    top = at_most(pairs.orderBy(*order), limit)
     for side in ("pickup", "dropoff"):
         top = labels.with_zone(top, store.zones, f"{side}_zone", f"{side}_").drop(f"{side}_mapped")
     same = F.col("pickup_zone").eqNullSafe(F.col("dropoff_zone"))
@@ -295,6 +290,7 @@ def distribution_summary(store: TripStore, metric: str, f: TripFilter = ALL) ->
 
 # ---- rows -----------------------------------------------------------------------------------------------------
 
+# The columns of a row page, in order, and those it may be sorted by.
 ROW_COLUMNS: tuple[str, ...] = (
     "pickup_datetime", "dropoff_datetime", "pickup_location_id", "dropoff_location_id", "trip_distance",
     "trip_duration_minutes", "passenger_count", "payment_type", "vendor_id", "rate_code_id", "fare_amount",
@@ -305,8 +301,6 @@ SORTABLE: tuple[str, ...] = (
     "pickup_datetime", "trip_distance", "trip_duration_minutes", "total_amount", "fare_amount", "tip_amount",
     "passenger_count", "average_speed_mph",
 )
-PAGE_SIZES = (25, 50, 100)
-MAX_PREVIEW = 10_000
 
 
 def scoped_rows(store: TripStore, f: TripFilter, quality: str = "all", flag: str | None = None) -> DataFrame:
@@ -314,23 +308,50 @@ def scoped_rows(store: TripStore, f: TripFilter, quality: str = "all", flag: str
     return filters.with_quality(trips, quality, flag)
 
 
-def row_order(sort: str, descending: bool) -> list[Column]:
-    """NULLs last either way, then pickup and drop-off; the remaining columns make ties reproducible."""
+def sort_columns(sort: str) -> list[str]:
+    """The column asked for, then pickup and drop-off; the remaining columns make ties reproducible."""
     if sort not in SORTABLE:
         raise KeyError(f"not sortable: {sort!r}")
-    first = F.desc_nulls_last(sort) if descending else F.asc_nulls_last(sort)
-    ties = [c for c in ("pickup_datetime", "dropoff_datetime") if c != sort]
-    rest = [c for c in ROW_COLUMNS if c not in (sort, *ties, "quality_flags")]
-    return [first, *[F.asc_nulls_last(c) for c in (*ties, *rest)]]
+    first = [sort, *(c for c in ("pickup_datetime", "dropoff_datetime") if c != sort)]
+    return first + [c for c in ROW_COLUMNS if c not in (*first, "quality_flags")]
+
+
+def row_order(sort: str, descending: bool) -> list[Column]:
+    """NULLs last either way; only the column asked for is ever descending."""
+    first, *ties = sort_columns(sort)
+    return [F.desc_nulls_last(first) if descending else F.asc_nulls_last(first), *map(F.asc_nulls_last, ties)]
+
+
+def is_behind(row: dict, sort: str, descending: bool) -> Column:
+    """Whether a row comes after the given one in that order: equal in some columns, then later in the next."""
+    behind, equal = F.lit(False), F.lit(True)
+    for i, name in enumerate(sort_columns(sort)):
+        column, value = F.col(name), F.lit(row[name])
+        if row[name] is None:
+            later = F.lit(False)  # NULL comes last
+        else:
+            later = (column < value if descending and i == 0 else column > value) | column.isNull()
+        behind = behind | (equal & F.coalesce(later, F.lit(False)))
+        equal = equal & column.eqNullSafe(value)
+    return behind
 
 
 def explore(
     store: TripStore, f: TripFilter = ALL, sort: str = "pickup_datetime", descending: bool = True,
     quality: str = "all", flag: str | None = None, page: int = 1, page_size: int = 50,
+    after: dict | None = None,
 ) -> DataFrame:
-    if page_size not in PAGE_SIZES or page < 1 or page * page_size > MAX_PREVIEW:
-        raise ValueError(f"page sizes are {PAGE_SIZES}, up to row {MAX_PREVIEW}")
-    rows = scoped_rows(store, f, quality, flag).select(*ROW_COLUMNS).orderBy(*row_order(sort, descending))
+    """A page of rows, by number or behind a row already seen.
+
+    `after` is the last row of the page before, as a dict: the page then starts right behind it however deep it lies,
+    at the cost of a first page. Numbered pages sort all rows up to their own.
+    """
+    if page_size < 1 or page < 1:
+        raise ValueError("pages and page sizes are 1 or more")
+    rows = scoped_rows(store, f, quality, flag).select(*ROW_COLUMNS)
+    if after is not None:
+        rows = rows.filter(is_behind(after, sort, descending))
+    rows = rows.orderBy(*row_order(sort, descending))
     return rows.offset((page - 1) * page_size).limit(page_size)
 
 
@@ -344,11 +365,11 @@ def zones_list(zones: DataFrame) -> DataFrame:
     return zones.select("location_id", "borough", "zone", "service_zone", "is_geographic").orderBy("location_id")
 
 
-def find_zones(zones: DataFrame, text: str, limit: int = 10) -> DataFrame:
-    """Zones whose name or borough contains the text, ignoring case."""
+def find_zones(zones: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """All zones whose name or borough contains the text, ignoring case."""
     needle = F.lit(text.strip().lower())
     hit = F.lower("zone").contains(needle) | F.lower("borough").contains(needle)
-    return zones.filter(hit).select("location_id", "zone", "borough").orderBy("location_id").limit(limit)
+    return at_most(zones.filter(hit).select("location_id", "zone", "borough").orderBy("location_id"), limit)
 
 
 # ---- daily quality --------------------------------------------------------------------------------------------

@@ -19,7 +19,6 @@ from farebox.operators.questions import whole
 from farebox.plans.route import TripStore
 
 # Report limits and the headline metrics of each template.
-DAILY_TREND_DAYS = 400
 TOP_ZONES = 10
 TOP_PAIRS = 15
 TOP_SLOTS = 10
@@ -54,6 +53,7 @@ class ReportInput:
     runs: DataFrame
     schemas: DataFrame
     min_group_trips: int = MIN_GROUP_TRIPS
+    grain: str = "day"  # of the trend
 
     def range(self) -> tuple[Column, Column]:
         return F.lit(self.f.start).cast("date"), F.lit(self.f.end).cast("date")
@@ -116,9 +116,9 @@ def kpis(r: ReportInput, template: str, coverage_start: date | Column) -> DataFr
 
 
 def trend(r: ReportInput) -> DataFrame:
-    """Trips per day, or per month for long ranges, and the busiest and quietest day (the earlier on a tie)."""
+    """Trips per day or month, as the report's grain says, and the busiest and quietest day (the earlier on a tie)."""
     days = r.daily().select(F.col("pickup_date").cast("timestamp_ntz").alias("bucket"), "trips")
-    if r.f.days() is not None and r.f.days() <= DAILY_TREND_DAYS:
+    if r.grain == "day":
         points = days
     else:
         month = F.date_trunc("month", "bucket").cast("timestamp_ntz").alias("bucket")
@@ -393,12 +393,12 @@ def processing(r: ReportInput) -> DataFrame:
         r.covered_runs()
         .select(
             F.date_format("data_period", "yyyy-MM").alias("period"),
-            F.substring("run_id", 1, 8).alias("run"),
+            F.col("run_id").alias("run"),
             "input_rows",
             "accepted_rows",
             "quarantined_rows",
             "duration_seconds",
-            F.substring("schema_version", 1, 12).alias("schema"),
+            F.col("schema_version").alias("schema"),
             F.min("duration_seconds").over(whole()).alias("min_seconds"),
             F.max("duration_seconds").over(whole()).alias("max_seconds"),
         )
@@ -452,7 +452,11 @@ def daily_flags(r: ReportInput, top: int = 4) -> DataFrame:
 
 
 def schema_changes(r: ReportInput) -> DataFrame:
-    """Schema versions and changed pairs inside the covered months, as (kind, version or from, to, detail)."""
+    """Schema versions and changed pairs inside the covered months.
+
+    (kind, name, detail, columns, periods, added, removed): a version's format, number of columns and months; or a pair
+    of months and the columns that came and went between them.
+    """
     months = r.covered_months().agg(F.collect_set(F.date_format("data_period", "yyyy-MM")).alias("m")).scalar()
     versions = registry.schema_versions(r.schemas).filter(F.arrays_overlap("periods", months))
     drift = registry.schema_drift(r.schemas).filter(
@@ -464,15 +468,19 @@ def schema_changes(r: ReportInput) -> DataFrame:
 
     return versions.select(
         F.lit("version").alias("kind"),
-        F.substring("schema_version", 1, 12).alias("name"),
+        F.col("schema_version").alias("name"),
         F.col("file_format").alias("detail"),
-        F.col("column_count").cast("string").alias("added"),
-        F.array_join("periods", ", ").alias("removed"),
+        F.col("column_count").cast("long").alias("columns"),
+        F.array_join("periods", ", ").alias("periods"),
+        F.lit(None).cast("string").alias("added"),
+        F.lit(None).cast("string").alias("removed"),
     ).unionByName(
         drift.select(
             F.lit("drift").alias("kind"),
             F.col("from_period").alias("name"),
             F.col("to_period").alias("detail"),
+            F.lit(None).cast("long").alias("columns"),
+            F.lit(None).cast("string").alias("periods"),
             listed("added").alias("added"),
             listed("removed").alias("removed"),
         )

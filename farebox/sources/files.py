@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from farebox.session import cut
 from farebox.sources.mapping import SourceError, column_types
 
 BAD = "_bad_record"
@@ -102,27 +103,18 @@ def validate_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
         F.min_by("bad", F.when(bad, F.col("offset"))).alias("sample"),
         F.max(F.coalesce(bad & F.ltrim("first_value").rlike("^[{<]"), F.lit(False))).alias("response_body"),
     )
-    ordered = splits.agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "split", "good", "bad_rows", (F.col("bad_offset") - F.col("base")).alias("before"),
-                    "sample", "response_body",
-                )
-            )
-        ).alias("s")
+    splits = cut(splits, "splits")  # one small row per split, read twice
+    first_bad = splits.filter("bad_rows > 0").agg(F.min("split").alias("split")).scalar()
+    before = F.when(F.col("split") < first_bad, F.col("good")).when(
+        F.col("split") == first_bad, F.col("bad_offset") - F.col("base")
     )
-    first_bad = F.expr("array_min(transform(filter(s, x -> x.bad_rows > 0), x -> x.split))")
     utf8 = spark.read.text(path).agg(F.coalesce(F.bool_and(F.expr("is_valid_utf8(value)")), F.lit(True)))
-    summary = ordered.withColumn("first_bad", first_bad).select(
-        F.expr("coalesce(aggregate(s, 0L, (a, x) -> a + x.good), 0L)").alias("rows"),
-        F.expr("coalesce(aggregate(s, 0L, (a, x) -> a + x.bad_rows), 0L)").alias("bad_rows"),
-        F.expr(
-            "aggregate(s, 0L, (a, x) -> a + CASE WHEN x.split < first_bad THEN x.good"
-            " WHEN x.split = first_bad THEN x.before ELSE 0 END)"
-        ).alias("good_before"),
-        F.expr("coalesce(exists(s, x -> x.response_body), false)").alias("truncated"),
-        F.expr("get(transform(filter(s, x -> x.split = first_bad), x -> x.sample), 0)").alias("sample"),
+    summary = splits.agg(
+        F.coalesce(F.sum("good"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("bad_rows"), F.lit(0)).alias("bad_rows"),
+        F.coalesce(F.sum(before), F.lit(0)).alias("good_before"),
+        F.coalesce(F.bool_or("response_body"), F.lit(False)).alias("truncated"),
+        F.max(F.when(F.col("split") == first_bad, F.col("sample"))).alias("sample"),
     )
     ok = (F.col("bad_rows") == 0) & (F.col("rows") > 0) & F.col("valid_utf8")
     return summary.withColumn("valid_utf8", utf8.scalar()).select(
@@ -132,7 +124,7 @@ def validate_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
         F.when(F.col("bad_rows") > 0, F.col("good_before")).alias("rows_before_bad"),
         "truncated",
         "valid_utf8",
-        F.substring("sample", 1, 40).alias("sample"),
+        "sample",
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farebox.schema import MAX_ZONE_ID, NON_GEOGRAPHIC_ZONES
@@ -58,5 +58,7 @@ def geographic_ids(zones: DataFrame) -> DataFrame:
 
 
 def bounded_zones(zones: DataFrame) -> DataFrame:
-    """Zones inside the permitted id range: at most MAX_ZONE_ID rows, which is what allows the broadcast."""
-    return zones.filter(F.col("location_id").between(1, MAX_ZONE_ID)).dropDuplicates(["location_id"])
+    """The zones as they are, or an error where an id is out of range or there twice; so at most MAX_ZONE_ID rows."""
+    usable = F.col("location_id").between(1, MAX_ZONE_ID) & (F.count(F.lit(1)).over(Window.partitionBy("location_id")) == 1)
+    wrong = F.raise_error(F.lit("zone lookup has an invalid or duplicate LocationID")).cast("boolean")
+    return zones.withColumn("_usable", F.coalesce(usable, F.lit(False))).filter(F.when(F.col("_usable"), True).otherwise(wrong)).drop("_usable")

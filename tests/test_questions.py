@@ -55,7 +55,7 @@ def test_unknown_names_are_refused(store):
 @pytest.mark.parametrize(
     "bad",
     [
-        {"pickup_zone": (0,)}, {"pickup_zone": tuple(range(1, 60))}, {"hour": (24,)}, {"weekday": (0,)}, {"payment_type": (7,)},
+        {"pickup_zone": (0,)}, {"pickup_zone": (10_001,)}, {"hour": (24,)}, {"weekday": (0,)}, {"payment_type": (7,)},
         {"min_distance": -1.0}, {"min_distance": 5.0, "max_distance": 2.0}, {"start": dt.date(2025, 2, 1), "end": dt.date(2025, 1, 1)},
         {"vendor_id": (True,)},
     ],
@@ -126,12 +126,21 @@ def test_overlapping_ranges_compare(store):
         insight.compare_periods(store, a, b, coverage=(dt.date(1997, 1, 1), dt.date(1999, 1, 1)))
 
 
-def test_series_bounds(store):
+def test_answers_are_never_cut(spark, store, january, zones):
+    """400 zones, a series of twenty years, hours of the whole coverage, and a filter of many values."""
+    wide = TripStore(**{**vars(store), "hourly": store.hourly.withColumn("pickup_date", F.explode(F.sequence(F.lit(dt.date(1990, 1, 1)), F.lit(dt.date(2010, 1, 1)))))})
+    assert questions.time_series(wide).count() == 7306
+    assert questions.time_series(store, grain="hour").agg(F.sum("trips")).first()[0] == store.fact.count()
+    one = clean.accepted(january).limit(1).drop("pickup_location_id")
+    many = one.withColumn("pickup_location_id", F.explode(F.sequence(F.lit(1), F.lit(400)))).select(*clean.accepted(january).columns)
+    places = TripStore.over(many, zones)
+    rows = questions.zone_totals(places).collect()
+    assert len(rows) == 400 and all(r.share == pytest.approx(1 / 400) for r in rows)
+    assert questions.top_zones(places, "pickup", limit=350).count() == 350
+    some = TripFilter(pickup_zone=tuple(range(1, 61)))
+    assert questions.overview(places, some, prefer_fact=True).first().total_trips == 60
     with pytest.raises(ValueError):
-        questions.time_series(store, grain="hour")
-    with pytest.raises(Exception, match="too many points"):
-        wide = TripStore(**{**vars(store), "hourly": store.hourly.withColumn("pickup_date", F.explode(F.sequence(F.lit(dt.date(1990, 1, 1)), F.lit(dt.date(2010, 1, 1)))))})
-        questions.time_series(wide).collect()
+        questions.top_zones(places, "pickup", limit=0)
 
 
 def test_quantiles_are_buckets(spark):
@@ -169,9 +178,17 @@ def test_explorer_orders_nulls_last_both_ways(store):
     page = questions.explore(store, page=total // 100 + 1, page_size=100).count()
     assert page == total % 100
     with pytest.raises(ValueError):
-        questions.explore(store, page_size=60)
-    with pytest.raises(ValueError):
-        questions.explore(store, page=101, page_size=100)
+        questions.explore(store, page_size=0)
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_behind_a_row_are_numbered_pages(store, descending):
+    last = None
+    for page in range(1, 5):
+        options = {"sort": "average_speed_mph", "descending": descending, "page_size": 700}
+        rows = questions.explore(store, page=page, **options).collect()
+        assert questions.explore(store, after=last, **options).collect() == rows
+        last = rows[-1].asDict()
 
 
 def brute_anomalies(points):

@@ -286,7 +286,7 @@ oracle("schema_fingerprint", "SELECT period, version AS schema_version FROM regi
 ZONE_ROW = f"{B('id')} AS location_id, borough, zone, 'Zone' AS service_zone, geo AS is_geographic"
 for name in ("load_zones", "zones_list", "replace_dimension"):
     oracle(name, f"SELECT {ZONE_ROW} FROM seen_zones")
-oracle("find_zones", f"SELECT {B('id')} AS location_id, zone, borough FROM seen_zones WHERE lower(zone) LIKE '%east%' OR lower(borough) LIKE '%east%' ORDER BY id LIMIT 10")
+oracle("find_zones", f"SELECT {B('id')} AS location_id, zone, borough FROM seen_zones WHERE lower(zone) LIKE '%east%' OR lower(borough) LIKE '%east%' ORDER BY id")
 oracle("write_curated", f"SELECT 'yellow' AS taxi_type, {S('data_period')} AS data_period, count(*) AS rows, {R('sum(total_amount)')} AS amount FROM fact GROUP BY data_period")
 oracle("write_quarantine", f"SELECT {S('data_period')} AS data_period, {ID}, reasons AS quarantine_reasons, source_file FROM judged WHERE reasons <> ''")
 oracle("publish_partition", f"""
@@ -314,7 +314,7 @@ SELECT {TS('pickup_datetime')} AS pickup_datetime, {TS('dropoff_datetime')} AS d
        {B('dropoff_location_id')} AS dropoff_location_id, {R('trip_distance')} AS trip_distance, {R('total_amount')} AS total_amount, flags AS quality_flags
 FROM fact WHERE flags <> ''
 ORDER BY fact.total_amount DESC, fact.pickup_datetime, fact.dropoff_datetime, fact.pickup_location_id, fact.dropoff_location_id,
-         fact.trip_distance, minutes, passenger_count NULLS LAST, payment_type, vendor_id NULLS LAST, fare_amount LIMIT 100000""")
+         fact.trip_distance, minutes, passenger_count NULLS LAST, payment_type, vendor_id NULLS LAST, fare_amount""")
 oracle("csv_cell", """
 SELECT strftime(pickup_datetime, '%Y-%m-%d %H:%M:%S') AS pickup_datetime, coalesce(passenger_count::VARCHAR, '') AS passenger_count,
        total_amount::VARCHAR AS total_amount, CASE WHEN av THEN 'true' ELSE 'false' END AS is_amount_valid, flags AS quality_flags,
@@ -495,7 +495,7 @@ def series(metric: str, bucket: str, condition: str = "true") -> str:
 MONTH = "date_trunc('month', pickup_date)::TIMESTAMP"
 oracle("series_day", series("avg_total_amount", "pickup_date::TIMESTAMP"))
 oracle("series_month", series("avg_trip_distance", MONTH))
-oracle("series_hour", series("total_trips", "date_trunc('hour', pickup_datetime)", "pickup_date BETWEEN DATE '1997-03-01' AND DATE '1997-04-30'"))
+oracle("series_hour", series("total_trips", "date_trunc('hour', pickup_datetime)"))
 
 
 def by(column: str, metric: str, label: str, condition: str = "true") -> str:
@@ -508,17 +508,17 @@ oracle("by_payment", by("payment_type", "total_recorded_amount", PAYMENT))
 oracle("by_vendor", by("vendor_id", "total_trips", VENDOR))
 
 
-def zones_ranked(column: str, condition: str, limit: int) -> str:
+def zones_ranked(column: str, condition: str, limit: int | None = None) -> str:
     return f"""SELECT {B('key')} AS key, value, trips, coalesce(zone, 'Unmapped (' || key || ')') AS label, borough, zone IS NOT NULL AS mapped
       FROM (SELECT {column} AS key, count(*) AS value, count(*) AS trips FROM fact WHERE {condition} GROUP BY {column}
-            ORDER BY value DESC, key LIMIT {limit}) g LEFT JOIN places ON id = g.key"""
+            ORDER BY value DESC, key {f"LIMIT {limit}" if limit else ""}) g LEFT JOIN places ON id = g.key"""
 
 
 oracle("top_pickup_zones", zones_ranked("pickup_location_id", "true", 20))
-oracle("top_dropoff_zones", zones_ranked("dropoff_location_id", THREE, 20))
+oracle("top_dropoff_zones", zones_ranked("dropoff_location_id", "true", 20))
 oracle("zone_totals", f"""
 SELECT *, {R('log10(value)')} AS log_value, {R('log10(greatest(max(value) OVER (), 10))')} AS scale_max, {R(ratio('value', 'sum(value) OVER ()'))} AS share
-FROM ({zones_ranked('pickup_location_id', 'true', 300)})""")
+FROM ({zones_ranked('pickup_location_id', 'true')})""")
 oracle("hour_weekday", f"""
 SELECT {B('pickup_day_of_week')} AS weekday, {B('pickup_hour')} AS hour, {V('avg_trip_distance')} AS value, count(*) AS trips FROM fact GROUP BY pickup_day_of_week, pickup_hour""")
 FLOWS = """(SELECT pickup_location_id AS p, dropoff_location_id AS q, count(*) AS n FROM fact WHERE {0} GROUP BY 1, 2 ORDER BY n DESC, p, q LIMIT {1})"""
@@ -542,7 +542,7 @@ def hist_rows(metric: str, condition: str = "true") -> str:
 
 
 oracle("dist_distance", hist_rows("trip_distance"))
-oracle("dist_amount", hist_rows("total_amount", "payment_type IN (1, 2)"))
+oracle("dist_amount", hist_rows("total_amount"))
 ACCUMULATED = "SELECT s, trips, sum(trips) OVER (ORDER BY s) AS upto, sum(trips) OVER () AS total FROM ({0})"
 oracle("quantile_bucket", f"""
 SELECT q, min(s) AS start, CASE WHEN min(s) < 200 THEN min(s) + 5 END AS "end"
@@ -639,7 +639,7 @@ SHARES = """SELECT row_number() OVER (ORDER BY n DESC, k) AS rank, k, n, n / CAS
   FROM (SELECT {0} AS k, count(*) AS n FROM fact WHERE {1} GROUP BY 1)"""
 oracle("zones_share", f"""
 SELECT rank, {B('k')} AS key, coalesce(zone, 'Unmapped (' || k || ')') AS label, borough, n AS value, n AS trips, {R('s')} AS share
-FROM ({SHARES.format('dropoff_location_id', THREE)}) LEFT JOIN places ON id = k WHERE rank <= 25""")
+FROM ({SHARES.format('dropoff_location_id', 'true')}) LEFT JOIN places ON id = k WHERE rank <= 25""")
 oracle("breakdown_share", f"SELECT *, {R(ratio('trips', 'sum(trips) OVER ()'))} AS share FROM ({by('payment_type', 'avg_trip_distance', PAYMENT)})")
 cte("weekdays", "SELECT isodow(pickup_date) AS w, sum(trips) AS trips, count(*) AS days FROM days GROUP BY 1")
 oracle("weekday_per_day", f"SELECT {B('w')} AS weekday, {B('trips')} AS trips, days, {DAY3.format('w')} AS label, {R(ratio('trips', 'days'))} AS trips_per_day FROM weekdays")
@@ -809,7 +809,7 @@ cte("timed97", """
   SELECT r.*, strftime(r.data_period, '%Y-%m') AS period, version, CAST(30 + (year(r.data_period) * 100 + month(r.data_period)) % 11 AS DOUBLE) AS secs
   FROM runs97 r LEFT JOIN registry g ON g.data_period = r.data_period""")
 oracle("rpt_processing", """
-SELECT period, substr(run_id, 1, 8) AS run, input_rows, accepted_rows, quarantined_rows, secs AS duration_seconds, substr(version, 1, 12) AS schema,
+SELECT period, run_id AS run, input_rows, accepted_rows, quarantined_rows, secs AS duration_seconds, version AS schema,
        min(secs) OVER () AS min_seconds, max(secs) OVER () AS max_seconds FROM timed97""")
 oracle("rpt_quarantine", f"""
 SELECT rank, name AS reason, {REASON_LABEL.format('name')} AS label, n AS rows, {R(ratio('n', '(SELECT q FROM sums97)'))} AS share FROM ({ranked97('run_reasons', 'reason')})""")
@@ -822,11 +822,11 @@ LEFT JOIN day_flags q ON q.flag = t.flag AND q.pickup_date = d.pickup_date""",
     {"top4": f"SELECT * FROM (SELECT flag, row_number() OVER (ORDER BY sum(n) DESC, flag) AS rank FROM day_flags WHERE {Y1997} GROUP BY flag) WHERE rank <= 4"})
 cte("months3", "SELECT strftime(data_period, '%Y-%m') AS p FROM months WHERE hi >= DATE '1996-03-01' AND lo <= DATE '1999-02-28'")
 oracle("rpt_schema", """
-SELECT 'version' AS kind, substr(version, 1, 12) AS name, arg_min(file_format, period) AS detail, CAST(arg_min(n, period) AS VARCHAR) AS added,
-       string_agg(period, ', ' ORDER BY period) AS removed
+SELECT 'version' AS kind, version AS name, arg_min(file_format, period) AS detail, CAST(arg_min(n, period) AS BIGINT) AS columns,
+       string_agg(period, ', ' ORDER BY period) AS periods, CAST(NULL AS VARCHAR) AS added, CAST(NULL AS VARCHAR) AS removed
 FROM registry GROUP BY version HAVING bool_or(period IN (SELECT p FROM months3))
 UNION ALL
-SELECT 'drift', before, after, coalesce(string_agg(new, ', ' ORDER BY new) FILTER (WHERE old IS NULL), '—'),
+SELECT 'drift', before, after, NULL, NULL, coalesce(string_agg(new, ', ' ORDER BY new) FILTER (WHERE old IS NULL), '—'),
        coalesce(string_agg(old, ', ' ORDER BY old) FILTER (WHERE new IS NULL), '—')
 FROM column_pairs WHERE before IN (SELECT p FROM months3) AND after IN (SELECT p FROM months3) GROUP BY before, after
 HAVING bool_or(old IS NULL OR new IS NULL OR old <> new OR old_kind <> new_kind)""")

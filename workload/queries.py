@@ -541,19 +541,19 @@ def _(spark, sf):
 
 query("series_day")(lambda spark, sf: questions.time_series(store(spark, sf), metric="avg_total_amount"))
 query("series_month")(lambda spark, sf: questions.time_series(store(spark, sf), metric="avg_trip_distance", grain="month"))
-query("series_hour")(lambda spark, sf: questions.time_series(store(spark, sf), TWO_MONTHS, grain="hour"))
+query("series_hour")(lambda spark, sf: questions.time_series(store(spark, sf), grain="hour"))
 query("by_hour")(lambda spark, sf: questions.breakdown(store(spark, sf), "hour", metric="avg_total_amount"))
 query("by_weekday")(lambda spark, sf: questions.breakdown(store(spark, sf), "weekday", metric="avg_trip_duration_minutes"))
 query("by_payment")(lambda spark, sf: questions.breakdown(store(spark, sf), "payment_type", metric="total_recorded_amount"))
 query("by_vendor")(lambda spark, sf: questions.breakdown(store(spark, sf), "vendor_id"))
 query("top_pickup_zones")(lambda spark, sf: questions.top_zones(store(spark, sf), "pickup", limit=20))
-query("top_dropoff_zones")(lambda spark, sf: questions.top_zones(store(spark, sf), "dropoff", MIXED.dates_only(), limit=20))
+query("top_dropoff_zones")(lambda spark, sf: questions.top_zones(store(spark, sf), "dropoff", limit=20))
 query("zone_totals")(lambda spark, sf: questions.zone_totals(store(spark, sf)))
 query("hour_weekday")(lambda spark, sf: questions.hour_weekday(store(spark, sf), metric="avg_trip_distance"))
 query("top_flows")(lambda spark, sf: questions.flows(store(spark, sf), limit=50))
 query("dist_distance")(lambda spark, sf: questions.histogram(store(spark, sf), "trip_distance"))
 query("dist_amount")(
-    lambda spark, sf: questions.histogram(store(spark, sf), "total_amount", TripFilter(payment_type=(1, 2)))
+    lambda spark, sf: questions.histogram(store(spark, sf), "total_amount")
 )
 
 
@@ -646,7 +646,7 @@ query("compare_periods")(
         store(spark, sf), Y1996, TripFilter(start=dt.date(1996, 7, 1), end=dt.date(1997, 6, 30))
     )
 )
-query("zones_share")(lambda spark, sf: insight.zones_share(store(spark, sf), "dropoff", MIXED.dates_only(), limit=25))
+query("zones_share")(lambda spark, sf: insight.zones_share(store(spark, sf), "dropoff", limit=25))
 query("breakdown_share")(lambda spark, sf: insight.breakdown_share(store(spark, sf), "payment_type", metric="avg_trip_distance"))
 query("weekday_per_day")(lambda spark, sf: insight.weekday_per_day(store(spark, sf)))
 query("weekend_split")(lambda spark, sf: insight.weekend_split(store(spark, sf)))
@@ -673,9 +673,9 @@ query("hour_extremes")(lambda spark, sf: insight.hour_extremes(store(spark, sf))
 # ---- reports --------------------------------------------------------------------------------------------------
 
 
-def report_input(spark, sf, f: TripFilter = Y1997) -> report.ReportInput:
+def report_input(spark, sf, f: TripFilter = Y1997, grain: str = "day") -> report.ReportInput:
     s = store(spark, sf)
-    return report.ReportInput(s, f, s.periods, run_records(spark, sf), inputs.schemas(spark, sf), MIN_GROUP)
+    return report.ReportInput(s, f, s.periods, run_records(spark, sf), inputs.schemas(spark, sf), MIN_GROUP, grain)
 
 
 def coverage_start(spark, sf) -> Column:
@@ -709,7 +709,7 @@ for _name, _table in {
     query(_name)(lambda spark, sf, build=_table: build(report_input(spark, sf)))
 
 LONG_RANGE = TripFilter(start=dt.date(1996, 3, 1), end=dt.date(1999, 2, 28))
-query("rpt_trend_monthly")(lambda spark, sf: report.trend(report_input(spark, sf, LONG_RANGE)))
+query("rpt_trend_monthly")(lambda spark, sf: report.trend(report_input(spark, sf, LONG_RANGE, "month")))
 query("rpt_schema")(lambda spark, sf: report.schema_changes(report_input(spark, sf, LONG_RANGE)))
 query("rpt_evidence")(
     lambda spark, sf: report.evidence(report_input(spark, sf), ("trend", "weekday", "hour", "top_pickup_zones", "exclusions", "flags"))
