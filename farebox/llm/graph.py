@@ -27,8 +27,8 @@ from farebox.session import cut
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.98
-    shard: int = 2_000  # nodes at home in a shard, on average
-    overlap: int = 3  # shards of a node
+    shard: int = 500  # nodes at home in a shard, on average
+    overlap: int = 2  # shards of a node
     sample: int = 40_000  # nodes that centroids are fitted on, in expectation; 4 per centroid at least
     near: int = 48  # candidates for the neighbours of a node
     random: int = 16
