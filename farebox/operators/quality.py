@@ -192,6 +192,14 @@ def verify_staged(staged: DataFrame, metrics: DataFrame) -> DataFrame:
     )
 
 
+def verify_stage(staged: DataFrame) -> DataFrame:
+    """Rows of a stage that lie outside the month they would be published in."""
+    period = ["taxi_type", "data_period"]
+    stray = F.count_if(F.coalesce(F.trunc("pickup_date", "month") != F.col("data_period"), F.lit(True)))
+    found = staged.groupBy(*period).agg(stray.alias("stray"))
+    return checks(found, period, ("rows outside the period", F.lit(0), F.col("stray")))
+
+
 def verify_published(target: DataFrame, staged: DataFrame) -> DataFrame:
     """Target rows and sums equal the staged ones, period by period."""
     period = ["taxi_type", "data_period"]
@@ -261,11 +269,10 @@ def published_periods(fact: DataFrame) -> DataFrame:
     )
 
 
-def upsert_period(current: DataFrame, new: DataFrame) -> DataFrame:
-    """Latest row per (taxi type, month); both carry `published_at`."""
+def latest_periods(rows: DataFrame) -> DataFrame:
+    """The row of each (taxi type, month) published last."""
     latest = Window.partitionBy("taxi_type", "data_period").orderBy(F.desc("published_at"), F.desc("run_id"))
-    ranked = current.unionByName(new).withColumn("_n", F.row_number().over(latest))
-    return ranked.filter(F.col("_n") == 1).drop("_n")
+    return rows.withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") == 1).drop("_n")
 
 
 def coverage(periods: DataFrame) -> DataFrame:
@@ -345,9 +352,10 @@ def run_history(
 
 
 def quality_periods(runs: DataFrame, periods: DataFrame) -> DataFrame:
-    """Run records of the published months only."""
-    published = periods.select("taxi_type", "data_period", "run_id")
-    return runs.join(published, ["taxi_type", "data_period", "run_id"], "left_semi")
+    """Run records of the published months only; where both name a publication, of that one, so that a month published
+    again under the same run counts once."""
+    keys = [*RUN_KEYS, *({"publication"} & {*runs.columns} & {*periods.columns})]
+    return runs.join(periods.select(*keys), keys, "left_semi")
 
 
 def quality_totals(runs: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Layout under one root: `fact`, `quarantine` and the four rollups each hold one folder per publication, and in it
 months as partitions; `periods` says which publication every month is read from. Publishing therefore copies
-nothing: tables are written once under a new publication, verified there, and one upsert of `periods` makes all
-of them visible together. A rerun of a month is a new publication, so it replaces and never appends.
+nothing: tables are written once under a new publication, verified there, and one append to `periods` makes all
+of them visible together. The latest row of a month counts, so a rerun replaces, and publishers that overlap lose
+nothing of each other. Runs count as history once a month of their publication is in `periods`.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 
 from farebox.operators import clean, quality, rollups
 from farebox.plans.route import TripStore
-from farebox.schema import Rules
+from farebox.schema import FIELD_NAMES, Rules
 from farebox.session import cut, prepare
 from farebox.sources import files
 from farebox.sources.mapping import map_schema
+from farebox.sources.zones import check_zones
 
 PARTITION = ("taxi_type", "data_period")
 ROWS_PER_FILE = 1_000_000  # fixed value: most rows of one curated file
@@ -86,24 +88,33 @@ def read_sources(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:
     return whole
 
 
+REGISTRY = (
+    "taxi_type string, period string, source_key string, file_format string, schema_version string, "
+    "columns map<string,string>, by_field map<string,string>, unavailable array<string>, run_id string, "
+    "available array<string>, input_bytes long"
+)
+
+
+def registry_rows(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
+    """The schema each source was received with, its size, and the run that reads it, for the schema registry."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    rows = []
+    for source in sources:
+        if source.file_format == "parquet":
+            schema = files.read_parquet(spark, source.path).drop("source_path").schema
+        else:
+            schema = files.text_schema(files.read_header(spark, source.path))
+        found = map_schema(source.taxi_type, schema)
+        size = listed.load(source.path).agg(F.sum("length")).first()[0]  # sizes only; no content is read
+        rows.append((
+            source.taxi_type, source.period, source.key, source.file_format, found.version, found.columns,
+            found.by_field, list(found.unavailable), source.run_id, list(found.by_field), size,
+        ))
+    return spark.createDataFrame(rows, REGISTRY)
+
+
 def registry_row(spark: SparkSession, source: Source) -> DataFrame:
-    """The schema a source was received with, for the schema registry."""
-    read = files.read_parquet if source.file_format == "parquet" else None
-    schema = (
-        read(spark, source.path).drop("source_path").schema
-        if read
-        else files.text_schema(files.read_header(spark, source.path))
-    )
-    mapping = map_schema(source.taxi_type, schema)
-    row = (
-        source.taxi_type, source.period, source.key, source.file_format, mapping.version, mapping.columns,
-        mapping.by_field, list(mapping.unavailable),
-    )
-    return spark.createDataFrame(
-        [row],
-        "taxi_type string, period string, source_key string, file_format string, schema_version string, "
-        "columns map<string,string>, by_field map<string,string>, unavailable array<string>",
-    )
+    return registry_rows(spark, [source])
 
 
 # ---- writing --------------------------------------------------------------------------------------------------
@@ -159,10 +170,11 @@ def write_quarantine(annotated: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table in a folder, or nothing where there is no folder or no file in it; other errors are raised."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as missing:
-        if "PATH_NOT_FOUND" in str(missing):
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
@@ -170,15 +182,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 def publish(staged: DataFrame, target: str) -> DataFrame:
     """Replace the staged months in `target` and return the reconciliation of what is there now.
 
-    An empty stage is refused: replacing nothing would look like success.
+    A stage that is empty or holds rows outside their month is refused before anything is replaced; if what was
+    written then differs from the stage, an error says so.
     """
     if staged.isEmpty():
         raise quality.VerificationError("an empty period is not published")
     spark = staged.sparkSession
+    quality.require(quality.verify_stage(staged), "stage")
     write_partitions(staged, target, rebalance=False)  # staged files are already one month each, sorted
     months = staged.select(*PARTITION).distinct()
-    now = spark.read.parquet(target).join(F.broadcast(months), list(PARTITION), "left_semi")
-    return quality.verify_published(now, staged)
+    now = spark.read.parquet(target).join(months, list(PARTITION), "left_semi")
+    checked = quality.verify_published(now, staged)
+    quality.require(checked, "published")
+    return checked
 
 
 # ---- small versioned tables -----------------------------------------------------------------------------------
@@ -200,15 +216,36 @@ def current_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/{pointers.agg(F.max('version')).first()[0]}")
 
 
-def upsert_periods(spark: SparkSession, root: str, periods: DataFrame) -> None:
-    current = current_table(spark, f"{root}/periods")
-    replace_table(periods if current is None else quality.upsert_period(current, periods), f"{root}/periods")
+def append_periods(periods: DataFrame, root: str) -> None:
+    """Add period rows; one file, so all of them appear together. Nothing is read or rewritten, so publishers that
+    overlap can't undo each other."""
+    periods.coalesce(1).write.mode("append").parquet(f"{root}/periods")  # one row per month
+
 
+def current_periods(spark: SparkSession, root: str) -> DataFrame | None:
+    """The latest row of every month."""
+    rows = read_table(spark, f"{root}/periods")
+    return None if rows is None else quality.latest_periods(rows)
 
-def record_run(spark: SparkSession, root: str, records: DataFrame, periods: DataFrame) -> None:
-    """Append the run rows, then upsert the periods: the step that makes months visible."""
+
+def record_run(root: str, records: DataFrame, periods: DataFrame, schemas: DataFrame | None = None) -> None:
+    """Add the run rows and schemas, then the periods: the step that makes months visible, and the runs history."""
     records.write.mode("append").parquet(f"{root}/runs")
-    upsert_periods(spark, root, periods)
+    if schemas is not None:
+        schemas.write.mode("append").parquet(f"{root}/schemas")
+    append_periods(periods, root)
+
+
+def published_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Records of the runs whose publication became visible; those of a job that failed at the last step don't count."""
+    made = spark.read.parquet(f"{root}/periods").select("publication").distinct()
+    return spark.read.parquet(f"{root}/runs").join(made, "publication", "left_semi")
+
+
+def published_schemas(spark: SparkSession, root: str) -> DataFrame:
+    """The schema registry: of each month's published runs, the schema its source had."""
+    runs = published_runs(spark, root).select("run_id").distinct()
+    return spark.read.parquet(f"{root}/schemas").join(runs, "run_id", "left_semi")
 
 
 # ---- publications ---------------------------------------------------------------------------------------------
@@ -233,13 +270,12 @@ def folder(root: str, table: str, publication: str) -> str:
 
 def read_publications(spark: SparkSession, root: str, table: str, months: dict[str, list[date]]) -> DataFrame:
     """The given months of the given publications, by partition filters; other publications are not even listed."""
-    read = spark.read.option("basePath", f"{root}/{table}")
-    try:
-        df = read.parquet(*[folder(root, table, p) for p in sorted(months)])
-    except AnalysisException:
-        if table not in SPARSE:
-            raise
-        return spark.createDataFrame([], SPARSE[table])
+    there = sorted(months)
+    if table in SPARSE:  # a publication without such rows may have no folder
+        there = [p for p in there if read_table(spark, folder(root, table, p)) is not None]
+        if not there:
+            return spark.createDataFrame([], SPARSE[table])
+    df = spark.read.option("basePath", f"{root}/{table}").parquet(*[folder(root, table, p) for p in there])
     current = [
         (F.col("publication") == p) & F.col("data_period").isin(*sorted(periods)) for p, periods in months.items()
     ]
@@ -252,10 +288,8 @@ def build_rollups(fact: DataFrame, root: str, publication: str) -> dict[str, Dat
     frames = {}
     for name, build in rollups.ROLLUPS.items():
         write_partitions(build(fact), folder(root, name, publication))
-        try:
-            frames[name] = spark.read.parquet(folder(root, name, publication))
-        except AnalysisException:
-            frames[name] = spark.createDataFrame([], SPARSE[name]).drop("publication")
+        written = read_table(spark, folder(root, name, publication))
+        frames[name] = spark.createDataFrame([], SPARSE[name]).drop("publication") if written is None else written
     return frames
 
 
@@ -273,9 +307,13 @@ def publish_normalized(
     root: str,
     rules: Rules = Rules(),
     ingested_at: Column | None = None,
+    schemas: DataFrame | None = None,
 ) -> DataFrame:
     """Normalized rows of any number of months to published tables; returns the run records.
 
+    `schemas` are the registry rows of the sources (see registry_rows). They say which fields a run's source has: only
+    those count as missing or unreadable. Without them every field counts, and a run has no schema version.
+
     The annotated trips are written once to the shared folder and read from there by every later step: the
     cleaning shuffle runs once, and a lost executor costs a re-read, not a recomputation.
     """
@@ -295,8 +333,19 @@ def publish_normalized(
     quality.require(verify_tables(fact, frames), "rollup")
     write_partitions(clean.quarantined(annotated), folder(root, "quarantine", publication))
 
-    records = quality.run_record(metrics).withColumns(
+    if schemas is None:
+        known = metrics.withColumns({
+            "available": F.array(*map(F.lit, FIELD_NAMES)), "schema_version": F.lit(None).cast("string"),
+            "input_bytes": F.lit(None).cast("long"),
+        })
+    else:
+        known = metrics.join(schemas.select("run_id", "available", "schema_version", "input_bytes"), "run_id", "left")
+    facts = known.select(F.col("run_id").alias("run"), "schema_version", "input_bytes")
+    records = quality.run_record(known, F.col("available"))
+    records = records.join(facts, records.run_id == facts.run, "left").drop("run").withColumns(
         {
+            "started_at": F.timestamp_seconds(F.lit(started)),
+            "error": F.lit(None).cast("string"),
             "publication": F.lit(publication),
             "duration_seconds": F.lit(round(time.time() - started, 3)),
             "status": F.lit("succeeded"),
@@ -310,7 +359,8 @@ def publish_normalized(
             "published_at": F.current_timestamp(),
         }
     )
-    record_run(spark, root, records, periods)
+    records = cut(records, "records")
+    record_run(root, records, periods, schemas)
     return records
 
 
@@ -323,11 +373,14 @@ def publish_months(
             files.require_valid_csv(spark, source.path)
     run = uuid.uuid4().hex[:12]
     named = [s if s.run_id else replace(s, run_id=f"{run}-{s.key}") for s in sources]
-    return publish_normalized(spark, read_sources(spark, named), zones, root, rules)
+    check_zones(zones)
+    return publish_normalized(
+        spark, read_sources(spark, named), zones, root, rules, schemas=registry_rows(spark, named)
+    )
 
 
 def published_months(spark: SparkSession, root: str, taxi_type: str | None = None) -> DataFrame:
-    periods = current_table(spark, f"{root}/periods")
+    periods = current_periods(spark, root)
     if periods is None:
         raise LookupError("nothing is published yet")
     return periods if taxi_type is None else periods.filter(F.col("taxi_type") == taxi_type)
@@ -354,7 +407,7 @@ def rebuild_rollups(spark: SparkSession, root: str, months: Iterable[date] | Non
     renewed = periods.withColumns(
         {"rollup_publication": F.lit(publication), "published_at": F.current_timestamp()}
     )
-    upsert_periods(spark, root, renewed)
+    append_periods(renewed, root)
     return rollup_rows(frames)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import source_dicts, write_csv, write_month
 from farebox.operators import clean, quality, questions
 from farebox.operators.filters import TripFilter
-from farebox.plans import extract, publish
+from farebox.plans import extract, publish, report
 from farebox.plans.publish import Source
 from farebox.sources.mapping import SourceError
 
@@ -81,10 +81,13 @@ def test_publish_replaces_only_the_staged_months(spark, january, tmp_path):
     fact = clean.accepted(january)
     target = str(tmp_path / "t")
     assert all(r.ok for r in publish.publish(fact, target).collect())
-    later = fact.withColumn("data_period", F.lit(dt.date(2025, 2, 1)))
+    later = fact.withColumns({"data_period": F.lit(dt.date(2025, 2, 1)), "pickup_date": F.lit(dt.date(2025, 2, 3))})
     publish.publish(later, target)
     assert all(r.ok for r in publish.publish(fact, target).collect())
     assert spark.read.parquet(target).count() == 30
+    with pytest.raises(quality.VerificationError, match="outside the period"):
+        publish.publish(fact.withColumn("pickup_date", F.lit(dt.date(2025, 4, 1))), target)
+    assert spark.read.parquet(target).count() == 30  # a bad stage leaves what was there
     with pytest.raises(quality.VerificationError):
         publish.publish(fact.limit(0), target)
 
@@ -141,3 +144,52 @@ def test_schema_registry_row(spark, published):
     _, sources = published
     row = publish.registry_row(spark, sources[1]).first()
     assert row.file_format == "csv" and "cbd_congestion_fee" in row.unavailable and row.columns["airport_fee"] == "string"
+
+
+def test_runs_and_schemas_are_read_back_from_a_root(spark, zones, tmp_path):
+    """Reports and quality totals work on what publish_months wrote; a month published again counts once."""
+    root = str(tmp_path / "root")
+    old = write_month(tmp_path / "a.parquet", source_dicts(2024), drop=("cbd_congestion_fee",))
+    sources = [
+        Source("y-2024-01", "yellow", "2024-01", old, run_id="r1"),
+        Source("y-2025-01", "yellow", "2025-01", write_month(tmp_path / "b.parquet", source_dicts()), run_id="r2"),
+    ]
+    publish.publish_months(spark, sources, zones, root)
+    publish.publish_months(spark, sources[1:], zones, root)
+    store = publish.open_store(spark, root, zones=zones)
+    runs, schemas = publish.published_runs(spark, root), publish.published_schemas(spark, root)
+    r = report.ReportInput(store, TripFilter(), store.periods, runs, schemas)
+    rows = report.processing(r).collect()
+    assert [x.period for x in rows] == ["2024-01", "2025-01"] and all(x.schema.startswith("yellow-") for x in rows)
+    totals = {(x.kind, x.name): x.rows for x in quality.quality_totals(r.covered_runs()).collect()}
+    assert totals["rows", "input_rows"] == 40 and totals["rows", "accepted_rows"] == 30
+    assert report.schema_changes(r).filter("kind = 'version'").count() == 2
+    first = runs.filter("run_id = 'r1'").first()
+    assert "cbd_congestion_fee" not in first.missingness and first.input_bytes > 0 and first.started_at is not None
+    failed = runs.limit(1).withColumn("publication", F.lit("never-visible"))
+    failed.write.mode("append").parquet(f"{root}/runs")
+    assert publish.published_runs(spark, root).count() == 3
+
+
+def test_publications_without_a_folder_and_overlapping_publishers(spark, zones, tmp_path):
+    root = str(tmp_path / "root")
+    months = [Source(f"k{y}", "yellow", f"{y}-01", write_month(tmp_path / f"{y}.parquet", source_dicts(y))) for y in (2023, 2024)]
+    for source in months:
+        publish.publish_months(spark, [source], zones, root)
+    found = publish.by_publication(publish.published_months(spark, root), "publication")
+    whole = publish.read_publications(spark, root, "flags_daily", found).count()
+    gone = {**found, "p-without-flags": [dt.date(2022, 1, 1)]}
+    assert whole and publish.read_publications(spark, root, "flags_daily", gone).count() == whole
+    # Two publishers that both started from the same state: neither loses the other's month.
+    a, b = (publish.published_months(spark, root).filter(F.year("data_period") == y) for y in (2023, 2024))
+    for rows in (a, b):
+        publish.append_periods(rows.withColumn("published_at", F.current_timestamp()), root)
+    assert publish.published_months(spark, root).count() == 2
+
+
+def test_all_failed_checks_are_kept(spark):
+    checked = quality.checks(spark.range(25), ["id"], ("n", F.lit(1), F.lit(2)))
+    with pytest.raises(quality.VerificationError, match="25 checks in (.*?):") as error:
+        quality.require(checked, "fact")
+    path = str(error.value).split(" checks in ")[1].split(": {")[0]
+    assert spark.read.parquet(path).count() == 25

@@ -222,14 +222,14 @@ def _(spark, sf):
 
 @query("record_run")
 def _(spark, sf):
-    """Run rows appended and periods upserted twice; the later publication wins."""
+    """Run and period rows added twice; the later publication wins."""
     root, annotated = scratch_path(spark, "runs"), trips.annotated(spark, sf)
     records = quality.run_record(quality.run_metrics(annotated))
     periods = quality.published_periods(clean.accepted(annotated))
     for day in ("2020-01-01", "2020-01-02"):
         stamped = periods.withColumn("published_at", F.to_timestamp(F.lit(day)))
-        publish.record_run(spark, root, records, stamped)
-    return publish.current_table(spark, f"{root}/periods")
+        publish.record_run(root, records, stamped)
+    return publish.current_periods(spark, root)
 
 
 EXTRACT_COLUMNS = (
