@@ -883,7 +883,7 @@ cte("claims", """
   FROM claim_scaled WHERE NOT (unit = '' AND NOT cur AND decimals = 0 AND number <= 24)""")
 _CLAIM = f"id, run, {B('position')} AS position, claim, {R('value')} AS value, percent, {R('tolerance')} AS tolerance"
 oracle("extract_claims", f"SELECT {_CLAIM} FROM claims")
-cte("pools", "SELECT run, field, number FROM (SELECT DISTINCT run, field, number FROM claim_values) QUALIFY row_number() OVER (PARTITION BY run, field ORDER BY number) <= 300")
+cte("pools", "SELECT DISTINCT run, field, number FROM claim_values")
 cte("candidates", """
   SELECT run, 'plain' AS kind, number AS c FROM claim_values UNION SELECT run, 'percent', number FROM claim_values
   UNION SELECT run, 'percent', number * 100 FROM claim_values
