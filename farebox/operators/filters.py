@@ -118,13 +118,6 @@ def apply(df: DataFrame, f: TripFilter) -> DataFrame:
     return keep(df, [*bounds, *f.conditions()])
 
 
-def published(df: DataFrame, taxi_type: str, months: Iterable[date]) -> DataFrame:
-    """One taxi type in the published months: a literal list on the partition columns, pruned statically."""
-    months = sorted(set(months))
-    mine = df.filter(F.col("taxi_type") == taxi_type)
-    return mine.filter(F.col("data_period").isin(*months)) if months else mine.limit(0)
-
-
 def published_in(df: DataFrame, periods: DataFrame) -> DataFrame:
     """The same with the periods as a table (one row per month): partitions are pruned at run time."""
     months = periods.select("taxi_type", "data_period").distinct()

@@ -17,7 +17,8 @@ def score_cases(runs: DataFrame) -> DataFrame:
 
     Columns read: kind, status, answer, figures, figures_verified, seconds, model_calls;
     `calls` array<struct<tool, status, arguments map>>; expectations `expect_tools`, `expect_also`,
-    `expect_text`, `forbid` arrays and `expect_args` map, all possibly NULL or empty.
+    `expect_text`, `forbid` arrays and `expect_args` map, all possibly NULL or empty. `tools` lists every call, failed
+    ones too; only calls that succeeded can be the right tool or have the right arguments.
     """
     fine = F.filter("calls", lambda c: c["status"] == "ok")
     tools = F.transform(fine, lambda c: c["tool"])
@@ -50,7 +51,7 @@ def score_cases(runs: DataFrame) -> DataFrame:
     )
     return runs.withColumns(
         {
-            "tools": tools,
+            "tools": F.transform("calls", lambda c: c["tool"]),
             "tool_errors": F.size(F.filter("calls", lambda c: c["status"] == "error")),
             "tool_ok": tool_ok,
             "args_ok": args_ok,

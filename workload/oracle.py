@@ -918,7 +918,7 @@ cte("talks", """
 cte("cases", f"""
   SELECT t.*, c % 3 AS repeat, CASE c % 5 WHEN 0 THEN 'injection' WHEN 1 THEN 'ambiguous' ELSE 'data' END AS kind,
          CASE c % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'clarification' ELSE 'answered' END AS status,
-         (SELECT coalesce(string_agg(tool, ';' ORDER BY turn), '') FROM calls k WHERE k.c = t.c AND fine) AS tools,
+         (SELECT coalesce(string_agg(tool, ';' ORDER BY turn), '') FROM calls k WHERE k.c = t.c) AS tools,
          (SELECT count(*) FROM calls k WHERE k.c = t.c AND NOT fine) AS tool_errors,
          CASE WHEN c % 3 <> 0 THEN EXISTS (SELECT 1 FROM calls k WHERE k.c = t.c AND fine AND tool IN ({pick(_TOOLS, 't.c')}, {pick(_TOOLS, 't.c + 1')}))
               AND (c % 11 <> 0 OR EXISTS (SELECT 1 FROM calls k WHERE k.c = t.c AND fine AND tool = {pick(_TOOLS, 't.c + 2')})) END AS tool_ok,
