@@ -200,13 +200,14 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def _centroids(nodes: DataFrame, s: Settings) -> dict[tuple[int, int], np.ndarray]:
     """By label and length of vectors, for those with more nodes than a shard: centroids of a bounded sample."""
     large = nodes.groupBy("label", "dim").count().where(F.col("count") > s.shard)
-    sizes = {(r.label, r.dim): r["count"] for r in large.collect()}  # at most one per `shard` nodes
-    if not sizes:
+    total = large.agg(F.sum("count")).first()[0]
+    if not total:
         return {}
-    share = min(1.0, s.sample / sum(sizes.values()))
+    share = min(1.0, s.sample / total)
     drawn = nodes.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = drawn.join(F.broadcast(large.select("label", "dim")), ["label", "dim"]).select("label", "dim", "vec").toArrow()
+    rows = drawn.join(large, ["label", "dim"]).select("label", "dim", "count", "vec").toArrow()  # some `sample` rows
     of = list(zip(rows.column("label").to_pylist(), rows.column("dim").to_pylist(), strict=True))
+    sizes = dict(zip(of, rows.column("count").to_pylist(), strict=True))
     vectors = rows.column("vec").combine_chunks()
     out = {}
     for key, size in sorted(sizes.items()):
