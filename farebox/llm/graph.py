@@ -1,14 +1,15 @@
-"""Embedding near-dedup over a robust-pruned flat graph.
+"""Embedding near-dedup by an exact search over pairs of shards.
 
-Equal vectors of a label are one node with a weight. Nodes of a large label are dealt to overlapping shards: to the
-nearest few of its centroids, which are fitted on a bounded sample; the nearest is a node's home. In each shard a graph
-is built: out-neighbours are chosen from near and random nodes by robust pruning, edges are made mutual up to a degree
-limit, and nodes that the medoid doesn't reach are tied to the nearest that it does. The adjacency lists that a node has
-in its shards are united. A shard is then searched for each node at home there, over its members and over what their
-united lists hold beyond it: greedily from medoids, and from everything found within a slightly wider range onward,
-until that range is exhausted. What is found is verified by cosine in double precision.
+Equal vectors of a label are one node with a weight. Nodes of a large label are dealt to shards by the nearest of its
+centroids, which are fitted on a bounded sample; that shard is a node's home. A linked node lies within a known distance,
+and the border to another shard is a plane, so a node further than that from the plane has no link there; it visits all
+other shards. Every two shards are one task, and each shard by itself: what is at home in one and visits the other is
+compared with the reverse, in blocks, by cosine in double precision. So every link is found once, and counted at both ends.
 
-Links are never listed pair by pair: a shard gives numbers of links, and a forest of what hangs together there.
+Links are never listed pair by pair: a task gives numbers of links, and a forest of what hangs together there.
+
+`build` and `search` are a robust-pruned flat graph over one set of vectors and a greedy search in it. `near_duplicates`
+doesn't use them: dealt to a few shards a node, they lose links in dense groups.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from farebox.session import cut
 class Settings:
     threshold: float = 0.98
     shard: int = 500  # nodes at home in a shard, on average
-    overlap: int = 2  # shards of a node
+    overlap: int = 2  # of no effect: a node visits as many shards as may hold links of it
     sample: int = 40_000  # nodes that centroids are fitted on, in expectation; 4 per centroid at least
     near: int = 48  # candidates for the neighbours of a node
     random: int = 16
@@ -229,8 +230,23 @@ def _centroids(nodes: DataFrame, s: Settings) -> dict[tuple[int, int], np.ndarra
     return out
 
 
+def _visits(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each vector, and by vector and shard whether one at home in the shard may be linked with it.
+
+    With u the unit vector from centroid B to centroid A, x.u >= 0 for what is at home in A and <= 0 for what is at home
+    in B. Linked vectors are at most sqrt(2 - 2 threshold) apart, so x.u is no larger if x has a link in B.
+    """
+    scores = x @ centres.T
+    home = scores.argmax(1)
+    own = centres[home]
+    square = np.einsum("ij,ij->i", centres, centres)
+    apart = np.sqrt(np.maximum(0, square[home, None] + square[None, :] - 2 * own @ centres.T))
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold))
+    return home, scores[np.arange(len(x)), home][:, None] - scores <= reach * apart + 1e-6  # more than rounding errors
+
+
 def _dealt(nodes: DataFrame, s: Settings) -> DataFrame:
-    """Nodes with `shards`, numbers of their shards within the label, home first."""
+    """Nodes with `shards`, numbers of their shards within the label: home, then those that it visits."""
     shared = nodes.sparkSession.sparkContext.broadcast(_centroids(nodes, s))
 
     def run(batches):
@@ -240,112 +256,81 @@ def _dealt(nodes: DataFrame, s: Settings) -> DataFrame:
             shards = [[0]] * batch.num_rows
             for key in set(keys) & centroids.keys():
                 at = [i for i, k in enumerate(keys) if k == key]
-                c = centroids[key]
-                own = batch.column("vec").take(pa.array(at))
-                x = _unit(own.values.to_numpy(zero_copy_only=False)[_span(own)], len(at))
-                order = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, : s.overlap]
-                for i, row in zip(at, order.tolist(), strict=True):
-                    shards[i] = row
+                for first in range(0, len(at), 512):
+                    part = at[first : first + 512]
+                    own = batch.column("vec").take(pa.array(part))
+                    x = _unit(own.values.to_numpy(zero_copy_only=False)[_span(own)], len(part))
+                    home, visits = _visits(x, centroids[key], s.threshold)
+                    visits[np.arange(len(part)), home] = False
+                    for i, h, row in zip(part, home.tolist(), visits, strict=True):
+                        shards[i] = [h, *np.flatnonzero(row).tolist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(shards, pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"]
             )
 
-    schema = "node long, label long, dim int, vec array<double>, weight long, shards array<int>"
+    kind = nodes.schema["vec"].dataType.simpleString()
+    schema = f"node long, label long, dim int, vec {kind}, weight long, shards array<int>"
     return nodes.select("node", "label", "dim", "vec", "weight").mapInArrow(run, schema)
 
 
-_KEYS = ["label", "dim", "shard"]
+def _compared(
+    x: np.ndarray, weight: np.ndarray, one: np.ndarray, other: np.ndarray | None, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """By vector: weight linked to it, and the least vector that it hangs together with.
 
-
-def _built(dealt: DataFrame, s: Settings) -> DataFrame:
-    """By node: `nbrs`, its united adjacency list, and `wanted`, shards it isn't in whose members have it on theirs."""
-
-    def run(t: pa.Table) -> pa.Table:
-        n = t.num_rows
-        order = np.argsort(t.column("node").to_numpy(), kind="stable")
-        t = t.take(pa.array(order))
-        ids = t.column("node").to_numpy()
-        shards = t.column("shards").to_pylist()
-        edges = build(_vectors(t.column("vec"), n), s, n) if n > 1 else np.zeros((0, 2), np.int64)
-        nbrs: list[list[int]] = [[] for _ in range(n)]
-        wanted: list[set[int]] = [set() for _ in range(n)]
-        for a, b in edges.tolist():
-            nbrs[a].append(int(ids[b]))
-            if shards[a] != shards[b]:
-                wanted[b].update(shards[a])
-        beyond = [sorted(w.difference(own)) for w, own in zip(wanted, shards, strict=True)]
-        return pa.table({
-            "node": pa.array(ids, pa.int64()), "nbrs": pa.array(nbrs, pa.list_(pa.int64())),
-            "wanted": pa.array(beyond, pa.list_(pa.int32())),
-        })
-
-    parts = dealt.select("node", "label", "dim", "vec", "shards", F.explode("shards").alias("shard")).groupBy(*_KEYS)
-    lists = parts.applyInArrow(run, "node long, nbrs array<long>, wanted array<int>")
-    return lists.groupBy("node").agg(
-        F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"),  # one list for each of a node's few shards
-        F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("wanted"),
-    )
-
-
-def _verified(x: np.ndarray, weight: np.ndarray, home: np.ndarray, seen: np.ndarray, s: Settings) -> np.ndarray:
-    """Weight linked to each node of one group that hangs together, by cosine in double precision.
-
-    Nodes at home here are told of all others. A node at home in another shard (its number in `home`, 0 for here) is
-    told of those that aren't there, and so can't be found from there; `seen` says by node and shard which are.
+    Compared are the vectors `one` with the vectors `other`, or `one` among themselves where that is None.
     """
     n = len(x)
-    out = np.zeros(n)
-    here = np.flatnonzero(home == 0)
-    for at in range(0, len(here), 512):
-        q = here[at : at + 512]
-        near = x[q] @ x.T >= s.threshold
-        near[np.arange(len(q)), q] = False
-        out[q] += near @ weight
-        out += weight[q] @ (near & (home != 0) & ~seen[np.ix_(q, home)])
-    return out
-
-
-def _searched(dealt: DataFrame, built: DataFrame, s: Settings) -> DataFrame:
+    links, root, weight = np.zeros(n, np.int64), np.arange(n), weight.astype(np.float64)
+    for i in range(0, len(one), 512):
+        a = one[i : i + 512]
+        with_ = one[i:] if other is None else other
+        for j in range(0, len(with_), 4096):
+            b = with_[j : j + 4096]
+            sims = x[a] @ x[b].T
+            near = sims >= threshold
+            p, q = np.nonzero(np.abs(sims - threshold) < 1e-12)  # so close that the order of summing decides
+            near[p, q] = np.einsum("ij,ij->i", x[a[p]], x[b[q]]) >= threshold
+            if other is None and j == 0:
+                near[:, : len(a)] &= np.tri(len(a), k=-1, dtype=bool).T  # each pair once
+            ones = near.astype(np.float64)
+            links[a] += (ones @ weight[b]).astype(np.int64)
+            links[b] += (weight[a] @ ones).astype(np.int64)
+            p, q = np.nonzero(near & (root[a][:, None] != root[b][None, :]))
+            if len(p):
+                root = _roots(root[a[p]], root[b[q]], n)[root]
+    return links, root
+
+
+_KEYS = ["label", "dim", "shard", "visited"]
+
+
+def _searched(dealt: DataFrame, s: Settings) -> DataFrame:
     """`node, n_links, root`: links of a node, in parts that add up, and the least node that it hangs together with."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.argsort(t.column("node").to_numpy(), kind="stable")))
         ids, n = t.column("node").to_numpy(), t.num_rows
-        x = _vectors(t.column("vec"), n)
         weight = t.column("weight").to_numpy()
-        lists = t.column("nbrs").combine_chunks()
-        counts = np.diff(lists.offsets.to_numpy())
-        to = lists.values.to_numpy(zero_copy_only=False)[_span(lists)]
-        place = np.minimum(np.searchsorted(ids, to), n - 1)
-        here = ids[place] == to
-        edges = np.stack([np.repeat(np.arange(n), counts)[here], place[here]], 1)
-        own = t.column("home").to_numpy(zero_copy_only=False)
-        empty = np.zeros(0, np.int64)
-        q, v = search(x, _table(edges, n), np.flatnonzero(own), s) if n > 1 and len(edges) else (empty, empty)
-        root = _roots(q, v, n)
-
-        shards = t.column("spread").to_pylist()
-        number = {shard: i for i, shard in enumerate(sorted({y[0] for y in shards}), 1)}
-        home = np.array([0 if mine else number[y[0]] for mine, y in zip(own, shards, strict=True)])
-        seen = np.zeros((n, len(number) + 1), bool)
-        for i in np.unique(np.concatenate([q, v])):
-            seen[i, [number[k] for k in shards[i] if k in number]] = True
-        links = np.where(own, weight - 1.0, 0.0)
-        linked = np.flatnonzero(np.bincount(np.concatenate([q, v]), minlength=n))
-        linked = linked[np.argsort(root[linked], kind="stable")]
-        for group in np.split(linked, np.flatnonzero(np.diff(root[linked])) + 1) if len(linked) else ():
-            links[group] += _verified(x[group], weight[group], home[group], seen[group], s)
-        told = own | (links > 0) | (root != np.arange(n))
+        here = t.column("first").to_numpy(zero_copy_only=False)
+        alone = t.column("shard")[0] == t.column("visited")[0]
+        one, other = np.flatnonzero(here), None if alone else np.flatnonzero(~here)
+        links, root = _compared(_vectors(t.column("vec"), n), weight, one, other, s.threshold)
+        if alone:
+            links += weight - 1
+        told = links > 0 if not alone else np.ones(n, bool)
         return pa.table({
-            "node": pa.array(ids[told], pa.int64()), "n_links": pa.array(links[told].astype(np.int64), pa.int64()),
+            "node": pa.array(ids[told], pa.int64()), "n_links": pa.array(links[told], pa.int64()),
             "root": pa.array(ids[root[told]], pa.int64()),
         })
 
-    nodes = dealt.join(built, "node").withColumn("spread", F.concat("shards", "wanted"))
-    spread = nodes.select(
-        "node", "label", "dim", "vec", "weight", "nbrs", "spread", F.explode("spread").alias("shard")
-    ).withColumn("home", F.col("shard") == F.col("spread")[0])
-    return spread.groupBy(*_KEYS).applyInArrow(run, "node long, n_links long, root long")
+    home = F.col("shards")[0]
+    met = dealt.select("node", "label", "dim", "vec", "weight", home.alias("home"), F.explode("shards").alias("to"))
+    pairs = met.select(
+        "node", "label", "dim", "vec", "weight", F.least("home", "to").alias("shard"), F.greatest("home", "to").alias("visited"),
+        (F.col("home") <= F.col("to")).alias("first"),
+    )
+    return pairs.groupBy(*_KEYS).applyInArrow(run, "node long, n_links long, root long")
 
 
 def near_duplicates(embeddings: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -356,7 +341,8 @@ def near_duplicates(embeddings: DataFrame, s: Settings = Settings()) -> DataFram
     rows that repeat a vector link with each other. Of rows with a null vec_id, component_id is the least vec_id they
     reach; it is null, and kept true, where there is none.
     """
-    vec = F.transform("embedding", lambda x: x.cast("double"))
+    single = embeddings.schema["embedding"].dataType.elementType.simpleString() == "float"
+    vec = F.transform("embedding", lambda x: x.cast("float" if single else "double"))  # unit vectors are in double precision
     good = (
         F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -372,8 +358,7 @@ def near_duplicates(embeddings: DataFrame, s: Settings = Settings()) -> DataFram
         .select(F.monotonically_increasing_id().alias("node"), "label", F.size("vec").alias("dim"), "vec", "least", "weight"),
         "nodes",
     )
-    dealt = cut(_dealt(nodes, s), "dealt")
-    searched = cut(_searched(dealt, cut(_built(dealt, s), "adjacency"), s), "searched")
+    searched = cut(_searched(_dealt(nodes, s), s), "searched")
     found = components(searched.select("node", "root"))
     groups = nodes.select("node", "least").join(found, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     grouped = found.join(groups, "root").select("node", "component_id", F.lit(True).alias("found"))

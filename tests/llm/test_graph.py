@@ -71,3 +71,28 @@ def test_every_node_is_reached():
     assert np.bincount(edges[:, 0]).max() <= 2 * s.degree + len(np.eye(8))
     q, v = graph.search(x, graph._table(edges, len(x)), np.arange(0, 800, 50), s)
     assert np.bincount(q, minlength=800)[::50].min() == 99
+
+
+def test_dense_group_of_many_shards(spark):
+    """Different near-copies of one vector: each is linked with nearly all others, so with members of every shard."""
+    n, dim = 20_000, 64
+    rng = np.random.default_rng(6)
+    x = np.eye(dim)[0] + 0.0152 * rng.normal(size=(n, dim))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = [int((unit[i : i + 500] @ unit.T >= 0.98).sum(1).sum()) - 500 for i in range(0, n, 500)]
+    assert 0.2 < sum(true) / n / (n - 1) < 1
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    result = graph.near_duplicates(frame).toPandas().set_index("vec_id").sort_index()
+    assert [int(result.n_links[i : i + 500].sum()) for i in range(0, n, 500)] == true
+    assert result.component_id.nunique() == 1
+
+
+def test_shards_of_links_are_visited():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3_000, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = x[:40].copy()
+    centres[5] = centres[6]
+    home, visits = graph._visits(x, centres, 0.98)
+    a, b = np.nonzero(x @ x.T >= 0.98)
+    assert visits[a, home[b]].all() and visits.mean() < 0.5
