@@ -96,3 +96,19 @@ def test_shards_of_links_are_visited():
     home, visits = graph._visits(x, centres, 0.98)
     a, b = np.nonzero(x @ x.T >= 0.98)
     assert visits[a, home[b]].all() and visits.mean() < 0.5
+
+
+def test_links_are_counted_at_both_ends():
+    rng = np.random.default_rng(9)
+    x = np.eye(24)[0] + 0.025 * rng.normal(size=(1_500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one, other = np.arange(0, 1_500, 2), np.arange(1, 1_500, 2)
+    threshold = float(np.einsum("i,i->", x[0], x[1]))  # a pair right at the threshold among them
+    near = x @ x.T >= threshold
+    for parts, met in (((one, other), (np.arange(1_500) % 2)[:, None] != np.arange(1_500) % 2), ((np.arange(1_500), None), ~np.eye(1_500, dtype=bool))):
+        links, _ = graph._compared(x, np.ones(1_500, np.int64), *parts, threshold)
+        pair = np.arange(1_500) < 2
+        assert (links[~pair] == (near & met).sum(1)[~pair]).all()
+        assert links.sum() % 2 == 0
+    ones, _ = graph._compared(x, np.ones(1_500, np.int64), one, other, threshold)
+    assert ones[one].sum() == ones[other].sum()  # each link across counts once on either side
