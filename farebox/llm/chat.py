@@ -224,15 +224,19 @@ def repair(conversations: DataFrame) -> DataFrame:
     together by position and part is the text of a conversation.
 
     Turns are taken in order of turn (null first), role, and a hash of the text. Rows equal in conv_id, turn, role and
-    text are one turn. A null conv_id is a conversation of its own; a null text is empty; a null or unknown role is
+    text are one turn if they have a number, or neither number nor text; without a number, each with a text is a turn. A null conv_id is a conversation of its own; a null text is empty; a null or unknown role is
     given the cheapest one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", text.alias("text")
-    ).dropDuplicates()
-    rows = rows.withColumn("mark", F.xxhash64("text"))
-    keys = ["conv_id", "turn", "role", "mark"]
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", text.alias("text"),
+        F.col("text").isNotNull().alias("told"),
+    )
+    alike = F.col("turn").isNotNull() | ~F.col("told")
+    once = rows.where(alike).drop("told").dropDuplicates().withColumn("copy", F.lit(0).cast("long"))
+    each = rows.where(~alike).drop("told").withColumn("copy", F.monotonically_increasing_id())  # so that many copies are split
+    rows = once.union(each).withColumn("mark", F.xxhash64("text"))
+    keys = ["conv_id", "turn", "role", "mark", "copy"]
     number = F.monotonically_increasing_id()
     ordered = cut(
         rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")

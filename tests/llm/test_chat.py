@@ -72,3 +72,13 @@ def test_conversation_over_many_partitions(spark):
     assert text[None] == "<|user|>\nq<|end|>\n<|assistant|>\n<|end|>\n"
     assert text[3] == f"<|user|>\nhi<|end|>\n<|assistant|>\n{'yo' * 20_000}<|end|>\n"
     assert chat.repair(frame.limit(0)).count() == 0
+
+
+def test_equal_turns_without_a_number_are_turns(spark):
+    rows = [(1, None, "user", "ok")] * 3 + [(2, 0, "user", "ok")] * 3 + [(3, None, "assistant", None)] * 2 + [(4, None, "user", "")] * 2
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.repair(frame).orderBy("conv_id", "position", "part").collect()
+    for conv_id, turns in {1: [(None, 2, "ok")] * 3, 2: [(0, 2, "ok")], 3: [(None, 3, "")], 4: [(None, 2, "")] * 2}.items():
+        end = chat._ends_best(chat.forward([t[1] for t in turns], START)[-1])
+        assert [tuple(r) for r in got if r.conv_id == conv_id] == list(chat.written(conv_id, turns, START, end, 0, 0, True))
+    assert "".join(r.rendered for r in got if r.conv_id == 1).count("ok") == 3
