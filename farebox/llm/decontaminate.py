@@ -4,14 +4,16 @@ The automaton holds every run of consecutive words of every item. A document's w
 word it gives the length of the longest run of item words that ends there. A window is `window` consecutive item words
 (an item with fewer words, but not none, is one window). All words of a run that reaches a window are hit.
 
-Items are cut into overlapping pieces and dealt to blocks of bounded size; each block gets an automaton of its own that
-is broadcast, and all documents are streamed through every block. Before a document enters an automaton, its words are
+Items are cut into overlapping pieces and dealt to blocks of bounded size. Each block's automaton is built in a task of its
+own and written to the shared folder; the driver only passes its bytes on as a broadcast. All documents are streamed
+through every block. Before a document enters an automaton, its words are
 looked up together: a run of words whose neighbours never stand side by side in an item can't reach a window.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -168,8 +170,14 @@ class Matcher:
                         found |= items
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[int, Callable[[int], Matcher]]:
-    """How many blocks the items make, and what builds one; its words are on the driver meanwhile."""
+def _built(t: pa.Table, window: int) -> pa.Table:
+    items = zip(t.column("item_id").to_pylist(), t.column("words").to_pylist(), t.column("whole").to_pylist(), strict=True)
+    matcher = pickle.dumps(Matcher([(item, ws.split(), whole) for item, ws, whole in items], window))
+    return pa.table({"block": t.column("block").slice(0, 1), "matcher": pa.array([matcher], pa.binary())})
+
+
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[int, Callable[[int], bytes]]:
+    """How many blocks the items make, and what gives the pickled Matcher of one; no bytes if no piece was dealt to it."""
     out = T.DataType.fromDDL("item_id long, words binary, whole boolean, n long")
     step = PIECE_WORDS - window + 1
 
@@ -185,15 +193,20 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[int, C
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=out.names)
 
-    parts = benchmark.select("item_id", "text").mapInArrow(cut_up, out)
+    parts = cut(benchmark.select("item_id", "text").mapInArrow(cut_up, out), "pieces")
     total = parts.agg(F.sum("n")).first()[0] or 0
     n_blocks = -(-total // block_words)
 
-    def build(number: int) -> Matcher:
-        rows = parts.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)) == number).toLocalIterator()
-        return Matcher([(r.item_id, bytes(r.words).split(), r.whole) for r in rows], window)
+    if not n_blocks:
+        return 0, lambda number: b""
+    dealt = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)))
+    built = cut(dealt.groupBy("block").applyInArrow(lambda t: _built(t, window), "block long, matcher binary"), "automata")
+
+    def fetch(number: int) -> bytes:
+        rows = built.where(F.col("block") == number).select("matcher").take(1)
+        return bytes(rows[0].matcher) if rows else b""
 
-    return n_blocks, build
+    return n_blocks, fetch
 
 
 _RUNS, _ITEMS = "__hit_runs__", "__hit_items__"  # what earlier passes have found
@@ -203,18 +216,18 @@ def _pass(
     df: DataFrame, benchmark: DataFrame, window: int, block_words: int, finish: Callable, schema: T.StructType
 ) -> DataFrame:
     """Stream the texts through all blocks. finish: makes the output batch of a batch and what was found in it."""
-    n_blocks, build = _blocks(benchmark.where(F.col("item_id").isNotNull()), window, block_words)
+    n_blocks, fetch = _blocks(benchmark.where(F.col("item_id").isNotNull()), window, block_words)
     marked = T.StructType(
         [*df.schema.fields, T.StructField(_RUNS, T.ArrayType(T.LongType())), T.StructField(_ITEMS, T.ArrayType(T.LongType()))]
     )
     n_columns, at_text = len(df.columns), df.columns.index("text")
     for first in range(0, max(n_blocks, 1), BLOCKS_AT_ONCE):
         numbers = range(first, min(first + BLOCKS_AT_ONCE, n_blocks))
-        matchers = [df.sparkSession.sparkContext.broadcast(build(b)) for b in numbers]
+        matchers = [df.sparkSession.sparkContext.broadcast(fetch(b)) for b in numbers]
         last = first + BLOCKS_AT_ONCE >= n_blocks
 
         def run(batches: Iterable[pa.RecordBatch], matchers=matchers, last=last) -> Iterator[pa.RecordBatch]:
-            blocks = [m.value for m in matchers]
+            blocks = [pickle.loads(m.value) for m in matchers if m.value]
             for batch in small_batches(batches):
                 results = []
                 earlier = [c.to_pylist() for c in batch.columns[n_columns:]]

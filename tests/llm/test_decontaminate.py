@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pickle
 import random
 
 import numpy as np
@@ -79,3 +80,17 @@ def test_clean_cuts_spans_and_drops_covered_documents(spark, benchmark, odd_docu
     same = dc.clean(odd_documents, benchmark)
     assert same.schema == odd_documents.schema and same.exceptAll(odd_documents).count() == 0
     assert same.count() == odd_documents.count()
+
+
+def test_automata_are_built_in_tasks(spark, benchmark, monkeypatch):
+    def on_driver(*_):
+        raise AssertionError("built on the driver")
+
+    monkeypatch.setattr(dc, "Matcher", on_driver)  # not in the workers
+    n_blocks, fetch = dc._blocks(benchmark.where("item_id IS NOT NULL"), 10, 300)
+    monkeypatch.undo()
+    blocks = [pickle.loads(b) for b in map(fetch, range(n_blocks)) if b]
+    assert n_blocks > 1 and len(blocks) > 1
+    items = {i: words((text or "").encode()) for i, text in benchmark.select("item_id", "text").collect() if i is not None}
+    found = {i for b in blocks for own in b.items.values() for i in own}
+    assert found == {i for i, ws in items.items() if len(ws) >= 10}
