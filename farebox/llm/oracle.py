@@ -70,4 +70,81 @@ SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
 FROM embeddings e LEFT JOIN counts ON counts.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id
 """
 
-ORACLES = {"op1_decontamination": OP1, "op7_warc": OP7, "op10_embedding_graph": OP10}
+_URL_LEVELS = """
+g{k} AS (SELECT right(gram, {k}) AS gram, sum(allow) AS allow, sum(block) AS block FROM grams GROUP BY 1),
+c{k} AS (
+    SELECT left(gram, {k} - 1) AS context, sum(allow) AS allow, sum(block) AS block,
+        count(*) FILTER (allow > 0) AS allow_kinds, count(*) FILTER (block > 0) AS block_kinds FROM g{k} GROUP BY 1
+),
+p{k} AS (
+    SELECT g.gram,
+        CASE WHEN c.allow >= 2 THEN (g.allow + allow_kinds * {allow}) / (c.allow + allow_kinds) ELSE {allow} END AS allow,
+        CASE WHEN c.block >= 2 THEN (g.block + block_kinds * {block}) / (c.block + block_kinds) ELSE {block} END AS block
+    FROM g{k} g JOIN c{k} c ON c.context = left(g.gram, {k} - 1) {join}
+),"""
+
+
+def _levels() -> str:
+    first = _URL_LEVELS.format(k=1, allow="(1 / 256)", block="(1 / 256)", join="")
+    more = (
+        _URL_LEVELS.format(k=k, allow="s.allow", block="s.block", join=f"JOIN p{k - 1} s ON s.gram = right(g.gram, {k - 1})")
+        for k in range(2, 6)
+    )
+    return first + "".join(more)
+
+
+OP12 = f"""
+WITH t AS (
+    SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS place,
+        CASE WHEN place > 0 THEN substr(coalesce(url, ''), place + 3) ELSE '' END AS tail FROM pages
+),
+h AS (
+    SELECT page_id, {_ASCII_LOWER.format("regexp_extract(tail, '^([^/?#]*)', 1)")} AS host,
+        regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path,
+        CASE WHEN place > 0 THEN {_ASCII_LOWER.format("regexp_extract(tail, '^([^/?#]*)', 1)")}
+            || regexp_extract(tail, '^[^/?#]*((.|\n)*)$', 1) ELSE url END AS text
+    FROM t
+),
+j AS (
+    SELECT *, CASE
+        WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+        WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+        WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+        WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule,
+        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE '' END AS side
+    FROM h
+),
+texts AS (SELECT DISTINCT text, side, left(md5(text), 1) IN ('0', '1', '2') AS kept_out FROM j),
+marked AS (SELECT *, repeat(chr(2), 4) || text || chr(3) AS m FROM texts),
+positions AS (SELECT text, side, kept_out, substr(m, i, 5) AS gram FROM marked, unnest(range(1, length(m) - 3)) AS r(i)),
+grams AS (
+    SELECT gram, count(*) FILTER (side = 'allow' AND NOT kept_out) AS allow,
+        count(*) FILTER (side = 'block' AND NOT kept_out) AS block
+    FROM positions GROUP BY gram
+),{_levels()}
+trained AS (SELECT coalesce(sum(allow) > 0 AND sum(block) > 0, false) AS yes FROM grams),
+scores AS (
+    SELECT text, side, avg(CASE WHEN yes THEN ln(allow) - ln(block) ELSE 0 END) AS score
+    FROM positions JOIN p5 USING (gram), trained WHERE side = '' OR kept_out GROUP BY text, side
+),
+binned AS (SELECT *, greatest(-1000, least(1000, floor(round(score, 6) * 100))) AS bin FROM scores),
+bins AS (
+    SELECT bin, count(*) FILTER (side = 'allow') AS a, count(*) FILTER (side = 'block') AS b
+    FROM binned WHERE side != '' GROUP BY bin
+),
+cuts AS (
+    SELECT bin, sum(a) OVER () AS n_a, sum(b) OVER () AS n_b,
+        coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lost,
+        n_b - coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed
+    FROM bins
+),
+best AS (
+    SELECT coalesce((SELECT bin FROM cuts WHERE n_a > 0 AND n_b > 0
+        ORDER BY lost * n_b + passed * n_a, abs(bin), bin LIMIT 1), 0) AS threshold
+)
+SELECT page_id, host, path, rule,
+    CASE WHEN side != '' THEN side WHEN bin >= threshold THEN 'allow' ELSE 'block' END AS verdict
+FROM j LEFT JOIN binned USING (text, side), best
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op7_warc": OP7, "op10_embedding_graph": OP10, "op12_url_filter": OP12}

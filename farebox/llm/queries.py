@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farebox.llm import chat, decontaminate, graph, licenses, pieces, quality, simhash, toxicity, unigram, warc
+from farebox.llm import chat, decontaminate, graph, licenses, pieces, quality, simhash, toxicity, unigram, urls, warc
 from farebox.llm.oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -58,6 +58,10 @@ def op10_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).drop("score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -69,4 +73,5 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_embedding_graph": op10_embedding_graph,
+    "op12_url_filter": op12_url_filter,
 }
