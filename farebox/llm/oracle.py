@@ -133,14 +133,15 @@ bins AS (
     FROM binned WHERE side != '' GROUP BY bin
 ),
 cuts AS (
-    SELECT bin, sum(a) OVER () AS n_a, sum(b) OVER () AS n_b,
+    SELECT greatest(coalesce(lag(bin) OVER (ORDER BY bin) + 1, least(0, bin)), least(0, bin)) AS level,
+        sum(a) OVER () AS n_a, sum(b) OVER () AS n_b,
         coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lost,
         n_b - coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed
     FROM bins
 ),
 best AS (
-    SELECT coalesce((SELECT bin FROM cuts WHERE n_a > 0 AND n_b > 0
-        ORDER BY lost * n_b + passed * n_a, abs(bin), bin LIMIT 1), 0) AS threshold
+    SELECT coalesce((SELECT level FROM cuts WHERE n_a > 0 AND n_b > 0
+        ORDER BY lost * n_b + passed * n_a, abs(level), level LIMIT 1), 0) AS threshold
 )
 SELECT page_id, host, path, rule,
     CASE WHEN side != '' THEN side WHEN bin >= threshold THEN 'allow' ELSE 'block' END AS verdict

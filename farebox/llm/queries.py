@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from farebox.llm import chat, decontaminate, graph, licenses, pieces, quality, simhash, toxicity, unigram, urls, warc
+from farebox.llm import alignment, chat, decontaminate, graph, licenses, periodic, pieces, quality, simhash, toxicity, unigram, urls, warc
 from farebox.llm.oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 Query = Callable[[SparkSession, str], DataFrame]
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # read by the driver only
+PIECES = str(public_tokenizers.path("piece_bpe_32k.model"))  # vocabulary files are read by the driver only
+BYTES = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,14 @@ def op10_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"), periodic.planted)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).drop("score")
 
@@ -73,5 +83,7 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_embedding_graph": op10_embedding_graph,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_url_filter": op12_url_filter,
+    "op13_token_alignment": op13_token_alignment,
 }

@@ -126,7 +126,8 @@ def _probabilities(grams: DataFrame, least_seen: int) -> DataFrame:
 def _threshold(scored: DataFrame) -> int:
     """The bin from which held-out ruled urls are best called accepted: least mean of both error rates.
 
-    Ties go to the bin nearest 0, then to the lower one. Without held-out urls of both classes it is 0. At most
+    All bins up to one with urls, from the one with urls before it, are as good as that; the nearest to 0 stands for
+    them. Ties go to the bin nearest 0, then to the lower one. Without held-out urls of both classes it is 0. At most
     2 * REACH * STEPS + 1 bins are looked at, whatever the size of the input.
     """
     bins = scored.groupBy("bin").agg(
@@ -135,9 +136,10 @@ def _threshold(scored: DataFrame) -> int:
     )
     everything = Window.partitionBy(F.lit(0))
     below = everything.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    lowest = F.coalesce(F.lag("bin").over(everything.orderBy("bin")) + 1, F.least(F.lit(0), "bin"))
     best = (
         bins.select(
-            "bin",
+            F.greatest(lowest, F.least(F.lit(0), "bin")).alias("bin"),
             F.sum("allow").over(everything).alias("n_allow"), F.sum("block").over(everything).alias("n_block"),
             F.coalesce(F.sum("allow").over(below), F.lit(0)).alias("lost"),
             (F.sum("block").over(everything) - F.coalesce(F.sum("block").over(below), F.lit(0))).alias("passed"),

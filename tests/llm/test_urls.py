@@ -76,7 +76,7 @@ def brute(pages, least_seen=2):
         def cost(t):
             return sum(s == "allow" and b < t for b, s in marked) * n_b + sum(s == "block" and b >= t for b, s in marked) * n_a
 
-        threshold = min({b for b, _ in marked}, key=lambda t: (cost(t), abs(t), t))
+        threshold = min(range(min(0, *(b for b, _ in marked)), 1 + max(b for b, _ in marked)), key=lambda t: (cost(t), abs(t), t))
     out = []
     for (page, h, x, t), r in zip(rows, rules, strict=True):
         key = (t, r.action if r else "")
@@ -91,7 +91,7 @@ def made(n, seed=5):
     for i in range(n):
         kind = rng.random() < 0.5
         tld = rng.choice(["org", "com"] if kind else ["net", "com"])
-        lang = "fr" if tld == "org" and rng.random() < 0.7 else rng.choice(["en", "es"])
+        lang = "fr" if tld == "org" and rng.random() < 0.7 else rng.choice(["es", "it"])
         word = rng.choice(good if kind else bad)
         rows.append((i, f"http://www.{word}{rng.randrange(40)}.example.{tld}/{lang}/{word}-{word}/{rng.randrange(900)}"))
     return rows
