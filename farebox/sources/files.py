@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farebox.session import cut
+from farebox.sources import records
 from farebox.sources.mapping import SourceError, column_types
 
 BAD = "_bad_record"
@@ -34,14 +35,23 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = False) -> DataFrame:
     """Every column as text. The header must match and a malformed row fails the job.
 
-    Quoted line breaks need `multi_line`, which makes a file unsplittable; leave it off for large files.
+    With `multi_line` quoted fields may hold line breaks, and quotes in them are doubled (RFC 4180); files are split
+    all the same, see `records`. Without it every line is a row and files are read once, which is faster.
     """
+    if multi_line:
+        header = read_header(spark, path)
+        if header != list(columns):
+            raise SourceError(f"CSV header {header} is not {list(columns)}")
+        rows = records.parsed(records.read_records(spark, path), columns, BAD)
+        first = F.col(f"`{columns[0]}`")
+        malformed = F.raise_error(F.concat(F.lit("malformed CSV record: "), F.col(BAD))).cast("string")
+        checked = rows.withColumn(columns[0], F.when(F.col(BAD).isNotNull(), malformed).otherwise(first))
+        return checked.select(*[f"`{c}`" for c in columns], F.col("file").alias("source_path"))
     return (
         spark.read.schema(text_schema(columns))
         .option("header", True)
         .option("mode", "FAILFAST")
         .option("enforceSchema", False)
-        .option("multiLine", multi_line)
         .csv(path)
         .select("*", F.col("_metadata.file_path").alias("source_path"))
     )
@@ -78,22 +88,26 @@ def validate_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     """
     header = read_header(spark, path)
     check_header(header)
-    schema = text_schema([*header, BAD])
-    body = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD)
-        .option("columnPruning", False)
-        .option("multiLine", multi_line)
-        .csv(path)
-        .select(
-            F.struct("_metadata.file_path", "_metadata.file_block_start").alias("split"),
-            F.col(f"`{header[0]}`").alias("first_value"),
-            F.col(BAD).alias("bad"),
-            F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("offset"),
+    first_value, bad_record = F.col(f"`{header[0]}`").alias("first_value"), F.col(BAD).alias("bad")
+    if multi_line:
+        body = records.parsed(records.read_records(spark, path), header, BAD).select(
+            F.struct("file", "block").alias("split"), first_value, bad_record, F.col("place").alias("offset")
+        )
+    else:
+        body = (
+            spark.read.schema(text_schema([*header, BAD]))
+            .option("header", True)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", BAD)
+            .option("columnPruning", False)
+            .csv(path)
+            .select(
+                F.struct("_metadata.file_path", "_metadata.file_block_start").alias("split"),
+                first_value,
+                bad_record,
+                F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("offset"),
+            )
         )
-    )
     bad = F.col("bad").isNotNull()
     splits = body.groupBy("split").agg(
         F.count_if(~bad).alias("good"),
@@ -105,9 +119,8 @@ def validate_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     )
     splits = cut(splits, "splits")  # one small row per split, read twice
     first_bad = splits.filter("bad_rows > 0").agg(F.min("split").alias("split")).scalar()
-    before = F.when(F.col("split") < first_bad, F.col("good")).when(
-        F.col("split") == first_bad, F.col("bad_offset") - F.col("base")
-    )
+    in_split = F.when(F.col("bad_offset") == records.AFTER_ALL, F.col("good")).otherwise(F.col("bad_offset") - F.col("base"))
+    before = F.when(F.col("split") < first_bad, F.col("good")).when(F.col("split") == first_bad, in_split)
     utf8 = spark.read.text(path).agg(F.coalesce(F.bool_and(F.expr("is_valid_utf8(value)")), F.lit(True)))
     summary = splits.agg(
         F.coalesce(F.sum("good"), F.lit(0)).alias("rows"),
@@ -128,9 +141,9 @@ def validate_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     )
 
 
-def require_valid_csv(spark: SparkSession, path: str) -> int:
+def require_valid_csv(spark: SparkSession, path: str, multi_line: bool = False) -> int:
     """Number of rows, or SourceError with the reason."""
-    r = validate_csv(spark, path).first()
+    r = validate_csv(spark, path, multi_line).first()
     if not r.valid_utf8:
         raise SourceError("CSV is not valid UTF-8")
     if r.truncated:

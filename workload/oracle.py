@@ -258,6 +258,12 @@ SELECT 'lineitem.parquet' AS file, n AS rows, c AS "column", t AS type FROM (SEL
   (VALUES ('l_orderkey','bigint'), ('l_partkey','bigint'), ('l_suppkey','bigint'), ('l_linenumber','int'), ('l_quantity','double'),
           ('l_extendedprice','double'), ('l_discount','double'), ('l_tax','double'), ('l_returnflag','string'),
           ('l_linestatus','string'), ('l_shipdate','timestamp_ntz')) AS v(c, t)""")
+oracle("scan_csv_quoted", """
+SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '\\. ', '.' || chr(10) || '"", ', 'g')) AS text_sha256, lang, source
+FROM documents""")
+oracle("inspect_csv_quoted", """
+SELECT true AS ok, count(*) AS rows, CAST(0 AS BIGINT) AS bad_rows, CAST(NULL AS BIGINT) AS rows_before_bad,
+       false AS truncated, true AS valid_utf8, CAST(NULL AS VARCHAR) AS sample FROM documents""")
 oracle("inspect_csv", """
 SELECT true AS ok, count(*) AS rows, CAST(0 AS BIGINT) AS bad_rows, CAST(NULL AS BIGINT) AS rows_before_bad,
        false AS truncated, true AS valid_utf8, CAST(NULL AS VARCHAR) AS sample FROM src""")

@@ -127,6 +127,29 @@ def _(spark, sf):
     return files.validate_csv(spark, written_csv(spark, sf))
 
 
+def quoted_csv(spark, sf) -> str:
+    """`documents` with a line break and quotes put into every text, one field of which then spans lines."""
+    path = scratch_path(spark, "csv")
+    broken = F.regexp_replace(F.coalesce("text", F.lit("")), "\\. ", '.\n"", ')
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", broken.alias("text"), "lang", "source")
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return path
+
+
+@query("scan_csv_quoted")
+def _(spark, sf):
+    """Texts of many lines written as CSV and read back split by split."""
+    rows = files.read_csv(spark, quoted_csv(spark, sf), ["doc_id", "text", "lang", "source"], multi_line=True)
+    return rows.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "lang", "source"
+    )
+
+
+@query("inspect_csv_quoted")
+def _(spark, sf):
+    return files.validate_csv(spark, quoted_csv(spark, sf), multi_line=True)
+
+
 @query("verify_checksums")
 def _(spark, sf):
     """Every table file of the folder against pins taken from two of them, one wrong, and one file not there."""
