@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from farebox.operators.rollups import MEASURES
 
 FACT, ROLLUP = "fact", "rollup"
+UNDATED = "undated"  # a rollup whose rows hold a set of days in place of a date
 
 
 def where(condition: Column | None, value: Column) -> Column:
@@ -29,6 +30,8 @@ class Measures:
         return F.sum(where(self.condition, F.col("trips")))
 
     def days(self) -> Column:
+        if self.form == UNDATED:
+            return F.bitmap_count(F.bitmap_or_agg(where(self.condition, F.col("days"))))
         return F.count_distinct(where(self.condition, F.col("pickup_date")))
 
     def valid(self, index: int) -> Column:

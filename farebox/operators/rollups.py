@@ -94,3 +94,69 @@ TABLES: dict[str, Rollup] = {
     "flags_daily": Rollup(agg_flags_daily, FLAG_KEYS),
 }
 ROLLUPS = {name: table.build for name, table in TABLES.items()}
+
+
+# ---- coarser levels -------------------------------------------------------------------------------------------
+
+DAY_ONE = "1990-01-01"  # bit 0 of a set of days; days are told apart for the 89 years from here
+
+
+@dataclass(frozen=True)
+class Level:
+    """A grouping of a rollup's rows by fewer columns. Without the date, a set of days stands for it."""
+
+    base: str
+    keys: tuple[str, ...]
+    measures: tuple[int, ...] = (0, 1, 2)
+
+    @property
+    def dated(self) -> bool:
+        return "pickup_date" in self.keys
+
+
+LEVELS: dict[str, Level] = {
+    "daily": Level("hourly", ("taxi_type", "pickup_date")),
+    "clock_daily": Level("hourly", ("taxi_type", "pickup_date", "pickup_hour", "pickup_day_of_week")),
+    "zone_daily": Level("hourly", ("taxi_type", "pickup_date", "pickup_location_id")),
+    "clock": Level("hourly", ("taxi_type", "pickup_hour", "pickup_day_of_week")),
+    "zones": Level("hourly", ("taxi_type", "pickup_location_id")),
+    "codes": Level("hourly", ("taxi_type", "payment_type", "vendor_id")),
+    "dropoff_zones": Level("dropoff_daily", ("taxi_type", "dropoff_location_id"), (0, 1)),
+}
+
+
+def day_set() -> Column:
+    """The days of a group as a bitmap: sets of groups unite, and their size is the number of distinct days."""
+    return F.bitmap_construct_agg(F.expr(f"bitmap_bit_position(datediff(pickup_date, DATE'{DAY_ONE}') + 1)"))
+
+
+def level_rows(bases: dict[str, DataFrame]) -> DataFrame:
+    """All levels as one frame with `level`, each base read once for its dated and once for its undated ones.
+
+    Columns that a level is not grouped by are null. Sums of sums and counts are exact, so a level answers as its base.
+    """
+    out: DataFrame | None = None
+    for base in dict.fromkeys(level.base for level in LEVELS.values()):
+        for dated in (True, False):
+            names = [n for n, level in LEVELS.items() if level.base == base and level.dated == dated]
+            if not names:
+                continue
+            columns = list(dict.fromkeys(k for n in names for k in LEVELS[n].keys))
+            sets = [[F.col(k) for k in (*LEVELS[n].keys, "data_period")] for n in names]
+            sums = [F.sum("trips").alias("trips")]
+            for i in LEVELS[names[0]].measures:
+                _, value, count, total = MEASURES[i]
+                kind = WIDE_MONEY if value == "total_amount" else "double"
+                sums += [F.sum(count).alias(count), F.sum(total).cast(kind).alias(total)]
+            # which set a row is of: by the columns that are grouped away
+            which = F.array(*[F.grouping(k) for k in columns])
+            name = F.coalesce(*[
+                F.when(which == F.array(*[F.lit(int(k not in LEVELS[n].keys)).cast("byte") for k in columns]), F.lit(n)) for n in names
+            ])
+            days = F.lit(None).cast("binary") if dated else day_set()
+            rows = bases[base].groupingSets(sets, *[F.col(k) for k in columns], F.col("data_period")).agg(
+                name.alias("level"), *sums, days.alias("days"), F.min("run_id").alias("run_id")
+            )
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+

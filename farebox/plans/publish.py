@@ -283,16 +283,34 @@ def read_publications(spark: SparkSession, root: str, table: str, months: dict[s
 
 
 def build_rollups(fact: DataFrame, root: str, publication: str) -> dict[str, DataFrame]:
-    """The four rollups of the given trips under a publication, read back as written."""
+    """The four rollups of the given trips under a publication, and the levels made of them, read back as written."""
     spark = fact.sparkSession
     frames = {}
     for name, build in rollups.ROLLUPS.items():
         write_partitions(build(fact), folder(root, name, publication))
         written = read_table(spark, folder(root, name, publication))
         frames[name] = spark.createDataFrame([], SPARSE[name]).drop("publication") if written is None else written
+    levels = rollups.level_rows(frames).hint("rebalance", F.col("level"))  # few rows, so one folder per level, not month
+    levels.write.option("compression", "zstd").partitionBy("level").parquet(folder(root, "levels", publication))
     return frames
 
 
+def with_level_rows(spark: SparkSession, periods: DataFrame, root: str, publication: str) -> DataFrame:
+    """Period rows with the number of rows each level has for their month, by which questions find the smallest."""
+    written = spark.read.parquet(folder(root, "levels", publication))
+    counted = written.groupBy(*PARTITION, "level").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = counted.groupBy(*PARTITION).agg(F.map_from_entries(F.collect_list(F.struct("level", "rows"))).alias("level_rows"))
+    return periods.drop("level_rows").join(sizes, list(PARTITION), "left")
+
+
+def level_sizes(periods: DataFrame) -> dict[str, int]:
+    """Rows of each level over the given periods; none if a period was published before there were levels."""
+    if "level_rows" not in periods.columns or not periods.where("level_rows IS NULL").isEmpty():
+        return {}
+    rows = periods.select(F.explode("level_rows").alias("level", "rows")).groupBy("level").agg(F.sum("rows").alias("rows"))
+    return {r.level: r.rows for r in rows.collect() if r.level in rollups.LEVELS}
+
+
 def verify_tables(fact: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
     return quality.verify_rollups(fact, frames["hourly"], frames["dropoff_daily"], frames["buckets"])
 
@@ -359,6 +377,7 @@ def publish_normalized(
             "published_at": F.current_timestamp(),
         }
     )
+    periods = with_level_rows(spark, periods, root, publication)
     records = cut(records, "records")
     record_run(root, records, periods, schemas)
     return records
@@ -407,7 +426,7 @@ def rebuild_rollups(spark: SparkSession, root: str, months: Iterable[date] | Non
     renewed = periods.withColumns(
         {"rollup_publication": F.lit(publication), "published_at": F.current_timestamp()}
     )
-    append_periods(renewed, root)
+    append_periods(with_level_rows(spark, renewed, root, publication), root)
     return rollup_rows(frames)
 
 
@@ -437,4 +456,9 @@ def open_store(spark: SparkSession, root: str, taxi_type: str = "yellow", zones:
         for name in TABLES
     }
     zones = zones if zones is not None else current_table(spark, f"{root}/zones")
-    return TripStore(**tables, zones=zones, periods=periods)
+    sizes = level_sizes(periods)
+    levels = {}
+    if sizes:
+        rows = read_publications(spark, root, "levels", of_rollups).filter(F.col("taxi_type") == taxi_type)
+        levels = {name: rows.filter(F.col("level") == name) for name in sizes}
+    return TripStore(**tables, zones=zones, periods=periods, levels=levels, level_sizes=sizes)

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farebox.operators import filters, rollups
 from farebox.operators.filters import LISTS, TripFilter
-from farebox.operators.metrics import FACT, METRICS, ROLLUP
+from farebox.operators.metrics import FACT, METRICS, ROLLUP, UNDATED
 
 DIMENSIONS: dict[str, str] = {
     "hour": "pickup_hour",
@@ -63,9 +63,26 @@ def route(
     return FACT
 
 
+def route_level(
+    base: str, f: TripFilter, dimensions: Iterable[str], metrics: Iterable[str], sizes: dict[str, int]
+) -> str | None:
+    """The smallest level of a rollup that answers too; `sizes` has the rows of each level there is."""
+    columns = columns_read(f, dimensions)
+    measures = {METRICS[m].measure for m in metrics} - {None}
+    fit = [
+        (size, name) for name, size in sizes.items()
+        if (level := rollups.LEVELS[name]).base == base and columns <= {*level.keys} and measures <= {*level.measures}
+    ]
+    return min(fit)[1] if fit else None
+
+
 @dataclass(frozen=True)
 class TripStore:
-    """Published tables of one taxi type. Frames are lazy: a table nobody asks for is never read."""
+    """Published tables of one taxi type. Frames are lazy: a table nobody asks for is never read.
+
+    `levels` has the coarser groupings of the rollups by name, and `level_sizes` their rows, as far as they are
+    published; a question answered by a rollup goes to the smallest of them that can answer it.
+    """
 
     fact: DataFrame
     hourly: DataFrame
@@ -74,6 +91,8 @@ class TripStore:
     flags_daily: DataFrame
     zones: DataFrame
     periods: DataFrame | None = None
+    levels: dict[str, DataFrame] = field(default_factory=dict)
+    level_sizes: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def over(cls, fact: DataFrame, zones: DataFrame, periods: DataFrame | None = None) -> TripStore:
@@ -96,7 +115,10 @@ class TripStore:
         prefer_fact: bool = False,
     ) -> tuple[DataFrame, str]:
         """The filtered frame of the cheapest covering table, and its form."""
+        dimensions, metrics = list(dimensions), list(metrics)
         name = route(f, dimensions, metrics, prefer_fact)
+        if level := route_level(name, f, dimensions, metrics, self.level_sizes):
+            return filters.apply(self.levels[level], f), ROLLUP if rollups.LEVELS[level].dated else UNDATED
         return filters.apply(getattr(self, name), f), FACT if name == FACT else ROLLUP
 
     def histogram_rows(self, f: TripFilter) -> DataFrame | None:

@@ -458,6 +458,34 @@ GRID = [
 oracle("rollup_equals_fact", " UNION ALL ".join(
     f"SELECT '{q}' AS question, count(*) AS groups, CAST(0 AS BIGINT) AS differing FROM (SELECT DISTINCT {k} FROM fact WHERE {w})" for q, w, k in GRID))
 
+LEVEL_GRID = [
+    *GRID,
+    ("trips by weekday and hour", "true", "pickup_day_of_week, pickup_hour"),
+    ("trips per day by hour", "pickup_day_of_week IN (1, 2)", "pickup_hour"),
+    ("trips per day by pickup zone", "true", "pickup_location_id"),
+    ("trips per day by drop-off zone", "true", "dropoff_location_id"),
+    ("duration by vendor", "payment_type IN (1, 2)", "vendor_id"),
+    ("trips per day", "true", "1"),
+    ("amount by day", Y1996, "pickup_date"),
+    ("distance by zone and day", "pickup_date BETWEEN DATE '1997-03-01' AND DATE '1997-04-30'", "pickup_location_id, pickup_date"),
+]
+oracle("rollup_equals_fact_levels", " UNION ALL ".join(
+    f"SELECT '{q}' AS question, count(*) AS groups, CAST(0 AS BIGINT) AS differing FROM (SELECT DISTINCT {k} FROM fact WHERE {w})" for q, w, k in LEVEL_GRID))
+LEVEL_KEYS = {
+    "daily": "pickup_date", "clock_daily": "pickup_date, pickup_hour, pickup_day_of_week",
+    "zone_daily": "pickup_date, pickup_location_id", "clock": "pickup_hour, pickup_day_of_week", "zones": "pickup_location_id",
+    "codes": "payment_type, vendor_id", "dropoff_zones": "dropoff_location_id",
+}
+oracle("agg_levels", " UNION ALL ".join(f"""
+SELECT '{name}' AS level, count(*) AS rows, CAST(sum(n) AS BIGINT) AS trips, {R('sum(amount)')} AS amount,
+       CAST({'0' if 'pickup_date' in keys else 'sum(days)'} AS BIGINT) AS days
+FROM (SELECT count(*) AS n, count(DISTINCT pickup_date) AS days, coalesce(sum(total_amount) FILTER (WHERE av), 0) AS amount
+      FROM fact GROUP BY data_period, {keys})""" for name, keys in LEVEL_KEYS.items()))
+for name, keys in (("zone", "pickup_location_id"), ("dropoff", "dropoff_location_id"), ("clock", "pickup_day_of_week, pickup_hour")):
+    parts = ", ".join(f"coalesce(CAST({k} AS VARCHAR), 'none')" for k in keys.split(", "))
+    oracle(f"avg_daily_trips__{name}_level", f"""
+SELECT concat_ws('|', {parts}) AS key, {R('count(*) / count(DISTINCT pickup_date)')} AS value, count(*) AS trips FROM fact GROUP BY {keys}""")
+
 # ---- metrics and questions ------------------------------------------------------------------------------------
 
 for key in METRICS:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -542,6 +543,51 @@ def _(spark, sf):
     return questions.rollup_equals_fact(store(spark, sf), QUESTIONS)
 
 
+def store_with_levels(spark: SparkSession, sf_dir: str) -> TripStore:
+    """The store with its levels written and measured, as a published one has them."""
+    s = store(spark, sf_dir)
+    rows = cut(rollups.level_rows({"hourly": s.hourly, "dropoff_daily": s.dropoff_daily}), "levels")
+    sizes = {r.level: r["count"] for r in rows.groupBy("level").count().collect()}
+    return replace(s, levels={n: rows.where(F.col("level") == n) for n in sizes}, level_sizes=sizes)
+
+
+LEVEL_QUESTIONS = [
+    *QUESTIONS,
+    ("trips by weekday and hour", TripFilter(), ["weekday", "hour"], "total_trips"),
+    ("trips per day by hour", TripFilter(weekday=(1, 2)), ["hour"], "avg_daily_trips"),
+    ("trips per day by pickup zone", TripFilter(), ["pickup_zone"], "avg_daily_trips"),
+    ("trips per day by drop-off zone", TripFilter(), ["dropoff_zone"], "avg_daily_trips"),
+    ("duration by vendor", TripFilter(payment_type=(1, 2)), ["vendor_id"], "avg_trip_duration_minutes"),
+    ("trips per day", TripFilter(), [], "avg_daily_trips"),
+    ("amount by day", Y1996, ["time:day"], "total_recorded_amount"),
+    ("distance by zone and day", TWO_MONTHS, ["pickup_zone", "time:day"], "avg_trip_distance"),
+]
+
+
+@query("rollup_equals_fact_levels")
+def _(spark, sf):
+    return questions.rollup_equals_fact(store_with_levels(spark, sf), LEVEL_QUESTIONS)
+
+
+@query("agg_levels")
+def _(spark, sf):
+    """Every level's rows, trips and day counts."""
+    s = store(spark, sf)
+    rows = rollups.level_rows({"hourly": s.hourly, "dropoff_daily": s.dropoff_daily})
+    return rows.groupBy("level").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("trips").alias("trips"), F.sum("total_amount_valid_sum").alias("amount"),
+        F.coalesce(F.sum(F.bitmap_count("days")), F.lit(0)).alias("days"),
+    )
+
+
+for _name, _dimensions in (("zone", ["pickup_zone"]), ("dropoff", ["dropoff_zone"]), ("clock", ["weekday", "hour"])):
+    query(f"avg_daily_trips__{_name}_level")(
+        lambda spark, sf, dimensions=_dimensions: questions.answer_rows(
+            store_with_levels(spark, sf), TripFilter(), dimensions, "avg_daily_trips", False
+        )
+    )
+
+
 # ---- metrics and questions ------------------------------------------------------------------------------------
 
 for _key in METRICS:
