@@ -8,7 +8,7 @@ written, brackets included.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -33,49 +33,64 @@ NOTICES = {
     "cc0 1 0": "cc0",
     "dedicated to the public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "this is free and unencumbered software released into the public domain": "public-domain",
+    "licensed under the apache license version 2 0": "apache-2",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd",
 }
 TAG = "spdx license identifier"
-# Identifiers that stand for the label of a phrase; others are their own label, lower-cased.
-SAME = {
-    "apache-2.0": "apache-2", "gpl-2.0": "gpl", "gpl-2.0-only": "gpl", "gpl-2.0-or-later": "gpl", "gpl-3.0": "gpl",
-    "gpl-3.0-only": "gpl", "gpl-3.0-or-later": "gpl", "lgpl-2.1-only": "lgpl", "lgpl-3.0-only": "lgpl",
-    "agpl-3.0-only": "agpl", "mpl-2.0": "mpl", "epl-2.0": "epl", "bsl-1.0": "bsl", "cc-by-nc-4.0": "cc-by-nc",
-    "cc-by-sa-4.0": "cc-by-sa", "cc-by-nd-4.0": "cc-by-nd", "cc0-1.0": "cc0",
-}
+# Families whose identifiers differ by version and by what is said of later versions only, and their labels.
+FAMILIES = (
+    "agpl", "lgpl", "gpl", "mpl", "epl", "bsl", "cc0", "cc-by-nc", "cc-by-sa", "cc-by-nd", "apache",
+)
+_FAMILY = re.compile(rf"({'|'.join(FAMILIES)})(?:-?v?(\d+)(?:\.\d+)*)?(?:-only|-or-later|\+)?")
 # How freely a text under a licence may be used, 0 to 1; unknown licences stand in the middle.
 FREEDOM = {
-    "public-domain": 1.0, "cc0": 1.0, "mit": 0.9, "isc": 0.9, "bsd-2-clause": 0.9, "bsd-3-clause": 0.9, "bsl": 0.9,
+    "public-domain": 1.0, "cc0": 1.0, "mit": 0.9, "isc": 0.9, "bsd": 0.9, "bsd-2-clause": 0.9, "bsd-3-clause": 0.9, "bsl": 0.9,
     "apache-2": 0.9, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "cc-by-sa": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2,
     "cc-by-nd": 0.2, "all-rights-reserved": 0.0,
 }
 UNKNOWN = 0.5
 WITH_BONUS = 0.1  # an exception only ever allows more
 
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_TOKEN = re.compile(rb"[()]|[A-Za-z0-9.+:-]+")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
 
-def parse(expression: str) -> tuple[list[str], int]:
-    """Postfix form of the longest well-formed expression at the start of a text, and how many tokens it takes.
+def tokens(text: bytes, start: int = 0, end: int | None = None) -> Iterator[str]:
+    for found in _TOKEN.finditer(text, start, len(text) if end is None else end):
+        yield found[0].decode()
+
 
-    Empty if there is none. Operators in any case: `with` binds closest, then `and`, then `or`.
+def parse(expression: Iterable[str]) -> tuple[list[str], int]:
+    """Postfix form of the longest well-formed expression that tokens begin with, and how many of them it takes.
+
+    Empty if there is none. Operators in any case: `with` binds closest, then `and`, then `or`. No more tokens are
+    taken than up to the first that can't go on, and each is looked at once.
     """
-    best: tuple[list[str], int] = [], 0
+    best: tuple[int, list[str], int] = 0, [], 0  # length of the output, what was waiting, tokens used
     out: list[str] = []
     waiting: list[str] = []
+    depth = 0  # open brackets among those waiting
     operand = True  # what may come next
-    for used, found in enumerate(_TOKEN.finditer(expression), 1):
-        token, low = found[0], found[0].lower()
+    for used, token in enumerate(expression, 1):
+        low = token.lower()
         if token == "(":
             if not operand:
                 break
             waiting.append(token)
+            depth += 1
             continue
         if token == ")":
-            if operand or "(" not in waiting:
+            if operand or not depth:
                 break
             while (top := waiting.pop()) != "(":
                 out.append(top)
+            depth -= 1
         elif low in _STRENGTH:
             if operand:
                 break
@@ -89,14 +104,21 @@ def parse(expression: str) -> tuple[list[str], int]:
                 break
             out.append(token)
             operand = False
-        if "(" not in waiting:
-            best = out + waiting[::-1], used
-    return best
+        if not depth:  # at most one operator of each strength waits outside brackets
+            best = len(out), waiting[::-1], used
+    n, rest, used = best
+    return out[:n] + rest, used
 
 
 def label(identifier: str) -> str:
+    """The family of an identifier whatever its version; others are their own label, lower-cased."""
     low = identifier.lower().rstrip(".:-")
-    return SAME.get(low, low)
+    found = _FAMILY.fullmatch(low)
+    if not found:
+        return low
+    if found[1] == "apache":
+        return "apache-2" if found[2] == "2" else low
+    return found[1]
 
 
 def evaluate(postfix: list[str], freedom: Mapping[str, float] = FREEDOM) -> tuple[set[str], float]:
@@ -124,6 +146,21 @@ def finder(base: Mapping[str, str] = BASE, notices: Mapping[str, str] = NOTICES)
     automaton.make_automaton()
     size = {p: len(p) + 1 for p in {*base, *notices, TAG}}
 
+    def expressions_behind(text: bytes, line: str, tags: list[int]) -> Iterator[list[str]]:
+        """Postfix expressions behind tags at ascending offsets of `line`; each offset and line end is sought once."""
+        _, ends = word_spans(text)
+        at_word, counted, line_end = 0, 0, -1
+        for at in tags:
+            at_word += line.count(" ", counted, at)
+            counted = at
+            start = int(ends[at_word + 2])  # behind the three words of the tag
+            if start > line_end:
+                line_end = text.find(b"\n", start)
+                line_end = len(text) if line_end < 0 else line_end
+            while text[start : start + 1] in (b" ", b":", b"\t"):
+                start += 1
+            yield parse(tokens(text, start, line_end))[0]
+
     def find(text: bytes) -> tuple:
         ws = words(text)
         line = " " + b" ".join(ws).decode("latin-1") + " "
@@ -140,16 +177,12 @@ def finder(base: Mapping[str, str] = BASE, notices: Mapping[str, str] = NOTICES)
         labels |= base_labels
         free = [FREEDOM.get(x, UNKNOWN) for x in labels]
         expressions = []
-        if tags:
-            _, ends = word_spans(text)
-            for at in tags:
-                behind = text[ends[line.count(" ", 0, at) + 2] :].split(b"\n", 1)[0].decode(errors="replace").lstrip(" :\t")
-                postfix, _ = parse(behind)
-                if postfix:
-                    more, score = evaluate(postfix)
-                    expressions.append(" ".join(postfix))
-                    labels |= more
-                    free.append(score)
+        for postfix in expressions_behind(text, line, tags) if tags else ():
+            if postfix:
+                more, score = evaluate(postfix)
+                expressions.append(" ".join(postfix))
+                labels |= more
+                free.append(score)
         first, last = (line.count(" ", 0, min(starts)), line.count(" ", 0, max(starts))) if starts else (None, None)
         return (
             len(ws), len(starts), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)),
