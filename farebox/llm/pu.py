@@ -6,7 +6,9 @@ risk is
     p E_P[l(g)]  +  max(0, E_U[l(-g)] - p E_P[l(-g)])
 
 where the second term, the risk on negatives written without any, must not fall below zero (when a batch drives it
-there, its gradient is turned round). The prior is the share of positives among the labelled rows of the training folds.
+there, its gradient is turned round). The prior is estimated from positives and unlabelled texts: where a score ranks
+nothing but positives, unlabelled texts are found as often as positives, times the prior (see `estimate_prior`).
+Labelled negatives are never read.
 
 Two disjoint bounded samples of each kind are drawn by a hash of doc_id: one gives a lexicon (words and beginnings of
 words that positives hold more or less often than unlabelled texts), the other, described by that lexicon and by counts of characters, words and
@@ -25,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farebox.llm.text import blobs, per_row, small_batches, words
+from farebox.llm.text import blobs, small_batches, words
+from farebox.session import cut
 
 FOLDS = 5
 SEED = 20
@@ -33,7 +36,7 @@ SEED = 20
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the samples hold in expectation, as a share of rows by hash; they don't grow with the corpus."""
+    """Bounds of the samples are strict, by rank of a hash of doc_id; they don't grow with the corpus."""
 
     label: str  # column of `labels` with 1 for positives
     positives: int = 6_000  # sampled for both halves together
@@ -46,6 +49,8 @@ class Settings:
     epochs: int = 60
     rate: float = 0.01
     prior: float | None = None  # estimated where None
+    ranking: float = 0.1  # prior of the networks that only rank, for the estimate
+    doubt: float = 0.1  # chance that a bound of the estimate fails
     without_positives: float = 0.0  # score of every text if no positive is known
 
 
@@ -143,6 +148,7 @@ class Model:
     b2: float
     form: bool = True
     constant: float | None = None
+    prior: float | None = None
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -152,8 +158,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
+def gradient(theta: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float) -> list[np.ndarray]:
+    """Of the risk of one batch with the logistic loss, or against its negative part where that is below zero."""
+    hp, hu = np.tanh(xp @ theta[0] + theta[1]), np.tanh(xu @ theta[0] + theta[1])
+    gp, gu = hp @ theta[2] + theta[3], hu @ theta[2] + theta[3]
+    sp, su = 1 / (1 + np.exp(-np.clip(gp, -30, 30))), 1 / (1 + np.exp(-np.clip(gu, -30, 30)))
+
+    def back(x: np.ndarray, slope: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+        inner = np.outer(slope, theta[2]) * (1 - h * h)
+        return [x.T @ inner, inner.sum(0), h.T @ slope, slope.sum(keepdims=True)]
+
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    of_u = back(xu, su / len(su), hu)  # of E_U[l(-g)]
+    of_p = back(xp, prior * sp / len(sp), hp)  # of p E_P[l(-g)]
+    if negative < 0:
+        return [b - a for a, b in zip(of_u, of_p, strict=True)]
+    toward = back(xp, prior * (sp - 1) / len(sp), hp)  # of p E_P[l(g)]
+    return [a - b + c for a, b, c in zip(of_u, of_p, toward, strict=True)]
+
+
 def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s: Settings) -> Model:
-    """Minimise the non-negative risk with the logistic loss by Adam."""
+    """Minimise the non-negative risk by Adam."""
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-6
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
@@ -161,11 +186,6 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s: Setting
     d = p.shape[1]
     theta = [rng.normal(0, 0.5 / np.sqrt(d), (d, s.hidden)), np.zeros(s.hidden), rng.normal(0, 0.3, s.hidden), np.zeros(1)]
     first, second, t = [np.zeros_like(w) for w in theta], [np.zeros_like(w) for w in theta], 0
-
-    def grads(x: np.ndarray, slope: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
-        back = np.outer(slope, theta[2]) * (1 - h * h)
-        return [x.T @ back, back.sum(0), h.T @ slope, slope.sum(keepdims=True)]
-
     steps = max(8, min(40, len(u) // 256))
     for _ in range(s.epochs):
         for pi, ui in zip(
@@ -173,20 +193,8 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s: Setting
         ):
             if not len(pi) or not len(ui):
                 continue
-            xp, xu = p[pi], u[ui]
-            hp, hu = np.tanh(xp @ theta[0] + theta[1]), np.tanh(xu @ theta[0] + theta[1])
-            gp, gu = hp @ theta[2] + theta[3], hu @ theta[2] + theta[3]
-            sp, su = 1 / (1 + np.exp(-np.clip(gp, -30, 30))), 1 / (1 + np.exp(-np.clip(gu, -30, 30)))
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            of_u = grads(xu, su / len(su), hu)  # of E_U[l(-g)]
-            of_p = grads(xp, prior * sp / len(sp), hp)  # of p E_P[l(-g)]
-            if negative < 0:
-                step = [b - a for a, b in zip(of_u, of_p, strict=True)]
-            else:
-                toward = grads(xp, prior * (sp - 1) / len(sp), hp)  # of p E_P[l(g)]
-                step = [a - b + c for a, b, c in zip(of_u, of_p, toward, strict=True)]
             t += 1
-            for i, g in enumerate(step):
+            for i, g in enumerate(gradient(theta, p[pi], u[ui], prior)):
                 g = g + 1e-4 * theta[i]
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
@@ -194,6 +202,35 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s: Setting
     return Model({}, mean, scale, *theta[:3], float(theta[3][0]))
 
 
+def best_share(positive: np.ndarray, unlabelled: np.ndarray, doubt: float) -> float:
+    """The share of positives among unlabelled scores, read off above the threshold that bounds it best.
+
+    Above any threshold the share of unlabelled scores is at least the prior times that of positive scores. Their ratio
+    so bounds the prior, and is near it where no negatives are; the threshold with the least upper bound is taken, as
+    high ones leave too few scores to tell and low ones let negatives in.
+    """
+    at = np.unique(positive)
+    over_p = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
+    over_u = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
+    slack = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (positive, unlabelled))
+    best = np.argmin((over_u + slack) / over_p)
+    return float(over_u[best] / over_p[best])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, s: Settings) -> float:
+    """The share of positives among the unlabelled, from feature rows of both; 1 / rows at least, 0.99 at most.
+
+    Each half is scored by a network that was fitted on the other, and both halves' estimates are averaged.
+    """
+    found = []
+    for k in (0, 1):
+        fitted = nn_pu(positive[k::2], unlabelled[k::2], s.ranking, s)
+        p, u = positive[1 - k :: 2], unlabelled[1 - k :: 2]
+        if len(p) and len(u):
+            found.append(best_share(fitted.scores(p), fitted.scores(u), s.doubt))
+    return float(np.clip(np.mean(found) if found else s.ranking, 1 / len(unlabelled), 0.99))
+
+
 def _constant(score: float) -> Model:
     empty = np.zeros(0)
     return Model({}, empty, empty, empty, empty, empty, 0.0, constant=score)
@@ -203,36 +240,48 @@ _MADE = T.StructType().add("word", T.BinaryType()).add("positive", T.BooleanType
 _DESCRIBED = T.StructType().add("positive", T.BooleanType()).add("x", T.ArrayType(T.DoubleType()))
 
 
-def train(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
-    """Fit on rows outside fold 0. Only `doc_id` and `text` of documents, and `doc_id` and the label column, are read."""
-    label = F.col(f"`{s.label}`")
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & label.isNotNull() & (crc_fold(F.col("doc_id")) != 0))
-        .groupBy("doc_id")
-        .agg(F.max(label).alias("label"))
-    )
-    n_known, n_positive = known.agg(F.count(F.lit(1)), F.sum((F.col("label") == 1).cast("long"))).first()
-    if not n_positive:
-        return _constant(s.without_positives)
-    prior = s.prior if s.prior is not None else min(0.99, n_positive / n_known)
-
-    def draw(share: float, salt: int) -> Column:
-        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30))
+def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame | None:
+    """`positive, text, first`: the texts a classifier is fitted on, at most `positives` and `unlabelled`; none without
+    a positive.
 
-    texts = docs.where(F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0)).select("doc_id", "text")
-    n_texts = texts.count()
-    positives = known.where((F.col("label") == 1) & draw(s.positives / n_positive, 1)).select(
-        F.col("doc_id").alias("positive_id")
-    )
-    drawn = texts.join(F.broadcast(positives), F.col("doc_id") == F.col("positive_id"), "left")  # some 6,000 ids
+    Of fold 0 nothing is drawn. A doc_id that repeats counts once, with the text of the least hash. Ids are drawn by
+    rank of a hash, so the bounds hold for any data; positives are among the unlabelled as often as anywhere.
+    """
+    usable = F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0)
+    known = labels.where(usable & (F.col(f"`{s.label}`") == 1)).select("doc_id").distinct()
+
+    def order(salt: int) -> Column:
+        return F.xxhash64("doc_id", F.lit(salt)).bitwiseAND((1 << 62) - 1)
+
+    positives = known.orderBy(order(1), "doc_id").limit(s.positives).select(F.col("doc_id").alias("positive_id"))
+    positives = cut(positives, "positives")
+    if positives.isEmpty():
+        return None
+    texts = docs.where(usable).select("doc_id", "text")
+    n_ids = texts.agg(F.approx_count_distinct("doc_id", 0.02)).first()[0]
+    likely = int((1 << 62) * min(1.0, 1.2 * s.unlabelled / max(n_ids, 1)))  # ids beyond are not among the first
+    drawn = texts.select(order(2).alias("place")).where(F.col("place") < likely).distinct().orderBy("place").limit(s.unlabelled)
+    last = drawn.agg(F.max("place")).first()[0]
     chosen = (
-        drawn.withColumn("kinds", F.array_compact(F.array(
-            F.when(F.col("positive_id").isNotNull(), F.lit(True)), F.when(draw(s.unlabelled / max(n_texts, 1), 2), F.lit(False))
-        )))
-        .where(F.size("kinds") > 0)
-        .select(F.explode("kinds").alias("positive"), "text", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0).alias("first"))
+        texts.join(F.broadcast(positives), F.col("doc_id") == F.col("positive_id"), "left")  # at most s.positives ids
+        .select("doc_id", "text", F.col("positive_id").isNotNull().alias("known"), (order(2) <= F.lit(last)).alias("drawn"))
+        .where(F.col("known") | F.col("drawn"))
+        .groupBy("doc_id", "known", "drawn").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     )
+    kinds = F.array_compact(F.array(F.when(F.col("known"), F.lit(True)), F.when(F.col("drawn"), F.lit(False))))
+    half = (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0).alias("first")
+    return cut(chosen.select(F.explode(kinds).alias("positive"), "text", half), "sample")
+
 
+def train(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
+    """Fit on rows outside fold 0. Only `doc_id` and `text` of documents, and `doc_id` and the label column, are read.
+
+    Null and empty texts are texts like any other, null doc_ids and null labels say nothing. Without a positive, or
+    without texts of both kinds, every text gets the constant `without_positives`.
+    """
+    chosen = sample(docs, labels, s)
+    if chosen is None:
+        return _constant(s.without_positives)
     form = s.form
     lexicon = _lexicon(chosen.where("first"), s)
 
@@ -248,10 +297,12 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
     x = np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, -1)
     positive = np.array(rows.column("positive").to_pylist(), bool)
     order = np.lexsort(x.T)  # the same order, and so the same model, whichever task came first
+    order = order[np.random.default_rng(SEED).permutation(len(order))]
     x, positive = x[order], positive[order]
     if positive.all() or not positive.any():
-        return _constant(s.without_positives if not positive.any() else prior)
-    return replace(nn_pu(x[positive], x[~positive], prior, s), lexicon=lexicon, form=form)
+        return _constant(s.without_positives)
+    prior = s.prior if s.prior is not None else estimate_prior(x[positive], x[~positive], s)
+    return replace(nn_pu(x[positive], x[~positive], prior, s), lexicon=lexicon, form=form, prior=prior)
 
 
 def _lexicon(sample: DataFrame, s: Settings) -> dict[bytes, float]:
@@ -292,18 +343,18 @@ def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     null doc_id counts as held out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "score", "predicted"]
 
-    def work():
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         weights = Weights(m.lexicon)
+        for batch in small_batches(batches):
+            if batch.num_rows:
+                values = m.scores(np.array([features(b, weights, m.form) for b in blobs(batch.column(1))]))
+                made = [batch.column(0), pa.array(values), pa.array((values >= threshold).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(made, names=names)
 
-        def row(doc_id, text):
-            value = float(m.scores(np.array([features(text, weights, m.form)]))[0])
-            return doc_id, value, int(value >= threshold)
-
-        return row
-
-    scored = per_row(docs, ["doc_id", "text"], "doc_id long, score double, predicted int", work)
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
     held_out = F.coalesce(crc_fold(F.col("doc_id")) == 0, F.lit(True))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
