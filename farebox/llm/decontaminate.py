@@ -90,11 +90,15 @@ class Matcher:
     """Windows of a block of items, found in documents."""
 
     def __init__(self, items: list[tuple[int | None, list[bytes], bool]], window: int) -> None:
-        """items: id, words, and whether these are all words of the item."""
+        """items: id, words, and whether these are all words of the item. Equal words are taken in once, for all their ids."""
         self.window = window
         a = self.automaton = SuffixAutomaton()
-        items = [i for i in items if len(i[1]) >= window or i[1] and i[2]]
-        for _, ws, _ in items:
+        ids: dict[bytes, tuple[list[bytes], set]] = {}
+        for item, ws, whole in items:
+            if len(ws) >= window or ws and whole:
+                ids.setdefault(b" ".join(ws), (ws, set()))[1].add(item)
+        own_items = list(ids.values())
+        for ws, _ in own_items:
             a.add(ws)
         n = len(a.length)
         # By state: the state of its last `window` words; items with a window there; short items that end there.
@@ -106,27 +110,27 @@ class Matcher:
                 self.tail[s] = self.tail[up] if a.length[up] >= window else s
         self.items: dict[int, set] = {}
         self.short: dict[int, list[tuple[int, set]]] = {}
-        for item, ws, _ in items:
+        for ws, its_ids in own_items:
             state = matched = 0
             for w in ws:
                 state, matched = a.step(state, matched, a.ids[w])
                 if matched >= window:
-                    self.items.setdefault(self.tail[state], set()).add(item)
+                    self.items.setdefault(self.tail[state], set()).update(its_ids)
             if len(ws) < window:
                 own = self.short.setdefault(state, [])
                 for n_words, found in own:
                     if n_words == len(ws):
-                        found.add(item)
+                        found |= its_ids
                         break
                 else:
-                    own.append((len(ws), {item}))
+                    own.append((len(ws), set(its_ids)))
         for s in order:  # what ends at a state also ends at all longer runs
             up = self.short.get(a.link[s])
             if up:
                 self.short[s] = self.short.get(s, []) + up
-        self.least = min((min(len(ws), window) for _, ws, _ in items), default=0)
+        self.least = min((min(len(ws), window) for ws, _ in own_items), default=0)
         self.pairs = np.zeros(1 << _PAIR_BITS, bool)
-        for _, ws, _ in items:
+        for ws, _ in own_items:
             k = np.array([a.ids[w] for w in ws], np.int64)
             self.pairs[self.code(k)] = True
 
@@ -171,8 +175,9 @@ class Matcher:
 
 
 def _built(t: pa.Table, window: int) -> pa.Table:
-    items = zip(t.column("item_id").to_pylist(), t.column("words").to_pylist(), t.column("whole").to_pylist(), strict=True)
-    matcher = pickle.dumps(Matcher([(item, ws.split(), whole) for item, ws, whole in items], window))
+    pieces = zip(t.column("ids").to_pylist(), t.column("words").to_pylist(), t.column("whole").to_pylist(), strict=True)
+    items = [(item, ws.split(), whole) for ids, ws, whole in pieces for item in ids]
+    matcher = pickle.dumps(Matcher(items, window))
     return pa.table({"block": t.column("block").slice(0, 1), "matcher": pa.array([matcher], pa.binary())})
 
 
@@ -193,13 +198,15 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[int, C
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=out.names)
 
-    parts = cut(benchmark.select("item_id", "text").mapInArrow(cut_up, out), "pieces")
+    # equal pieces are one, with the ids of all their items, which any document that holds the piece is told anyway
+    alike = benchmark.select("item_id", "text").mapInArrow(cut_up, out).groupBy("words", "whole", "n")
+    parts = cut(alike.agg(F.collect_set("item_id").alias("ids")), "pieces")
     total = parts.agg(F.sum("n")).first()[0] or 0
     n_blocks = -(-total // block_words)
 
     if not n_blocks:
         return 0, lambda number: b""
-    dealt = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)))
+    dealt = parts.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(n_blocks)))
     built = cut(dealt.groupBy("block").applyInArrow(lambda t: _built(t, window), "block long, matcher binary"), "automata")
 
     def fetch(number: int) -> bytes:

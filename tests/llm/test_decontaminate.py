@@ -94,3 +94,16 @@ def test_automata_are_built_in_tasks(spark, benchmark, monkeypatch):
     items = {i: words((text or "").encode()) for i, text in benchmark.select("item_id", "text").collect() if i is not None}
     found = {i for b in blocks for own in b.items.values() for i in own}
     assert found == {i for i, ws in items.items() if len(ws) >= 10}
+
+
+def test_repeated_items_fill_no_block(spark):
+    same = "one passage that very many items of the benchmark share word for word without any change"
+    rows = [(i, same) for i in range(10_000)] + [(20_000 + i, f"item {i} " + " ".join(f"v{i * 31 % 977}x{k}" for k in range(40))) for i in range(200)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    n_blocks, fetch = dc._blocks(bench, 10, 1000)
+    assert n_blocks == -(-(16 + 200 * 42) // 1000)
+    sizes = [len(pickle.loads(fetch(b)).automaton.length) for b in range(n_blocks) if fetch(b)]
+    assert len(sizes) == n_blocks and max(sizes) < 3 * min(sizes)
+    docs = spark.createDataFrame([(1, "x " + same + " y"), (2, "nothing here")], "doc_id long, text string")
+    got = {r.doc_id: r for r in dc.scan(docs, bench, block_words=1000).collect()}
+    assert (got[1].n_items, got[1].n_hit, got[2].n_items) == (10_000, 16, 0)

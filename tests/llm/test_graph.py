@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from farebox.llm import graph
 
@@ -59,6 +60,12 @@ def test_recall_is_audited(spark, vectors):
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
     assert graph.audit_recall(frame, graph.near_duplicates(frame)) >= 0.99
     assert graph.near_duplicates(frame.limit(0)).count() == 0
+    odd = [(20, None, 1), (40, [], 1), (60, [0.0] * 16, 1), (80, [None, 1.0], 1), (100, [1.0, 2.0], 0), (120, [2.0, 4.0], 0), (140, [1.0] * 16, None)]
+    mixed = spark.createDataFrame([v for v in vectors if v[0] % 7 == 0 and v[0] > 140] + odd + [(None, [1.0, 2.0], 0)], frame.schema)
+    found = graph.near_duplicates(mixed)
+    assert graph.audit_recall(mixed, found, block=3) == 1.0
+    assert graph.audit_recall(mixed, found.withColumn("n_links", F.lit(0))) == 0.0
+    assert graph.audit_recall(mixed.limit(0), found) == 1.0
 
 
 def test_every_node_is_reached():
