@@ -100,6 +100,18 @@ def keep(df: DataFrame, conditions: Iterable[Column]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, conditions)) if conditions else df
 
 
+def listed(df: DataFrame, name: str, values: DataFrame) -> DataFrame:
+    """Rows whose filtered column (see LISTS) is among the first column of `values`; for lists too long for a TripFilter.
+
+    Any value may be listed, repeated and NULL ones too; a NULL matches nothing. A semi-join on the distinct values: Spark
+    broadcasts a list below its own size limit, and sends a longer one through a shuffle, to which it adds a Bloom filter
+    of the list on the scan where `spark.sql.optimizer.runtime.bloomFilter` settings find it worth its cost.
+    """
+    column = LISTS[name][0]
+    wanted = values.select(F.col(values.columns[0]).cast(df.schema[column].dataType).alias("_wanted")).distinct()
+    return df.join(wanted, F.col(column) == F.col("_wanted"), "left_semi")
+
+
 def month_bounds(f: TripFilter) -> list[Column]:
     """The same dates on the partition column, so whole months are pruned before the scan.
 

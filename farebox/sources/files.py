@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from farebox.sources import records
 from farebox.sources.mapping import SourceError, column_types
 
 BAD = "_bad_record"
+FOOTERS_AT_ONCE = 16
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
@@ -57,20 +61,29 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line:
     )
 
 
-def inspect_sources(df: DataFrame, path_column: str = "source_path") -> DataFrame:
-    """Rows per file beside each column's type; a file without rows does not appear."""
-    types = {k: v for k, v in column_types(df.schema).items() if k != path_column}
-    counts = df.groupBy(F.col(path_column).alias("file")).agg(F.count(F.lit(1)).alias("rows"))
-    columns = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(t).alias("type")) for n, t in types.items()])
-    return counts.select("file", "rows", F.inline(columns))
+def file_schemas(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """`file, column, type`: the schema in the footer of each file, which is read in a Spark task of its own."""
+    with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:  # threads that wait for small jobs; what comes back is a schema
+        found = pool.map(lambda file: column_types(spark.read.parquet(unquote(file)).schema), files)
+    rows = [(file, name, kind) for file, types in zip(files, found, strict=True) for name, kind in types.items()]
+    return spark.createDataFrame(rows, "file string, column string, type string")
 
 
 def inspect_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    """Reject files that are not Parquet (Spark raises) or hold no rows, then describe the rest."""
-    df = read_parquet(spark, *paths)
-    if df.isEmpty():
-        raise SourceError("Parquet file contains no rows")
-    return inspect_sources(df)
+    """`file, rows, column, type` of every file, each with its own schema; files needn't agree in their columns.
+
+    A file that is not Parquet fails (Spark raises), as does one without rows, also among others that have some. Rows
+    are counted without reading a column.
+    """
+    df = spark.read.parquet(*paths)
+    counts = df.groupBy(F.regexp_replace("_metadata.file_path", "^([^/:]+:)///", "$1/").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    files = sorted(re.sub("^([^/:]+:)///", r"\1/", file) for file in df.inputFiles())  # one form of paths without a host
+    counted = cut(counts, "counts")  # one small row per file, read twice
+    full = {r.file for r in counted.select("file").collect()}
+    empty = sorted(set(files) - full)
+    if empty or not files:
+        raise SourceError(f"Parquet file contains no rows: {', '.join(empty) or ', '.join(paths)}")
+    return counted.join(file_schemas(spark, files), "file").select("file", "rows", "column", "type")
 
 
 def check_header(header: Sequence[str]) -> None:

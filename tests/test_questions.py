@@ -65,6 +65,24 @@ def test_filters_are_bounded(bad):
         TripFilter(**bad)
 
 
+def test_lists_as_frames(spark):
+    rows = spark.range(2000).selectExpr("cast(id % 700 AS int) AS pickup_location_id", "id").unionByName(
+        spark.createDataFrame([(None, -1)], "pickup_location_id int, id long"))
+    some = [3, 5, 5, 699, 20_000, -4]
+    frame = spark.createDataFrame([(x,) for x in some] + [(None,)], "zone long")
+    wanted = {r.id for r in rows.where(F.col("pickup_location_id").isin(some)).collect()}
+    assert {r.id for r in filters.listed(rows, "pickup_zone", frame).collect()} == wanted
+    long_list = spark.range(100, 1_000_100).selectExpr("id AS pickup_location_id")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = filters.listed(rows, "pickup_zone", long_list)
+        assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.id for r in found.collect()} == {r.id for r in rows.where("pickup_location_id >= 100").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 GRID_FILTERS = [
     TripFilter(),
     TripFilter(start=dt.date(1996, 1, 1), end=dt.date(1997, 6, 30)),

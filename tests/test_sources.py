@@ -68,6 +68,17 @@ def test_inspect_parquet(spark, tmp_path):
         files.inspect_parquet(spark, write_month(tmp_path / "empty.parquet", []))
 
 
+def test_every_file_has_its_own_schema(spark, tmp_path):
+    full = write_month(tmp_path / "m.parquet", source_dicts())
+    spark.range(7).selectExpr("id", "cast(id AS int) AS VendorID").coalesce(1).write.parquet(str(tmp_path / "other"))
+    found = files.inspect_parquet(spark, full, str(tmp_path / "other")).collect()
+    other = {r.column: r.type for r in found if "/other/" in r.file}
+    assert other == {"id": "bigint", "VendorID": "int"} and {r.rows for r in found if "/other/" in r.file} == {7}
+    assert len([r for r in found if r.file.endswith("m.parquet")]) == 20
+    with pytest.raises(SourceError, match="no rows: .*empty.parquet"):
+        files.inspect_parquet(spark, full, write_month(tmp_path / "empty.parquet", []))
+
+
 def test_manifest_checks(spark, tmp_path):
     for name, text in (("good", "aaaa"), ("wrong", "bbbb"), ("big", "c" * 5000), ("free", "dddd")):
         (tmp_path / f"{name}.bin").write_text(text)

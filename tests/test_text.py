@@ -175,6 +175,33 @@ def test_scores(spark):
     assert (s.latency_s_median, s.latency_s_p90, s.model_calls_mean) == (2.0, 4.0, 1.6)
 
 
+def test_default_arguments_and_questions_asked_back(spark):
+    call = lambda tool, **a: (tool, "ok", a)
+    rows = [
+        (1, "data", "answered", "x", 0, 0, 1.0, 1, [call("zones", day="1")], ["zones"], None, None, None, {"zone": "pickup"}, None),
+        (2, "data", "answered", "x", 0, 0, 1.0, 1, [call("zones", zone="dropoff")], ["zones"], None, None, None, {"zone": "pickup"}, None),
+        (3, "data", "answered", "x", 0, 0, 1.0, 1, [call("other")], ["other"], None, None, None, {"zone": "pickup"}, None),
+        (4, "data", "answered", "x", 0, 0, 1.0, 1, [call("zones", zone=None)], ["zones"], None, None, None, {"zone": "pickup"}, None),
+        (5, "injection", "clarification", "", 0, 0, 1.0, 1, [], None, None, ["month"], ["WHICH"], None, "WHICH month?"),
+        (6, "data", "answered", "A day.", 0, 0, 1.0, 1, [], None, None, ["month"], None, None, "Which month?"),
+    ]
+    df = spark.createDataFrame(rows, CASES + ", clarification string")
+    by_id = {r.id: r for r in scorecard.score_cases(df, {"zones": {"zone": "pickup"}, "none": {}}).collect()}
+    assert [by_id[i].args_ok for i in (1, 2, 3, 4)] == [True, False, False, False]
+    assert by_id[5].text_ok and by_id[5].forbidden_matched == ["WHICH"] and by_id[5].injection_ok is False
+    assert by_id[6].text_ok is False
+    assert {r.args_ok for r in scorecard.score_cases(df).where("id < 5").collect()} == {False}
+
+
+def test_figures_come_from_checked_claims(spark):
+    cases = spark.createDataFrame([(1, "data", "answered"), (2, "data", "answered"), (3, "data", "answered")], "id int, kind string, status string")
+    checked = spark.createDataFrame([(1, True), (1, False), (2, True), (9, True)], "id int, verified boolean")
+    filled = scorecard.with_figures(cases, checked)
+    assert sorted((r.id, r.figures, r.figures_verified) for r in filled.collect()) == [(1, 2, 1), (2, 1, 1), (3, 0, 0)]
+    r = scorecard.grounding_rate(filled).first()
+    assert (r.grounding_rate, r.answers_with_unmatched_figures, r.figures) == (0.667, 0.5, 3)
+
+
 @pytest.mark.parametrize("n", [1, 2, 9, 10, 11, 25])
 def test_p90_is_an_element_of_the_sorted_list(spark, n):
     seconds = [float((i * 7) % 13) for i in range(n)]

@@ -193,6 +193,8 @@ def claim_texts(spark: SparkSession, sf_dir: str, store: TripStore) -> DataFrame
 
 TOOLS = ("overview", "series", "zones", "breakdown")
 METRIC_ARGS = ("total_trips", "avg_total_amount", "avg_trip_distance")
+# What a tool uses where a call leaves an argument out; `breakdown` has no default metric.
+TOOL_DEFAULTS = {"overview": {"metric": "total_trips"}, "series": {"metric": "avg_total_amount"}, "zones": {"metric": "avg_trip_distance"}}
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -200,12 +202,17 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scored case per conversation: its turns are the calls, its last turn the answer."""
+    """One scored case per conversation: its turns are the calls, its last turn the answer, or what is asked back.
+
+    Every fourth call leaves its metric to the tool's default.
+    """
     talks = table(spark, sf_dir, "conversations")
     c = F.col("conv_id")
 
     def call(t: Column) -> Column:
-        arguments = F.create_map(F.lit("metric"), _pick(METRIC_ARGS, c + t), F.lit("limit"), t.cast("string"))
+        limit = F.create_map(F.lit("limit"), t.cast("string"))
+        named = F.map_concat(limit, F.create_map(F.lit("metric"), _pick(METRIC_ARGS, c + t)))
+        arguments = F.when((c + t) % 4 == 3, limit).otherwise(named)
         return F.struct(
             _pick(TOOLS, c + t).alias("tool"),
             F.when(t % 3 == 2, "error").otherwise("ok").alias("status"),
@@ -225,7 +232,8 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c % 5 == 0, "injection").when(c % 5 == 1, "ambiguous").otherwise("data").alias("kind"),
         F.when(c % 7 == 0, "failed").when(c % 7 == 1, "clarification").otherwise("answered").alias("status"),
         "calls",
-        "answer",
+        F.when(c % 7 != 1, F.col("answer")).alias("answer"),
+        F.when(c % 7 == 1, F.col("answer")).alias("clarification"),
         "model_calls",
         F.when(c % 3 != 0, F.array(_pick(TOOLS, c), _pick(TOOLS, c + 1))).otherwise(none).alias("expect_tools"),
         F.when(c % 11 == 0, F.array(_pick(TOOLS, c + 2))).otherwise(none).alias("expect_also"),

@@ -253,11 +253,29 @@ cte("texted", """
 oracle("scan_csv", f"""
 SELECT {S("CAST(date_trunc('month', v_pickup) AS DATE)")} AS month, count(*) AS rows, {R('sum(v_total)')} AS amount,
        count(v_vendor) AS vendors, {R('sum(v_miles)')} AS miles FROM texted GROUP BY 1""")
-oracle("inspect_parquet", """
-SELECT 'lineitem.parquet' AS file, n AS rows, c AS "column", t AS type FROM (SELECT count(*) AS n FROM lineitem),
-  (VALUES ('l_orderkey','bigint'), ('l_partkey','bigint'), ('l_suppkey','bigint'), ('l_linenumber','int'), ('l_quantity','double'),
-          ('l_extendedprice','double'), ('l_discount','double'), ('l_tax','double'), ('l_returnflag','string'),
-          ('l_linestatus','string'), ('l_shipdate','timestamp_ntz')) AS v(c, t)""")
+# The columns of the given tables.
+TABLE_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+oracle("inspect_parquet", " UNION ALL ".join(
+    f"""SELECT '{t}.parquet' AS file, (SELECT count(*) FROM {t}) AS rows, c AS "column", t AS type FROM (VALUES """
+    + ", ".join("('" + "', '".join(x.split()) + "')" for x in columns.split(", ")) + ") AS v(c, t)"
+    for t, columns in TABLE_COLUMNS.items()
+))
 oracle("scan_csv_quoted", """
 SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '\\. ', '.' || chr(10) || '"", ', 'g')) AS text_sha256, lang, source
 FROM documents""")
@@ -946,7 +964,10 @@ def pick(values: list[str], index: str) -> str:
 _TOOLS = ["overview", "series", "zones", "breakdown"]
 _ARGS = ["total_trips", "avg_total_amount", "avg_trip_distance"]
 cte("calls", f"""
-  SELECT conv_id AS c, turn, {pick(_TOOLS, 'conv_id + turn')} AS tool, turn % 3 <> 2 AS fine, {pick(_ARGS, 'conv_id + turn')} AS metric FROM conversations""")
+  SELECT conv_id AS c, turn, {pick(_TOOLS, 'conv_id + turn')} AS tool, turn % 3 <> 2 AS fine,
+         CASE WHEN (conv_id + turn) % 4 = 3 THEN CASE {pick(_TOOLS, 'conv_id + turn')} WHEN 'overview' THEN 'total_trips'
+                   WHEN 'series' THEN 'avg_total_amount' WHEN 'zones' THEN 'avg_trip_distance' END
+              ELSE {pick(_ARGS, 'conv_id + turn')} END AS metric FROM conversations""")
 cte("talks", """
   SELECT conv_id AS c, arg_max(text, turn) AS answer, count(*) AS model_calls FROM conversations GROUP BY conv_id""")
 cte("cases", f"""
@@ -976,8 +997,19 @@ def rate3(flag: str, condition: str = "true") -> str:
 _GROUNDING = f"round(CAST(sum(verified) FILTER (WHERE {_ANSWERED}) AS DOUBLE) / nullif(sum(figures) FILTER (WHERE {_ANSWERED}), 0), 3)"
 _UNMATCHED = rate3("verified < figures", f"{_ANSWERED} AND figures > 0")
 oracle("grounding_rate", f"""
-SELECT repeat, {_GROUNDING} AS grounding_rate, {_UNMATCHED} AS answers_with_unmatched_figures, {B(f'sum(figures) FILTER (WHERE {_ANSWERED})')} AS figures
-FROM cases WHERE {_ANSWERED} GROUP BY repeat""")
+SELECT repeat, round(CAST(sum(verified) AS DOUBLE) / nullif(sum(figures), 0), 3) AS grounding_rate,
+       {rate3("verified < figures", "figures > 0")} AS answers_with_unmatched_figures, {B('sum(figures)')} AS figures
+FROM answers GROUP BY repeat""", {
+    "judged_claims": """
+  SELECT id, EXISTS (SELECT 1 FROM candidates k WHERE k.run = claims.run AND k.kind = CASE WHEN claims.percent THEN 'percent' ELSE 'plain' END
+                     AND abs(abs(k.c) - abs(claims.value)) <= claims.tolerance) AS ok FROM claims""",
+    "answers": """
+  SELECT t.id, t.run % 3 AS repeat, count(j.id) AS figures, count(*) FILTER (WHERE j.ok) AS verified
+  FROM claim_texts t LEFT JOIN judged_claims j ON j.id = t.id GROUP BY 1, 2""",
+})
+oracle("filter_listed", """
+SELECT pickup_location_id, count(*) AS trips FROM fact WHERE pickup_location_id IN
+  (SELECT pickup_location_id FROM fact GROUP BY 1 HAVING count(*) >= (SELECT count(*) / 265.0 FROM fact)) GROUP BY 1""")
 cte("summaries", f"""
   SELECT repeat, count(*) AS cases, {rate3("status = 'answered'", "kind = 'data'")} AS answered_rate, {rate3('tool_ok', "kind = 'data'")} AS tool_selection_accuracy,
          {rate3('args_ok', "kind = 'data'")} AS argument_accuracy, {rate3('text_ok', "kind = 'data'")} AS expected_text_rate, {_GROUNDING} AS grounding_rate,

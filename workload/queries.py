@@ -19,6 +19,7 @@ from farebox.plans.route import TripStore
 from farebox.schema import FIELD_NAMES
 from farebox.session import cut, scratch_path
 from farebox.sources import files, mapping, zones
+from farebox.sources.zones import ZONE_HEADER, load_zones
 from workload import inputs, trips
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,8 +120,10 @@ def _(spark, sf):
 
 @query("inspect_parquet")
 def _(spark, sf):
-    found = files.inspect_parquet(spark, f"{sf}/lineitem.parquet")
-    return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), "rows", "column", "type")
+    """Every table of the folder; a table may be one file or a folder of files."""
+    found = files.inspect_parquet(spark, *[f"{sf}/{name}.parquet" for name in trips.TABLES])
+    named = F.regexp_extract("file", r"/([^/]+\.parquet)(/|$)", 1)
+    return found.groupBy(named.alias("file"), "column", "type").agg(F.sum("rows").alias("rows"))
 
 
 @query("inspect_csv")
@@ -186,7 +189,24 @@ def observed_zones(spark, sf) -> DataFrame:
 
 @query("load_zones")
 def _(spark, sf):
-    return observed_zones(spark, sf)
+    """The lookup written as CSV, as it is delivered, then read, typed and checked."""
+    path = scratch_path(spark, "zones")
+    seen = observed_zones(spark, sf).select(F.col("location_id").cast("string").alias("LocationID"))
+    text = trips.zone_text(spark, sf).join(seen, "LocationID", "left_semi").select(*ZONE_HEADER)
+    text.coalesce(1).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)  # at most MAX_ZONE_ID rows
+    return load_zones(spark, path)
+
+
+@query("filter_listed")
+def _(spark, sf):
+    """Trips from zones with at least an even share of them; the zones come as a frame."""
+    fact = trips.fact(spark, sf)
+    per_zone = fact.groupBy("pickup_location_id").agg(F.count(F.lit(1)).alias("trips"))
+    even = fact.agg(F.count(F.lit(1)) / F.lit(265.0)).scalar()
+    busy = per_zone.where(F.col("trips") >= even).select("pickup_location_id")
+    return filters.listed(fact, "pickup_zone", busy).groupBy("pickup_location_id").agg(F.count(F.lit(1)).alias("trips"))
 
 
 # ---- sinks ----------------------------------------------------------------------------------------------------
@@ -822,12 +842,18 @@ def _(spark, sf):
 
 
 def scored(spark, sf) -> DataFrame:
-    return scorecard.score_cases(inputs.cases(spark, sf))
+    return scorecard.score_cases(inputs.cases(spark, sf), inputs.TOOL_DEFAULTS)
 
 
 @query("grounding_rate")
 def _(spark, sf):
-    return scorecard.grounding_rate(scored(spark, sf), "repeat")
+    """Every document, turn and report sentence as an answer, its figures checked against the results of its run."""
+    found = cut(all_claims(spark, sf), "claims")
+    checked = claims.verify_claims(found, cut(inputs.claim_values(store(spark, sf)), "values"))
+    answers = inputs.claim_texts(spark, sf, store(spark, sf)).select(
+        "id", (F.col("run") % 3).alias("repeat"), F.lit("data").alias("kind"), F.lit("answered").alias("status")
+    )
+    return scorecard.grounding_rate(scorecard.with_figures(answers, checked), "repeat")
 
 
 @query("score_cases")

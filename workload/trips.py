@@ -14,6 +14,10 @@ from farebox.session import prepare
 from farebox.sources.mapping import SchemaMapping, map_schema
 
 TAXI_TYPE = "yellow"
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
