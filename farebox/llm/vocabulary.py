@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Callable
 from dataclasses import dataclass
 
 SPACE = "▁"  # what SentencePiece writes for a space
@@ -19,10 +20,15 @@ class Vocabulary:
     byte_ids: tuple[int, ...]  # ids of the 256 byte pieces, used for characters that are no piece
     strings: tuple[str | None, ...]  # by id; None for byte and control pieces
     unk_id: int
+    splits: bool = True  # no piece holds a space mark behind another character, so texts can be split at spaces
+    normaliser: bytes | None = None  # the model, where it normalises texts beyond a leading space mark
 
 
-def load(path: str) -> Vocabulary:
-    """Read a model file on the driver. Models whose pieces hold a space after another character are refused."""
+def load(path: str, plain: bool = True) -> Vocabulary:
+    """Read a model file on the driver.
+
+    With `plain`, models whose pieces hold a space after another character are refused, and those that normalise texts.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -41,13 +47,25 @@ def load(path: str) -> Vocabulary:
             ids[piece] = i
             scores[piece] = model.get_score(i)
             strings.append(piece)
-    if any(SPACE in p.lstrip(SPACE) for p in ids):
+    splits = not any(SPACE in p.lstrip(SPACE) for p in ids)
+    if plain and not splits:
         raise ValueError(f"{path}: a piece holds a space after another character; texts can't be split at spaces")
     if min(byte_ids) < 0 and max(byte_ids) >= 0:
         raise ValueError(f"{path}: some byte pieces are missing")
-    if model.normalize("a  b é ﬁ\n") != f"{SPACE}a{SPACE}{SPACE}b{SPACE}é{SPACE}ﬁ\n":
+    same = model.normalize("a  b é ﬁ\n ") == f"{SPACE}a{SPACE}{SPACE}b{SPACE}é{SPACE}ﬁ\n{SPACE}"
+    if plain and not same:
         raise ValueError(f"{path}: the model normalises texts beyond a leading space mark, which is not supported")
-    return Vocabulary(ids, scores, tuple(byte_ids), tuple(strings), model.unk_id())
+    proto = None if same else model.serialized_model_proto()
+    return Vocabulary(ids, scores, tuple(byte_ids), tuple(strings), model.unk_id(), splits, proto)
+
+
+def normalised(vocabulary: Vocabulary) -> Callable[[str], str]:
+    """What turns a text into what the pieces are matched with. To be called inside a task."""
+    if vocabulary.normaliser is None:
+        return escaped
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=vocabulary.normaliser).normalize
 
 
 def unit_pattern(vocabulary: Vocabulary) -> re.Pattern:

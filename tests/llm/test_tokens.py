@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
 
 import pytest
 import sentencepiece
@@ -67,6 +68,55 @@ def test_unigram_counts_as_the_library(counter, library):
         assert counter.count(text)[1] == n, text
 
 
+def model_file(path, pieces, byte_pieces=False, strip=False):
+    """A unigram model written by hand: protobuf fields of pieces, trainer and normaliser."""
+
+    def block(number, body):
+        size, n = b"", len(body)
+        while n > 127:
+            size, n = size + bytes([n & 127 | 128]), n >> 7
+        return bytes([number << 3 | 2]) + size + bytes([n]) + body
+
+    def piece(text, score, kind):
+        return block(1, block(1, text.encode()) + b"\x15" + struct.pack("<f", score) + bytes([0x18, kind]))
+
+    made = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3)
+    if byte_pieces:
+        made += b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256))
+    made += b"".join(piece(p, s, 1) for p, s in pieces.items())
+    trainer = bytes([0x18, 1]) + (bytes([35 << 3 & 127 | 128, 2, 1]) if byte_pieces else b"")
+    normaliser = block(1, b"identity") + bytes([0x18, 1, 0x20, strip, 0x28, 1])
+    path.write_bytes(made + block(2, trainer) + block(3, normaliser))
+    return str(path)
+
+
+@pytest.mark.parametrize("planted", [True, False])  # scores with many equal sums, and any scores
+@pytest.mark.parametrize("byte_pieces", [True, False])
+def test_fractional_scores_as_the_library(tmp_path, planted, byte_pieces):
+    rng = random.Random(11 + 2 * planted + byte_pieces)
+    for k in range(12):
+        letters = "ab▁é中"[: rng.randint(2, 5)]
+        own = {"".join(rng.choices(letters, k=rng.randint(1, 5))) for _ in range(rng.randint(3, 60))}
+        scores = {p: -rng.randint(1, 40) / 8 if planted else struct.unpack("f", struct.pack("f", -rng.random() * 9))[0] for p in sorted(own)}
+        path = model_file(tmp_path / f"{k}.model", scores, byte_pieces, strip=k % 3 == 0)
+        library, counter = sentencepiece.SentencePieceProcessor(model_file=path), unigram.UnigramCounter(load(path, plain=False))
+        for n in [0, 1, 2, 5] + [rng.randint(3, 300) for _ in range(60)]:
+            text = "".join(rng.choices("aab é中z\n", k=n))
+            assert counter.count(text)[1] == len(library.encode(text)), (k, text)
+        text = "".join(rng.choices("ab ", k=20_000))  # sums far beyond what single precision keeps apart
+        assert counter.count(text)[1] == len(library.encode(text)), k
+
+
+def test_fractional_scores_in_spark(spark, tmp_path, odd_documents):
+    path = model_file(tmp_path / "f.model", {"▁a": -1.25, "a▁b": -1.5, "a": -2.125, "b": -2.0, "▁": -3.5, "e": -2.75}, True, True)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = unigram.token_counts(odd_documents, path).select("doc_id", "n_tokens").collect()
+    expected = [(r.doc_id, len(library.encode(r.text or ""))) for r in odd_documents.select("doc_id", "text").collect()]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    with pytest.raises(ValueError):
+        pieces.encode(odd_documents, path)
+
+
 def test_digests_round_trip_and_odd_rows(spark, library, odd_documents, no_documents, model_path):
     rows = pieces.encode_digest(odd_documents, model_path).collect()
     expected = []
