@@ -18,9 +18,10 @@ from farebox.operators import filters
 from farebox.operators.filters import TripFilter
 from farebox.operators.metrics import METRICS, DailyMeasures, Measures
 from farebox.operators.rollups import BUCKETS, MEASURES, bucket_start
-from farebox.plans.route import DIMENSIONS, TripStore, bucket
+from farebox.plans.route import DIMENSIONS, TripStore, bucket, route, route_level
 
 ALL = TripFilter()
+SHORT_RANGE = 31  # days; a page of so few is read without asking which of them hold it
 RANKED = ("pickup_zone", "dropoff_zone", "payment_type", "vendor_id")
 
 
@@ -336,6 +337,46 @@ def is_behind(row: dict, sort: str, descending: bool) -> Column:
     return behind
 
 
+def page_days(
+    store: TripStore, f: TripFilter, descending: bool, skip: int, size: int, behind: date | None = None
+) -> tuple[TripFilter, int] | None:
+    """The filter narrowed to the days a page by pickup time lies on, and the rows to skip there; None without an index.
+
+    The published level of trips by day is the index: one small row per day comes to the driver. `behind` is the day of
+    a row already seen, from which rows are skipped; how many trips of that day lie behind it isn't known.
+    """
+    asked = (["time:day"], ["total_trips"])
+    short = f.days() is not None and f.days() <= SHORT_RANGE
+    if short or not route_level(route(f, *asked), f, *asked, store.level_sizes):
+        return None
+    rows, _ = store.pick(f, *asked)
+    if behind is not None:
+        day = F.col("pickup_date")
+        rows = rows.filter(day <= F.lit(behind) if descending else day >= F.lit(behind))
+    counts = rows.groupBy("pickup_date").agg(F.sum("trips").alias("trips")).collect()
+    days = sorted(((r.pickup_date, r.trips) for r in counts), reverse=descending)
+    if not days:
+        return None
+    before, reached, start = 0, 0, None
+    for day, n in days:
+        if start is None and behind is None and before + n <= skip and day != days[-1][0]:
+            before += n
+            continue
+        start, end = start or day, day
+        reached += 0 if day == behind else n
+        if reached >= skip - before + size:
+            break
+    return f.between(min(start, end), max(start, end)), skip - before
+
+
+def not_before(row: dict, sort: str, descending: bool) -> Column:
+    """A bound on the column asked for alone, which a scan can hold against the least and greatest of a file."""
+    column, value = F.col(sort), F.lit(row[sort])
+    if row[sort] is None:
+        return column.isNull()
+    return (column <= value if descending else column >= value) | column.isNull()
+
+
 def explore(
     store: TripStore, f: TripFilter = ALL, sort: str = "pickup_datetime", descending: bool = True,
     quality: str = "all", flag: str | None = None, page: int = 1, page_size: int = 50,
@@ -343,16 +384,20 @@ def explore(
 ) -> DataFrame:
     """A page of rows, by number or behind a row already seen.
 
-    `after` is the last row of the page before, as a dict: the page then starts right behind it however deep it lies,
-    at the cost of a first page. Numbered pages sort all rows up to their own.
+    `after` is the last row of the page before, as a dict: the page then starts right behind it however deep it lies.
+    By pickup time, a store with levels reads only the days that the page lies on, for either kind of page; with a flag,
+    a scope or a filter that the levels can't answer, and by other columns, numbered pages sort all rows up to their own.
     """
     if page_size < 1 or page < 1:
         raise ValueError("pages and page sizes are 1 or more")
+    skip = (page - 1) * page_size
+    if sort == "pickup_datetime" and quality == "all" and flag is None:
+        behind = after["pickup_datetime"].date() if after is not None else None
+        f, skip = page_days(store, f, descending, skip, page_size, behind) or (f, skip)
     rows = scoped_rows(store, f, quality, flag).select(*ROW_COLUMNS)
     if after is not None:
-        rows = rows.filter(is_behind(after, sort, descending))
-    rows = rows.orderBy(*row_order(sort, descending))
-    return rows.offset((page - 1) * page_size).limit(page_size)
+        rows = rows.filter(not_before(after, sort, descending)).filter(is_behind(after, sort, descending))
+    return rows.orderBy(*row_order(sort, descending)).offset(skip).limit(page_size)
 
 
 def explore_count(

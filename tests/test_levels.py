@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,30 @@ def test_day_sets_unite(spark):
     united = sets.groupBy("g").agg(F.bitmap_count(F.bitmap_or_agg("days")).alias("n")).collect()
     exact = days.groupBy("g").agg(F.count_distinct("pickup_date").alias("n")).collect()
     assert sorted(united) == sorted(exact)
+
+
+def scanned_files(df) -> int:
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = (plan.executedPlan() if "Adaptive" in plan.nodeName() else plan).collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size()))
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_by_time_read_the_days_they_lie_on(spark, root, descending):
+    store = publish.open_store(spark, root)
+    plain = replace(store, levels={}, level_sizes={})
+    options = {"descending": descending, "page_size": 3}
+    total, last = questions.explore_count(store).first().total, None
+    for page in range(1, total // 3 + 3):
+        rows = questions.explore(plain, page=page, **options).collect()
+        assert questions.explore(store, page=page, **options).collect() == rows
+        if last is not None:
+            assert questions.explore(store, after=last, **options).collect() == rows
+            assert questions.explore(store, after=last, page=2, **options).collect() == questions.explore(plain, page=page + 1, **options).collect()
+        last = rows[-1].asDict() if rows else last
+    some = TripFilter(pickup_zone=(132, 100, 48, 161), start=dt.date(2023, 1, 1), end=dt.date(2025, 12, 31))
+    assert questions.explore(store, some, page=2, **options).collect() == questions.explore(plain, some, page=2, **options).collect()
+    none = TripFilter(pickup_zone=(9,))
+    assert not questions.explore(store, none, page=2, **options).collect()
+    assert scanned_files(questions.explore(store, page=1, **options)) < scanned_files(questions.explore(plain, page=1, **options))

@@ -610,6 +610,10 @@ oracle("explore_rows", f"""
 SELECT {', '.join((TS('f.' + c) if c.endswith('datetime') else R('f.' + c) if c in _DOUBLES | {'minutes', 'speed'} else B('f.' + c)) + f' AS {_NAMED.get(c, c)}' for c in _ROWS)}, flags AS quality_flags
 FROM fact f WHERE f.pickup_day_of_week <= 3 AND flags <> ''
 ORDER BY f.speed NULLS LAST, f.pickup_datetime, f.dropoff_datetime, {', '.join('f.' + c + ' NULLS LAST' for c in _ROWS[2:-1])} LIMIT 100 OFFSET 200""")
+oracle("explore_deep_page", f"""
+SELECT {', '.join((TS('f.' + c) if c.endswith('datetime') else R('f.' + c) if c in _DOUBLES | {'minutes', 'speed'} else B('f.' + c)) + f' AS {_NAMED.get(c, c)}' for c in _ROWS)}, flags AS quality_flags
+FROM fact f WHERE f.pickup_hour BETWEEN 6 AND 21
+ORDER BY f.pickup_datetime DESC, f.dropoff_datetime, {', '.join('f.' + c + ' NULLS LAST' for c in _ROWS[2:])} LIMIT 50 OFFSET 3000""")
 oracle("explore_count", f"SELECT count(*) AS total FROM fact WHERE {LONG} AND f5")
 cte("day_flags", "SELECT pickup_date, flag, count(*) AS n FROM flag_rows GROUP BY pickup_date, flag")
 oracle("daily_quality", f"SELECT {S('q.pickup_date')} AS pickup_date, flag, n AS flagged_trips, trips FROM day_flags q JOIN days USING (pickup_date)")

@@ -664,6 +664,13 @@ def _(spark, sf):
     return page.drop("source_file", "run_id")
 
 
+@query("explore_deep_page")
+def _(spark, sf):
+    """A page far down by pickup time, from the days that a level says it lies on."""
+    page = questions.explore(store_with_levels(spark, sf), TripFilter(hour=tuple(range(6, 22))), page=61, page_size=50)
+    return page.drop("source_file", "run_id")
+
+
 query("explore_count")(
     lambda spark, sf: questions.explore_count(store(spark, sf), LONG_TRIPS, flag="passenger_count_missing_or_zero")
 )
