@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -125,20 +125,31 @@ LEVELS: dict[str, Level] = {
 }
 
 
+# Trips between two zones, which no rollup has: made from trips, for a selection that is asked more than once.
+PAIRS = Level("fact", ("taxi_type", "pickup_location_id", "dropoff_location_id"))
+ANSWERING = {**LEVELS, "pairs": PAIRS}
+
+
 def day_set() -> Column:
     """The days of a group as a bitmap: sets of groups unite, and their size is the number of distinct days."""
     return F.bitmap_construct_agg(F.expr(f"bitmap_bit_position(datediff(pickup_date, DATE'{DAY_ONE}') + 1)"))
 
 
-def level_rows(bases: dict[str, DataFrame]) -> DataFrame:
-    """All levels as one frame with `level`, each base read once for its dated and once for its undated ones.
+def pair_rows(trips: DataFrame) -> DataFrame:
+    """The level of zone pairs as rows like those of `level_rows`."""
+    rows = trips.groupBy(*PAIRS.keys, "data_period").agg(*measures(), day_set().alias("days"), F.min("run_id").alias("run_id"))
+    return rows.select(F.lit("pairs").alias("level"), "*")
+
+
+def level_rows(bases: dict[str, DataFrame], chosen: Collection[str] = LEVELS) -> DataFrame:
+    """The chosen levels as one frame with `level`, each base read once for its dated and once for its undated ones.
 
     Columns that a level is not grouped by are null. Sums of sums and counts are exact, so a level answers as its base.
     """
     out: DataFrame | None = None
-    for base in dict.fromkeys(level.base for level in LEVELS.values()):
+    for base in dict.fromkeys(LEVELS[n].base for n in LEVELS if n in chosen):
         for dated in (True, False):
-            names = [n for n, level in LEVELS.items() if level.base == base and level.dated == dated]
+            names = [n for n, level in LEVELS.items() if n in chosen and level.base == base and level.dated == dated]
             if not names:
                 continue
             columns = list(dict.fromkeys(k for n in names for k in LEVELS[n].keys))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, replace
 from datetime import date
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farebox.functions import dates, labels
-from farebox.functions.numbers import display, integer, percent, share, short_number, signed_change
+from farebox.functions.numbers import display, integer, percent, plain, share, short_number, signed_change, trimmed
 from farebox.operators import insight, questions, quality, registry
 from farebox.operators.filters import TripFilter
 from farebox.operators.insight import first_max, first_min, position
@@ -490,258 +491,358 @@ def schema_changes(r: ReportInput) -> DataFrame:
 # ---- findings and the tidy report -----------------------------------------------------------------------------
 
 
-def _finding(section: str, row: DataFrame, statement: Column, *fields: str) -> DataFrame:
-    """One row of values as (section, statement, position, field, value) rows."""
-    cells = [
-        F.struct(F.lit(i + 1).alias("position"), F.lit(name).alias("field"), F.col(name).cast("string").alias("value"))
-        for i, name in enumerate(fields)
-    ]
-    return row.select(F.lit(section).alias("section"), statement.alias("statement"), F.inline(F.array(*cells)))
-
-
-def findings(r: ReportInput) -> dict[str, DataFrame]:
-    """Section id to its rule-filled sentence and the values the sentence rests on."""
-    c = F.col
-    found: dict[str, DataFrame] = {}
-
-    edges = trend(r).filter(c("kind") != "point").groupBy().pivot("kind", ["busiest", "quietest"])
-    edges = edges.agg(F.first("bucket").cast("date").alias("date"), F.first("trips").alias("trips"))
-    found["trend"] = _finding(
-        "trend", edges,
-        F.concat(
-            F.lit("Most trips on "), dates.date_words(c("busiest_date")), F.lit(" ("), integer(c("busiest_trips")),
-            F.lit("), fewest on "), dates.date_words(c("quietest_date")), F.lit(" ("),
-            integer(c("quietest_trips")), F.lit(")."),
-        ),
-        "busiest_date", "busiest_trips", "quietest_date", "quietest_trips",
-    )
-    week = insight.weekend_split(r.store, r.f)
-    found["weekday"] = _finding(
-        "weekday", week,
-        F.concat(
-            F.lit("Weekend days averaged "), integer(c("weekend_per_day")), F.lit(" trips against "),
-            integer(c("weekday_per_day")), F.lit(" on weekdays ("), signed_change(c("change")), F.lit(")."),
-        ),
-        "weekend_per_day", "weekday_per_day", "change",
-    )
-    for side in ("pickup", "dropoff"):
-        first = zone_table(r, side).agg(
-            F.min_by("label", "rank").alias("zone"), F.min_by("trips", "rank").alias("trips"),
-            F.min_by("share", "rank").alias("share"), F.max("combined_share").alias("combined_share"),
-        )
-        found[f"top_{side}_zones"] = _finding(
-            f"top_{side}_zones", first,
-            F.concat(
-                c("zone"), F.lit(" led with "), integer(c("trips")), F.lit(" trips ("), percent(c("share")),
-                F.lit("); the listed zones hold "), percent(c("combined_share")), F.lit("."),
-            ),
-            "zone", "trips", "share", "combined_share",
-        )
-    mix = payment(r).orderBy(F.desc("trips"), F.asc_nulls_last("key")).limit(1)
-    found["payment_mix"] = _finding(
-        "payment_mix", mix,
-        F.concat(
-            c("label"), F.lit(" paid "), percent(c("share")), F.lit(" of trips, "),
-            display(c("avg_total_amount"), "usd"), F.lit(" on average."),
-        ),
-        "label", "trips", "share", "avg_total_amount",
-    )
-    found["payment_types"] = _finding(
-        "payment_types", payment_top(r),
-        F.concat(c("label"), F.lit(" had the highest average amount, "), display(c("avg_total_amount"), "usd"), F.lit(".")),
-        "label", "avg_total_amount", "trips",
-    )
-    peak = hour(r).agg(
-        F.max(F.when(c("peak"), c("hour"))).alias("peak_hour"), F.max(F.when(c("peak"), c("trips"))).alias("peak_trips"),
-        F.max(F.when(c("peak"), c("share"))).alias("peak_share"),
-        F.max(F.when(c("quietest"), c("hour"))).alias("quiet_hour"),
-        F.max(F.when(c("quietest"), c("trips"))).alias("quiet_trips"),
-    )
-    found["hour"] = _finding(
-        "hour", peak,
-        F.concat(
-            F.lit("The busiest hour was "), labels.hour_label(c("peak_hour")), F.lit(" ("), percent(c("peak_share")),
-            F.lit(" of trips), the quietest "), labels.hour_label(c("quiet_hour")), F.lit("."),
-        ),
-        "peak_hour", "peak_trips", "peak_share", "quiet_hour", "quiet_trips",
-    )
-    slots = peak_slots(r).agg(
-        F.min_by("weekday", "rank").alias("weekday"), F.min_by("hour", "rank").alias("hour"),
-        F.min_by("trips", "rank").alias("trips"), F.sum("trips").alias("top_trips"),
-        F.max("combined_share").alias("combined_share"),
-    )
-    found["peak_slots"] = _finding(
-        "peak_slots", slots,
-        F.concat(
-            F.lit("The busiest slot was "), c("weekday"), F.lit(" at "), c("hour"), F.lit("; the top slots hold "),
-            percent(c("combined_share")), F.lit(" of trips."),
-        ),
-        "weekday", "hour", "trips", "top_trips", "combined_share",
-    )
-    for metric, section in (("trip_distance", "distance_distribution"), ("total_amount", "amount_distribution")):
-        summary = questions.distribution_summary(r.store, metric, r.f)
-        found[section] = _finding(
-            section, summary,
-            F.concat(
-                F.lit("The median lies in the bucket from "), short_number(c("median_start")),
-                F.lit(" and the 90th percentile in the one from "), short_number(c("p90_start")), F.lit("; "),
-                integer(c("above_cap_trips")), F.lit(" trips are in the open bucket."),
-            ),
-            "median_start", "p90_start", "above_cap_trips", "counted_trips", "excluded_trips",
-        )
-    hours = amount_by_hour(r).agg(
-        *[F.max(F.when(c(side), c(v))).alias(f"{side}_{v}") for side in ("highest", "lowest") for v in ("hour", "value")]
-    )
-    found["amount_by_hour"] = _finding(
-        "amount_by_hour", hours,
-        F.concat(
-            F.lit("Average amounts peaked at "), labels.hour_label(c("highest_hour")), F.lit(" ("),
-            display(c("highest_value"), "usd"), F.lit(") and were lowest at "), labels.hour_label(c("lowest_hour")),
-            F.lit(" ("), display(c("lowest_value"), "usd"), F.lit(")."),
-        ),
-        "highest_hour", "highest_value", "lowest_hour", "lowest_value",
-    )
-    left_out = exclusions(r).agg(
-        F.max(F.when(c("metric") == "avg_total_amount", c("excluded_rows"))).alias("amount_excluded"),
-        F.max(F.when(c("metric") == "avg_trip_distance", c("excluded_rows"))).alias("distance_excluded"),
-    )
-    found["exclusions"] = _finding(
-        "exclusions", left_out,
-        F.concat(
-            F.lit("Amounts leave out "), integer(c("amount_excluded")), F.lit(" trips, distances "),
-            integer(c("distance_excluded")), F.lit("."),
-        ),
-        "amount_excluded", "distance_excluded",
-    )
-    place = boroughs(r).orderBy(F.desc("trips"), "borough").limit(1)
-    found["boroughs"] = _finding(
-        "boroughs", place, F.concat(c("borough"), F.lit(" saw "), percent(c("share")), F.lit(" of pickups.")),
-        "borough", "trips", "share",
-    )
-    pair = flow_table(r).filter(c("rank") == 1)
-    found["top_flows"] = _finding(
-        "top_flows", pair,
-        F.concat(
-            F.lit("The busiest pair was "), c("pickup"), F.lit(" to "), c("dropoff"), F.lit(", "), integer(c("trips")),
-            F.lit(" trips."),
-        ),
-        "pickup_zone", "dropoff_zone", "trips", "share",
-    )
-    sums = totals_wide(r)
-    rate = percent(share(c("quarantined_rows"), c("input_rows")))
-    found["quality_snapshot"] = _finding(
-        "quality_snapshot", sums,
-        F.concat(
-            integer(c("quarantined_rows")), F.lit(" of "), integer(c("input_rows")), F.lit(" rows read ("), rate,
-            F.lit(") were quarantined."),
+@dataclass(frozen=True)
+class Section:
+    """How a section's table is made, and the sentence and the values that are found in it.
+
+    `levels` are the parts of the shared table that the section asks (see `TripStore.narrowed`); a section without any
+    reads run records, schemas or daily quality. `found` takes the report and the section's table to one row, or none.
+    """
+
+    table: Callable[[ReportInput], DataFrame]
+    levels: tuple[str, ...] = ()
+    found: Callable[[ReportInput, DataFrame], DataFrame] | None = None
+    words: Callable[[], list[Column | str]] = list
+    values: tuple[str, ...] = ()
+    source: str = ""
+    caveat: str | None = None
+
+
+c = F.col
+
+
+def first_of(table: DataFrame, *order: Column) -> DataFrame:
+    return table.orderBy(*order).limit(1)
+
+
+def leading(table: DataFrame, *columns: str, **others: Column) -> DataFrame:
+    """The first row's columns beside aggregates of all rows."""
+    return table.agg(*[F.min_by(name, "rank").alias(name) for name in columns], *[v.alias(k) for k, v in others.items()])
+
+
+def where_marked(table: DataFrame, **cells: tuple[str, str]) -> DataFrame:
+    """name -> (mark, column): the column's value in the row that carries the mark."""
+    return table.agg(*[F.max(F.when(c(mark), c(column))).alias(name) for name, (mark, column) in cells.items()])
+
+
+def trend_edges(r: ReportInput, table: DataFrame) -> DataFrame:
+    cells = [(kind, name, column) for kind in ("busiest", "quietest") for name, column in (("date", "bucket"), ("trips", "trips"))]
+    return table.agg(
+        *[
+            F.max(F.when(c("kind") == kind, c(column).cast("date") if name == "date" else c(column))).alias(f"{kind}_{name}")
+            for kind, name, column in cells
+        ]
+    ).filter(c("busiest_date").isNotNull())
+
+
+def zone_section(side: str, level: str) -> Section:
+    return Section(
+        lambda r: zone_table(r, side),
+        (level,),
+        lambda r, t: leading(t, "label", "trips", "share", combined_share=F.max("combined_share")).select(
+            c("label").alias("zone"), "trips", "share", "combined_share"
         ),
-        "input_rows", "quarantined_rows",
-    )
-    for section, table, key, n in (("quarantine", quarantine(r), "reason", "rows"), ("flags", flags(r), "flag", "trips")):
-        found[section] = _finding(
-            section, table.filter(c("rank") == 1),
-            F.concat(
-                c("label"), F.lit(" was commonest: "), integer(c(n)), F.lit(" rows ("), percent(c("share")), F.lit(")."),
-            ),
-            key, n, "share",
-        )
-    top_flag = daily_flags(r).filter(c("rank") == 1).agg(
-        F.first("flag").alias("flag"), F.min("share").alias("min_share"), F.max("share").alias("max_share")
-    )
-    found["daily_flags"] = _finding(
-        "daily_flags", top_flag,
-        F.concat(
-            F.lit("The daily share of the commonest flag ran from "), percent(c("min_share")), F.lit(" to "),
-            percent(c("max_share")), F.lit("."),
+        lambda: [
+            c("zone"), " led with ", integer(c("trips")), " trips (", percent(c("share")), "); the listed zones hold ",
+            percent(c("combined_share")), ".",
+        ],
+        ("zone", "trips", "share", "combined_share"),
+        "zones_share",
+        "Shares are of all trips of the selection, with or without a known zone.",
+    )
+
+
+def distribution_section(metric: str) -> Section:
+    return Section(
+        lambda r: distribution(r, metric),
+        ("buckets", "codes"),
+        lambda r, t: questions.distribution_summary(r.store, metric, r.f),
+        lambda: [
+            "The median lies in the bucket from ", short_number(c("median_start")), " and the 90th percentile in the one from ",
+            short_number(c("p90_start")), "; ", integer(c("above_cap_trips")), " trips are in the open bucket.",
+        ],
+        ("median_start", "p90_start", "above_cap_trips", "counted_trips", "excluded_trips"),
+        "distribution_summary",
+        "Buckets say between which bounds a quantile lies, not its value; implausible values are left out.",
+    )
+
+
+def ranked_section(table: Callable[[ReportInput], DataFrame], key: str, count: str, caveat: str) -> Section:
+    return Section(
+        table,
+        (),
+        lambda r, t: t.filter(c("rank") == 1),
+        lambda: [c("label"), " was commonest: ", integer(c(count)), " rows (", percent(c("share")), ")."],
+        (key, count, "share"),
+        "quality_totals",
+        caveat,
+    )
+
+
+SECTIONS: dict[str, Section] = {
+    "trend": Section(
+        trend, ("daily",), trend_edges,
+        lambda: [
+            "Most trips on ", dates.date_words(c("busiest_date")), " (", integer(c("busiest_trips")), "), fewest on ",
+            dates.date_words(c("quietest_date")), " (", integer(c("quietest_trips")), ").",
+        ],
+        ("busiest_date", "busiest_trips", "quietest_date", "quietest_trips"), "daily",
+        "Only days that have trips are compared.",
+    ),
+    "weekday": Section(
+        weekday, ("daily",), lambda r, t: insight.weekend_split(r.store, r.f),
+        lambda: [
+            "Weekend days averaged ", integer(c("weekend_per_day")), " trips against ", integer(c("weekday_per_day")),
+            " on weekdays (", signed_change(c("change")), ").",
+        ],
+        ("weekend_per_day", "weekday_per_day", "change"), "weekend_split",
+        "Averages count the days that have trips.",
+    ),
+    "hour": Section(
+        hour, ("clock",),
+        lambda r, t: where_marked(
+            t, peak_hour=("peak", "hour"), peak_trips=("peak", "trips"), peak_share=("peak", "share"),
+            quiet_hour=("quietest", "hour"), quiet_trips=("quietest", "trips"),
+        ).filter(c("peak_hour").isNotNull()),
+        lambda: [
+            "The busiest hour was ", labels.hour_label(c("peak_hour")), " (", percent(c("peak_share")),
+            " of trips), the quietest ", labels.hour_label(c("quiet_hour")), ".",
+        ],
+        ("peak_hour", "peak_trips", "peak_share", "quiet_hour", "quiet_trips"), "by_hour",
+    ),
+    "heatmap": Section(heatmap, ("clock",)),
+    "peak_slots": Section(
+        peak_slots, ("clock",),
+        lambda r, t: leading(
+            t, "weekday", "hour", "trips", top_trips=F.sum("trips"), combined_share=F.max("combined_share")
+        ).filter(c("hour").isNotNull()),
+        lambda: [
+            "The busiest slot was ", c("weekday"), " at ", c("hour"), "; the top slots hold ", percent(c("combined_share")),
+            " of trips.",
+        ],
+        ("weekday", "hour", "trips", "top_trips", "combined_share"), "hour_weekday",
+    ),
+    "top_pickup_zones": zone_section("pickup", "zones"),
+    "top_dropoff_zones": zone_section("dropoff", "dropoff_zones"),
+    "payment_mix": Section(
+        payment, ("codes",), lambda r, t: first_of(t, F.desc("trips"), F.asc_nulls_last("key")),
+        lambda: [
+            c("label"), " paid ", percent(c("share")), " of trips, ", display(c("avg_total_amount"), "usd"), " on average.",
+        ],
+        ("label", "trips", "share", "avg_total_amount"), "by_payment",
+        "Averages leave out implausible amounts.",
+    ),
+    "payment_types": Section(
+        payment, ("codes",), lambda r, t: payment_top(r),
+        lambda: [c("label"), " had the highest average amount, ", display(c("avg_total_amount"), "usd"), "."],
+        ("label", "avg_total_amount", "trips"), "by_payment",
+        "Payment types with too few trips are not compared.",
+    ),
+    "distance_distribution": distribution_section("trip_distance"),
+    "amount_distribution": distribution_section("total_amount"),
+    "amount_by_hour": Section(
+        amount_by_hour, ("clock",),
+        lambda r, t: where_marked(
+            t, highest_hour=("highest", "hour"), highest_value=("highest", "value"), lowest_hour=("lowest", "hour"),
+            lowest_value=("lowest", "value"),
+        ).filter(c("highest_hour").isNotNull()),
+        lambda: [
+            "Average amounts peaked at ", labels.hour_label(c("highest_hour")), " (", display(c("highest_value"), "usd"),
+            ") and were lowest at ", labels.hour_label(c("lowest_hour")), " (", display(c("lowest_value"), "usd"), ").",
+        ],
+        ("highest_hour", "highest_value", "lowest_hour", "lowest_value"), "by_hour",
+        "Hours with too few trips are not compared.",
+    ),
+    "exclusions": Section(
+        exclusions, ("daily",),
+        lambda r, t: t.agg(
+            *[
+                F.max(F.when(c("metric") == metric, c("excluded_rows"))).alias(name)
+                for metric, name in (("avg_total_amount", "amount_excluded"), ("avg_trip_distance", "distance_excluded"))
+            ]
         ),
-        "flag", "min_share", "max_share",
-    )
-    times = processing(r).agg(
-        F.count(F.lit(1)).alias("months"), F.min("duration_seconds").alias("min_seconds"),
-        F.max("duration_seconds").alias("max_seconds"),
-    )
-    found["processing"] = _finding(
-        "processing", times,
-        F.concat(
-            integer(c("months")), F.lit(" months were published, in "), display(c("min_seconds"), "seconds"),
-            F.lit(" to "), display(c("max_seconds"), "seconds"), F.lit(" each."),
+        lambda: ["Amounts leave out ", integer(c("amount_excluded")), " trips, distances ", integer(c("distance_excluded")), "."],
+        ("amount_excluded", "distance_excluded"), "overview",
+    ),
+    "boroughs": Section(
+        boroughs, ("zones",), lambda r, t: first_of(t, F.desc("trips"), F.asc("borough")),
+        lambda: [c("borough"), " saw ", percent(c("share")), " of pickups."],
+        ("borough", "trips", "share"), "by_zone",
+        "Pickups in no known zone are one group.",
+    ),
+    "top_flows": Section(
+        flow_table, ("pairs",), lambda r, t: t.filter(c("rank") == 1),
+        lambda: ["The busiest pair was ", c("pickup"), " to ", c("dropoff"), ", ", integer(c("trips")), " trips."],
+        ("pickup_zone", "dropoff_zone", "trips", "share"), "flows",
+    ),
+    "quality_snapshot": Section(
+        quality_snapshot, (), lambda r, t: totals_wide(r),
+        lambda: [
+            integer(c("quarantined_rows")), " of ", integer(c("input_rows")), " rows read (",
+            percent(share(c("quarantined_rows"), c("input_rows"))), ") were quarantined.",
+        ],
+        ("input_rows", "quarantined_rows"), "quality_totals",
+        "Counts are of whole months that the range touches.",
+    ),
+    "processing": Section(
+        processing, (),
+        lambda r, t: t.agg(
+            F.count(F.lit(1)).alias("months"), F.min("duration_seconds").alias("min_seconds"),
+            F.max("duration_seconds").alias("max_seconds"),
         ),
-        "months", "min_seconds", "max_seconds",
-    )
-    counts = schema_changes(r).agg(
-        F.count_if(c("kind") == "version").alias("versions"), F.count_if(c("kind") == "drift").alias("changes")
-    )
-    found["schema"] = _finding(
-        "schema", counts,
-        F.concat(
-            F.lit("The files use "), integer(c("versions")), F.lit(" schema versions; columns changed "),
-            integer(c("changes")), F.lit(" times."),
+        lambda: [
+            integer(c("months")), " months were published, in ", display(c("min_seconds"), "seconds"), " to ",
+            display(c("max_seconds"), "seconds"), " each.",
+        ],
+        ("months", "min_seconds", "max_seconds"), "run_records",
+    ),
+    "quarantine": ranked_section(quarantine, "reason", "rows", "A row may have several reasons."),
+    "flags": ranked_section(flags, "flag", "trips", "Flagged trips are published; a trip may have several flags."),
+    "daily_flags": Section(
+        daily_flags, (),
+        lambda r, t: t.filter(c("rank") == 1).agg(
+            F.first("flag").alias("flag"), F.min("share").alias("min_share"), F.max("share").alias("max_share")
+        ).filter(c("flag").isNotNull()),
+        lambda: [
+            "The daily share of the commonest flag ran from ", percent(c("min_share")), " to ", percent(c("max_share")), ".",
+        ],
+        ("flag", "min_share", "max_share"), "daily_quality",
+        "Days without any flag are not shown.",
+    ),
+    "schema": Section(
+        schema_changes, (),
+        lambda r, t: t.agg(
+            F.count_if(c("kind") == "version").alias("versions"), F.count_if(c("kind") == "drift").alias("changes")
         ),
-        "versions", "changes",
-    )
-    return found
+        lambda: [
+            "The files use ", integer(c("versions")), " schema versions; columns changed ", integer(c("changes")), " times.",
+        ],
+        ("versions", "changes"), "schema_drift",
+    ),
+}
 
 
 def stack_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def evidence(r: ReportInput, sections: tuple[str, ...]) -> DataFrame:
-    """The findings of the given sections as rows."""
-    found = findings(r)
-    return stack_all([found[s] for s in sections if s in found])
+def plain_text(df: DataFrame, name: str) -> Column:
+    """A value as text: doubles with up to six digits, so that it is the same whatever order sums were taken in."""
+    value = c(f"`{name}`")
+    if df.schema[name].dataType.typeName() == "double":
+        return trimmed(plain(value, 6))
+    return value.cast("string")
 
 
-def section_tables(r: ReportInput) -> dict[str, DataFrame]:
-    return {
-        "trend": trend(r), "weekday": weekday(r), "hour": hour(r), "heatmap": heatmap(r), "peak_slots": peak_slots(r),
-        "top_pickup_zones": zone_table(r, "pickup"), "top_dropoff_zones": zone_table(r, "dropoff"),
-        "payment_mix": payment(r), "payment_types": payment(r),
-        "distance_distribution": distribution(r, "trip_distance"), "amount_distribution": distribution(r, "total_amount"),
-        "amount_by_hour": amount_by_hour(r), "exclusions": exclusions(r), "boroughs": boroughs(r),
-        "top_flows": flow_table(r), "quality_snapshot": quality_snapshot(r), "processing": processing(r),
-        "quarantine": quarantine(r), "flags": flags(r), "daily_flags": daily_flags(r), "schema": schema_changes(r),
-    }
+def selected(r: ReportInput, sections: Iterable[str]) -> Callable[[str], ReportInput]:
+    """What each section reads: one small written table for all that ask the trips, the report itself for the others."""
+    levels = {level for name in sections for level in SECTIONS[name].levels}
+    if not levels:
+        return lambda name: r
+    narrow = replace(r, store=r.store.narrowed(r.f, levels), f=TripFilter())
+    return lambda name: narrow if SECTIONS[name].levels else r
+
+
+def finding(r: ReportInput, name: str, table: DataFrame) -> DataFrame:
+    """A section's sentence with each value it rests on: (section, statement, position, field, value)."""
+    section = SECTIONS[name]
+    row = section.found(r, table)
+    cells = [
+        F.struct(F.lit(k + 1).alias("position"), F.lit(field).alias("field"), plain_text(row, field).alias("value"))
+        for k, field in enumerate(section.values)
+    ]
+    statement = F.concat(*[F.lit(w) if isinstance(w, str) else w for w in section.words()])
+    return row.select(F.lit(name).alias("section"), statement.alias("statement"), F.inline(F.array(*cells)))
+
+
+def evidence(r: ReportInput, sections: Sequence[str]) -> DataFrame:
+    """The findings of the given sections as rows."""
+    reads, parts = selected(r, sections), []
+    for name in sections:
+        if SECTIONS[name].found:
+            parts.append(finding(reads(name), name, SECTIONS[name].table(reads(name))))
+    return stack_all(parts)
 
 
 TIDY = ("section", "block", "row", "field", "label", "value", "unit")
 COLUMN_UNITS = {"trips": "trips", "rows": "rows", "share": "share", "combined_share": "share", "duration_seconds": "seconds"}
 
 
-def tidy_table(section: str, block: str, df: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """A section's table as (section, block, row, field, label, value, unit) rows."""
-    numbered = df.withColumn("_row", F.row_number().over(Window.orderBy(*(order or [F.col(df.columns[0])]))))
-    label = F.col(df.columns[0]).cast("string")
-    cells = [
+def tidy_cells(rows: DataFrame, section: str, block: str, row: Column, cells: list[tuple]) -> DataFrame:
+    """(field, label, value, unit) cells of each row; plain strings are constants."""
+    parts = [
         F.struct(
-            F.lit(name).alias("field"),
-            label.alias("label"),
-            F.col(name).cast("string").alias("value"),
-            F.lit(COLUMN_UNITS.get(name, "text")).alias("unit"),
+            *[
+                (F.lit(v) if v is None or isinstance(v, str) else v).cast("string").alias(k)
+                for k, v in zip(("field", "label", "value", "unit"), cell)
+            ]
         )
-        for name in df.columns
+        for cell in cells
     ]
-    return numbered.select(
-        F.lit(section).alias("section"), F.lit(block).alias("block"), F.col("_row").alias("row"), F.inline(F.array(*cells))
-    )
+    return rows.select(F.lit(section).alias("section"), F.lit(block).alias("block"), row.cast("int").alias("row"), F.inline(F.array(*parts)))
+
+
+def tidy_table(section: str, block: str, df: DataFrame) -> DataFrame:
+    """A section's table as (section, block, row, field, label, value, unit) rows, ordered by its columns."""
+    numbered = df.withColumn("_row", ranked([F.col(name) for name in df.columns]))
+    label = plain_text(df, df.columns[0])
+    cells = [(name, label, plain_text(df, name), COLUMN_UNITS.get(name, "text")) for name in df.columns]
+    return tidy_cells(numbered, section, block, c("_row"), cells)
+
+
+def tidy_head(r: ReportInput, template: str) -> list[DataFrame]:
+    """What the report is of: template, range, filters, dataset version, and the run and rows of each month."""
+    filters_used = [
+        (name, ", ".join(map(str, value)) if isinstance(value, tuple) else str(value))
+        for name, value in vars(r.f).items()
+        if name not in ("start", "end") and value not in (None, ())
+    ]
+    known = [("template", template), ("period_start", str(r.f.start)), ("period_end", str(r.f.end)), *filters_used]
+    version = quality.dataset_version(r.periods, *r.range())
+    names = [*known, ("dataset_version", c("version"))]
+    numbered = version.select("version", F.posexplode(F.array(*[F.lit(k) for k, _ in names])).alias("_at", "_name"))
+    value = F.lit(None).cast("string")
+    for k, (_, v) in enumerate(names):
+        value = F.when(c("_at") == k, F.lit(v) if isinstance(v, str) else v).otherwise(value)
+    months = r.covered_months().select(
+        F.date_format("data_period", "yyyy-MM").alias("period"), "run_id", "row_count",
+        ranked([F.asc("data_period"), F.asc("taxi_type")]).alias("_row"),
+    )
+    return [
+        tidy_cells(numbered, "report", "metadata", c("_at") + 1, [(c("_name"), c("_name"), value, "text")]),
+        tidy_cells(
+            months, "report", "dataset_version", c("_row"),
+            [("run_id", c("period"), c("run_id"), "text"), ("row_count", c("period"), c("row_count"), "rows")],
+        ),
+    ]
+
+
+def tidy_finding(rows: DataFrame, name: str, number: int) -> DataFrame:
+    """A finding as rows: its sentence, where it comes from, what to bear in mind, and each value."""
+    section = SECTIONS[name]
+    about = [("statement", name, c("statement"), "text"), ("evidence_source", name, section.source, "text")]
+    if section.caveat:
+        about.append(("caveat", name, section.caveat, "text"))
+    value = (F.concat(F.lit("evidence."), "field"), name, c("value"), "text")
+    first = tidy_cells(rows.filter(c("position") == 1), "findings", "findings", F.lit(number), about)
+    return first.unionByName(tidy_cells(rows, "findings", "findings", F.lit(number), [value]))
 
 
 def tidy_report(r: ReportInput, template: str, coverage_start: date | Column) -> DataFrame:
-    """A whole template as one tidy table: KPIs, every section's table, and every finding with its evidence."""
-    tables, found = section_tables(r), findings(r)
+    """A whole template as one tidy table: what it is of, KPIs, every section's table, every finding with its evidence.
+
+    Only the template's sections are built. Those about trips ask one small table, written when this is called, which
+    holds every grouping they need of the selection; their findings are read from their tables.
+    """
     sections = TEMPLATE_SECTIONS[template]
+    reads = selected(r, sections)
     head = quality_kpis(r) if template == "data_quality" else kpis(r, template, coverage_start)
-    parts = [tidy_table("summary", "kpis", head)]
-    parts += [tidy_table(s, s, tables[s], [F.col(c) for c in tables[s].columns]) for s in sections]
-    for s in sections:
-        if s in found:
-            parts.append(
-                found[s].select(
-                    F.lit("findings").alias("section"), F.col("section").alias("block"), F.col("position").alias("row"),
-                    F.concat(F.lit("evidence."), "field").alias("field"), F.col("statement").alias("label"), "value",
-                    F.lit("text").alias("unit"),
-                )
-            )
+    parts = [*tidy_head(r, template), tidy_table("summary", "kpis", head)]
+    number = 0
+    for name in sections:
+        table = SECTIONS[name].table(reads(name))
+        parts.append(tidy_table(name, name, table))
+        if SECTIONS[name].found:
+            number += 1
+            parts.append(tidy_finding(finding(reads(name), name, table), name, number))
     return stack_all(parts).select(*TIDY)
-
-
