@@ -32,6 +32,7 @@ from farebox.sources.zones import check_zones
 PARTITION = ("taxi_type", "data_period")
 ROWS_PER_FILE = 1_000_000  # fixed value: most rows of one curated file
 MIN_TASK_ROWS = 50_000  # below this another writing task is not worth its file
+OPEN_MONTHS = 16  # months a task has open at once where its rows are not sorted; with more of them Spark sorts the rest
 MAX_WRITE_TASKS = 20_000  # above this, tasks write several files instead of there being more tasks
 
 
@@ -136,10 +137,10 @@ def write_curated(
     """
     spread = F.xxhash64("dropoff_datetime", "pickup_location_id", "dropoff_location_id", "total_amount", "trip_distance")
     tasks = write_tasks(rows, rows_per_file, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = df.withColumn("_spread", spread).repartitionByRange(tasks, *PARTITION, "pickup_datetime", "_spread")
+    order = [*PARTITION, "pickup_datetime", spread]  # the hash is worked out at either end, not shuffled with the rows
     (
-        ranged.sortWithinPartitions(*PARTITION, "pickup_datetime", "_spread")
-        .drop("_spread")
+        df.repartitionByRange(tasks, *order)
+        .sortWithinPartitions(*order)
         .write.mode(mode)
         .partitionBy(*PARTITION)
         .option("maxRecordsPerFile", rows_per_file)
@@ -156,13 +157,23 @@ def write_partitions(df: DataFrame, path: str, rebalance: bool = True) -> None:
     execution splits a month that is too big for one task and joins those that are small.
     """
     grouped = df.hint("rebalance", *[F.col(c) for c in PARTITION]) if rebalance else df
-    (
+    writer = (
         grouped.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy(*PARTITION)
-        .parquet(path)
     )
+    if rebalance:
+        writer.parquet(path)
+        return
+    # Rows that come month by month need no sort, which would hold or spill all that a task reads; a few open months do.
+    spark, name = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_MONTHS))
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(name, before)
 
 
 def write_quarantine(annotated: DataFrame, path: str) -> None:

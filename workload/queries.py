@@ -253,7 +253,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Staged months published twice: the second run replaces, it never appends."""
     stage, target = scratch_path(spark, "stage"), scratch_path(spark, "target")
-    publish.write_curated(trips.fact(spark, sf), stage, 1_000_000)
+    publish.write_curated(written_fact(spark, sf), stage, 1_000_000)
     staged = spark.read.parquet(stage)
     publish.publish(staged, target)
     return publish.publish(staged, target)
