@@ -289,9 +289,9 @@ def _(spark, sf):
 @query("record_run")
 def _(spark, sf):
     """Run and period rows added twice; the later publication wins."""
-    root, annotated = scratch_path(spark, "runs"), trips.annotated(spark, sf)
-    records = quality.run_record(quality.run_metrics(annotated))
-    periods = quality.published_periods(clean.accepted(annotated))
+    root, annotated = scratch_path(spark, "runs"), cut(trips.annotated(spark, sf), "annotated")
+    records = cut(quality.run_record(quality.run_metrics(annotated)), "records")
+    periods = cut(quality.published_periods(clean.accepted(annotated)), "periods")
     for day in ("2020-01-01", "2020-01-02"):
         stamped = periods.withColumn("published_at", F.to_timestamp(F.lit(day)))
         publish.record_run(root, records, stamped)
