@@ -135,10 +135,35 @@ def day_set() -> Column:
     return F.bitmap_construct_agg(F.expr(f"bitmap_bit_position(datediff(pickup_date, DATE'{DAY_ONE}') + 1)"))
 
 
+MONTH, MONTH_DAYS = "_month", "_days"
+
+
+def by_month(df: DataFrame) -> DataFrame:
+    return df.withColumn(MONTH, F.trunc("pickup_date", "month"))
+
+
+def month_days() -> Column:
+    """The days of a group within one month, a bit each: 8 bytes a row, where a `day_set` of every task has 4 KB."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.dayofmonth("pickup_date"))).alias(MONTH_DAYS)
+
+
+def united_months(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows grouped by `keys` and month, with `month_days`, as rows grouped by `keys` alone with their `day_set`."""
+    first = F.coalesce(F.col("_nth"), F.lit(0)) == 0  # a row's sums count once, its days one by one
+    bits = F.filter(F.sequence(F.lit(1), F.lit(31)), lambda d: F.call_function("getbit", F.col(MONTH_DAYS), d) == 1)
+    tall = rows.select("*", F.posexplode_outer(bits).alias("_nth", "_day")).withColumn(
+        "pickup_date", F.date_add(MONTH, F.col("_day") - 1)
+    )
+    kinds = {f.name: f.dataType for f in rows.schema.fields if f.name not in (*keys, MONTH, MONTH_DAYS, "run_id")}
+    sums = [F.sum(F.when(first, F.col(n))).cast(kind).alias(n) for n, kind in kinds.items()]
+    return tall.groupBy(*keys).agg(*sums, day_set().alias("days"), F.min("run_id").alias("run_id"))
+
+
 def pair_rows(trips: DataFrame) -> DataFrame:
     """The level of zone pairs as rows like those of `level_rows`."""
-    rows = trips.groupBy(*PAIRS.keys, "data_period").agg(*measures(), day_set().alias("days"), F.min("run_id").alias("run_id"))
-    return rows.select(F.lit("pairs").alias("level"), "*")
+    keys = [*PAIRS.keys, "data_period"]
+    rows = by_month(trips).groupBy(*keys, MONTH).agg(*measures(), month_days(), F.min("run_id").alias("run_id"))
+    return united_months(rows, keys).select(F.lit("pairs").alias("level"), "*")
 
 
 def level_rows(bases: dict[str, DataFrame], chosen: Collection[str] = LEVELS) -> DataFrame:
@@ -153,7 +178,8 @@ def level_rows(bases: dict[str, DataFrame], chosen: Collection[str] = LEVELS) ->
             if not names:
                 continue
             columns = list(dict.fromkeys(k for n in names for k in LEVELS[n].keys))
-            sets = [[F.col(k) for k in (*LEVELS[n].keys, "data_period")] for n in names]
+            always = ["data_period"] if dated else ["data_period", MONTH]
+            sets = [[F.col(k) for k in (*LEVELS[n].keys, *always)] for n in names]
             sums = [F.sum("trips").alias("trips")]
             for i in LEVELS[names[0]].measures:
                 _, value, count, total = MEASURES[i]
@@ -164,10 +190,13 @@ def level_rows(bases: dict[str, DataFrame], chosen: Collection[str] = LEVELS) ->
             name = F.coalesce(*[
                 F.when(which == F.array(*[F.lit(int(k not in LEVELS[n].keys)).cast("byte") for k in columns]), F.lit(n)) for n in names
             ])
-            days = F.lit(None).cast("binary") if dated else day_set()
-            rows = bases[base].groupingSets(sets, *[F.col(k) for k in columns], F.col("data_period")).agg(
-                name.alias("level"), *sums, days.alias("days"), F.min("run_id").alias("run_id")
+            days = F.lit(None).cast("binary").alias("days") if dated else month_days()
+            table = bases[base] if dated else by_month(bases[base])
+            rows = table.groupingSets(sets, *[F.col(k) for k in (*columns, *always)]).agg(
+                name.alias("level"), *sums, days, F.min("run_id").alias("run_id")
             )
+            if not dated:
+                rows = united_months(rows, [*columns, "data_period", "level"])
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 

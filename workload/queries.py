@@ -614,7 +614,7 @@ def _(spark, sf):
 @query("agg_levels")
 def _(spark, sf):
     """Every level's rows, trips and day counts."""
-    s = store(spark, sf)
+    s = written_store(spark, sf)
     rows = rollups.level_rows({"hourly": s.hourly, "dropoff_daily": s.dropoff_daily})
     return rows.groupBy("level").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("trips").alias("trips"), F.sum("total_amount_valid_sum").alias("amount"),
