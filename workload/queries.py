@@ -587,7 +587,7 @@ def _(spark, sf):
 
 def store_with_levels(spark: SparkSession, sf_dir: str) -> TripStore:
     """The store with its levels written and measured, as a published one has them."""
-    s = store(spark, sf_dir)
+    s = written_store(spark, sf_dir)
     rows = cut(rollups.level_rows({"hourly": s.hourly, "dropoff_daily": s.dropoff_daily}), "levels")
     sizes = {r.level: r["count"] for r in rows.groupBy("level").count().collect()}
     return replace(s, levels={n: rows.where(F.col("level") == n) for n in sizes}, level_sizes=sizes)
