@@ -582,7 +582,7 @@ QUESTIONS = [
 
 @query("rollup_equals_fact")
 def _(spark, sf):
-    return questions.rollup_equals_fact(store(spark, sf), QUESTIONS)
+    return questions.rollup_equals_fact(written_store(spark, sf), QUESTIONS)
 
 
 def store_with_levels(spark: SparkSession, sf_dir: str) -> TripStore:
