@@ -534,8 +534,8 @@ def per_day(df: DataFrame) -> DataFrame:
 @query("filter_published")
 def _(spark, sf):
     """Only months whose run published at least as many rows as the average month."""
-    fact = trips.fact(spark, sf)
-    periods = quality.published_periods(fact)
+    fact = written_fact(spark, sf)
+    periods = cut(quality.published_periods(fact), "periods")
     usual = periods.agg(F.avg("row_count")).scalar()
     return per_day(filters.published_in(fact.filter(F.col("taxi_type") == "yellow"), periods.filter(F.col("row_count") >= usual)))
 
