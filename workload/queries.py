@@ -798,11 +798,12 @@ def report_input(spark, sf, f: TripFilter = Y1997, grain: str = "day") -> report
 
 def written_report_input(spark, sf) -> report.ReportInput:
     """The same over tables that are written first, as published ones are: a whole report asks them many things."""
-    s = store(spark, sf)
-    fact = cut(s.fact, "fact")
+    annotated = cut(trips.annotated(spark, sf), "annotated")
+    fact = cut(clean.accepted(annotated), "fact")
     periods = cut(quality.published_periods(fact), "periods")
-    tables = TripStore.over(fact, cut(s.zones, "zones"), periods)
-    runs, schemas = cut(run_records(spark, sf), "runs"), cut(inputs.schemas(spark, sf), "schemas")
+    tables = TripStore.over(fact, cut(trips.zones(spark, sf), "zones"), periods)
+    schemas = cut(inputs.schemas(spark, sf), "schemas")
+    runs = cut(inputs.runs(annotated, schemas), "runs")
     return report.ReportInput(tables, Y1997, periods, runs, schemas, MIN_GROUP)
 
 
