@@ -861,8 +861,14 @@ for _name, _template in {
 # ---- claims and scorecard -------------------------------------------------------------------------------------
 
 
-def all_claims(spark, sf) -> DataFrame:
-    return claims.extract_claims(inputs.claim_texts(spark, sf, store(spark, sf)))
+def store_with_hours(spark, sf) -> TripStore:
+    """The store with its hourly rollup written, from which the days are taken more than once."""
+    s = store(spark, sf)
+    return replace(s, hourly=cut(s.hourly, "hourly"))
+
+
+def all_claims(spark, sf, s: TripStore | None = None) -> DataFrame:
+    return claims.extract_claims(inputs.claim_texts(spark, sf, s or store(spark, sf)))
 
 
 query("extract_claims")(all_claims)
@@ -871,8 +877,9 @@ query("claim_candidates")(lambda spark, sf: claims.claim_candidates(inputs.claim
 
 @query("verify_claims")
 def _(spark, sf):
-    found = cut(all_claims(spark, sf), "claims")
-    return claims.verify_claims(found, cut(inputs.claim_values(store(spark, sf)), "values"))
+    s = store_with_hours(spark, sf)
+    found = cut(all_claims(spark, sf, s), "claims")
+    return claims.verify_claims(found, cut(inputs.claim_values(s), "values"))
 
 
 @query("number_groups")
