@@ -905,9 +905,10 @@ def scored(spark, sf) -> DataFrame:
 @query("grounding_rate")
 def _(spark, sf):
     """Every document, turn and report sentence as an answer, its figures checked against the results of its run."""
-    found = cut(all_claims(spark, sf), "claims")
-    checked = claims.verify_claims(found, cut(inputs.claim_values(store(spark, sf)), "values"))
-    answers = inputs.claim_texts(spark, sf, store(spark, sf)).select(
+    s = store_with_hours(spark, sf)
+    found = cut(all_claims(spark, sf, s), "claims")
+    checked = claims.verify_claims(found, cut(inputs.claim_values(s), "values"))
+    answers = inputs.claim_texts(spark, sf, s).select(
         "id", (F.col("run") % 3).alias("repeat"), F.lit("data").alias("kind"), F.lit("answered").alias("status")
     )
     return scorecard.grounding_rate(scorecard.with_figures(answers, checked), "repeat")
