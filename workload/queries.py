@@ -872,7 +872,7 @@ def all_claims(spark, sf, s: TripStore | None = None) -> DataFrame:
 
 
 query("extract_claims")(all_claims)
-query("claim_candidates")(lambda spark, sf: claims.claim_candidates(inputs.claim_values(store(spark, sf))))
+query("claim_candidates")(lambda spark, sf: claims.claim_candidates(cut(inputs.claim_values(store(spark, sf)), "values")))
 
 
 @query("verify_claims")
