@@ -12,10 +12,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """Point neighbours at the least node around each node: those above it (large), or those below and itself.
 
     `links` holds each pair once with a > b. The least neighbour is found with a partial step in each task; a hub's
-    links are then joined to it, which Spark may split over tasks.
+    links are then joined to it, which Spark may split over tasks. Files of links can be far smaller than their rows, so
+    neither side is left to be broadcast for its file's size.
     """
     around = links.union(links.select("b", "a")) if large else links
-    least = around.groupBy("a").agg(F.min("b").alias("least"))
+    least = around.groupBy("a").agg(F.min("b").alias("least")).hint("merge")
     if large:
         pointed = around.join(least, "a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"), F.col("a").alias("mid"))
         pointed = pointed.where("a > mid").select("a", "b")

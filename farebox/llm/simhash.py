@@ -110,11 +110,15 @@ def _anchored(fps: DataFrame, reach: int) -> DataFrame:
 
 
 def linked_pairs(fps: DataFrame) -> DataFrame:
-    """`a, b` with a < b: all pairs of the distinct fingerprints `fp` that differ in BITS bits or fewer."""
+    """`a, b` with a < b: all pairs of the distinct fingerprints `fp` that differ in BITS bits or fewer.
+
+    Spark sizes anchored rows by the file of fingerprints, some forty times too low, and would broadcast them; so here,
+    as in the other joins of tables that grow with the documents, the plan for large ones is asked for.
+    """
     at_home = _anchored(fps, RADIUS).withColumnRenamed("fp", "a")
     around = _anchored(fps, RADIUS + BITS // len(BLOCKS)).withColumnRenamed("fp", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
-    met = at_home.join(around, (at_home.anchor == around.anchor) & near)
+    met = at_home.join(around.hint("merge"), (at_home.anchor == around.anchor) & near)
     return met.select("a", "b").distinct()
 
 
@@ -123,10 +127,10 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = cut(fingerprints(docs), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(linked_pairs(nodes))
-    linked = nodes.join(found, nodes.fp == found.node).select("fp", "least", "root")
+    linked = nodes.join(found.hint("merge"), nodes.fp == found.node).select("fp", "least", "root")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(roots, "root").select(F.col("fp").alias("linked_fp"), "root", "component_id")
-    whole = nodes.join(linked, nodes.fp == linked.linked_fp, "left").select(
+    linked = linked.join(roots.hint("merge"), "root").select(F.col("fp").alias("linked_fp"), "root", "component_id")
+    whole = nodes.join(linked.hint("merge"), nodes.fp == linked.linked_fp, "left").select(
         "fp", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("linked_fp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
     )
@@ -144,7 +148,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     is never the least; a component of such rows alone has a null component_id.
     """
     rows, groups = _grouped(docs)
-    return rows.join(groups, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return rows.join(groups.hint("merge"), "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows, groups = _grouped(docs)
     kept = (
-        rows.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        rows.join(groups.hint("merge"), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root", "component_id").agg(F.min("fp").alias("fp"))
     )
     wanted = kept.select(F.struct(F.col("component_id").alias("id"), "fp").alias("__key__"))
@@ -169,6 +173,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     texts = docs.mapInArrow(mark, marked)
     key = F.struct(F.col(docs.columns[at_id]).alias("id"), F.col("__fp__").alias("fp"))
-    met = texts.withColumn("__key__", key).join(wanted, "__key__", "left_semi")
+    met = texts.withColumn("__key__", key).join(wanted.hint("merge"), "__key__", "left_semi")
     first = F.row_number().over(Window.partitionBy("__key__").orderBy("text"))
     return met.withColumn("__n__", first).where("__n__ = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

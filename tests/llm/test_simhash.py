@@ -76,3 +76,21 @@ def test_every_value_is_near_an_anchor(bits):
         assert (syndromes[anchors & 0x7FFF] == 0).all() and np.bitwise_count(anchors[0] ^ int(value)) <= simhash.RADIUS
         moved = int(value) ^ (1 << int(rng.integers(bits)))
         assert anchors[0] in moved ^ offsets[syndromes[moved & 0x7FFF]]
+
+
+def test_tables_that_grow_with_the_documents_are_never_broadcast(spark, monkeypatch):
+    """However small their files are: a file of fingerprints is some forty times smaller than their anchored rows."""
+    plans, cut = [], simhash.cut
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().toString())
+        return cut(df, label)
+
+    monkeypatch.setattr(simhash, "cut", noted)
+    monkeypatch.setattr(components, "cut", noted)
+    docs = spark.createDataFrame([(i, f"some text of number {i // 2}") for i in range(20)], "doc_id long, text string")
+    for made in (simhash.near_duplicates(docs), simhash.keep_one(docs)):
+        assert made.count() in (10, 20)
+        plans.append(made._jdf.queryExecution().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
