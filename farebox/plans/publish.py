@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from farebox.operators import clean, quality, rollups
 from farebox.plans.route import TripStore
 from farebox.schema import FIELD_NAMES, Rules
-from farebox.session import cut, prepare
+from farebox.session import DROP_SHUFFLES, cut, prepare, settings
 from farebox.sources import files
 from farebox.sources.mapping import map_schema
 from farebox.sources.zones import check_zones
@@ -138,7 +138,7 @@ def write_curated(
     spread = F.xxhash64("dropoff_datetime", "pickup_location_id", "dropoff_location_id", "total_amount", "trip_distance")
     tasks = write_tasks(rows, rows_per_file, df.sparkSession.sparkContext.defaultParallelism)
     order = [*PARTITION, "pickup_datetime", spread]  # the hash is worked out at either end, not shuffled with the rows
-    (
+    writer = (
         df.repartitionByRange(tasks, *order)
         .sortWithinPartitions(*order)
         .write.mode(mode)
@@ -146,8 +146,9 @@ def write_curated(
         .option("maxRecordsPerFile", rows_per_file)
         .option("compression", "zstd")
         .option("partitionOverwriteMode", "dynamic")
-        .parquet(path)
     )
+    with settings(df.sparkSession, **{DROP_SHUFFLES: "true"}):
+        writer.parquet(path)
 
 
 def write_partitions(df: DataFrame, path: str, rebalance: bool = True) -> None:
@@ -163,17 +164,10 @@ def write_partitions(df: DataFrame, path: str, rebalance: bool = True) -> None:
         .option("compression", "zstd")
         .partitionBy(*PARTITION)
     )
-    if rebalance:
-        writer.parquet(path)
-        return
     # Rows that come month by month need no sort, which would hold or spill all that a task reads; a few open months do.
-    spark, name = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(OPEN_MONTHS))
-    try:
+    unsorted = {} if rebalance else {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_MONTHS)}
+    with settings(df.sparkSession, **{DROP_SHUFFLES: "true"}, **unsorted):
         writer.parquet(path)
-    finally:
-        spark.conf.set(name, before)
 
 
 def write_quarantine(annotated: DataFrame, path: str) -> None:
@@ -343,13 +337,13 @@ def publish_normalized(
     `schemas` are the registry rows of the sources (see registry_rows). They say which fields a run's source has: only
     those count as missing or unreadable. Without them every field counts, and a run has no schema version.
 
-    The annotated trips are written once to the shared folder and read from there by every later step: the
-    cleaning shuffle runs once, and a lost executor costs a re-read, not a recomputation.
+    The annotated trips are written once to the shared folder, in order of time, and read from there by every later
+    step: the cleaning shuffle runs once, and a lost executor costs a re-read, not a recomputation.
     """
     prepare(spark)
     started, publication = time.time(), new_publication()
-    annotated = clean.annotate(clean.collapse_copies(rows), zones, rules)
-    annotated = cut(clean.with_ingest_time(annotated, ingested_at), "annotated")
+    annotated = clean.with_ingest_time(clean.annotate(clean.collapse_unordered(rows), zones, rules), ingested_at)
+    annotated = clean.ordered(cut(annotated.sortWithinPartitions(*PARTITION, "pickup_datetime"), "annotated"))
     metrics = cut(quality.run_metrics(annotated), "metrics")
     total = metrics.agg(F.sum("accepted_rows")).first()[0] or 0
     if not total:

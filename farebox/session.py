@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Wall-clock timestamps are TIMESTAMP_NTZ; casts to and from TIMESTAMP use the session zone, so it is pinned.
 PINNED = {"spark.sql.session.timeZone": "UTC"}
+# Spark's own setting: what a job has shuffled goes from the executors' disks when the job ends, not when the driver
+# happens to collect its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_FOLDERS: dict[str, str] = {}  # local tests only: one temporary folder per application
 
 
@@ -57,8 +62,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/farebox/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """These session settings for the jobs run inside; then the earlier ones again."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: a lineage cut that outlives lost executors."""
+    """Write `df` to the shared folder and read it back: a lineage cut that outlives lost executors.
+
+    What the write has shuffled is dropped when it ends, so a job of many steps takes the disk of its largest step.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with settings(df.sparkSession, **{DROP_SHUFFLES: "true"}):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from farebox.operators import clean, quality, rollups
 from farebox.plans import publish
 from farebox.plans.publish import Source, read_source
 from farebox.schema import FIELD_NAMES, SOURCE_KEYS
+from farebox.session import cut
 from workload import queries, trips
 
 
@@ -118,3 +120,50 @@ def test_store_with_hours_writes_its_hours(spark, seen):
     s = queries.store_with_hours(spark, "")
     assert seen == ["hourly"] and s.hourly.agg(F.sum("trips")).first()[0] == s.fact.count()
     assert quality.published_periods(s.fact).count() == 1
+
+
+def variant_rows(spark, month_file, failures):
+    rows = read_source(spark, Source("y-2025-01", "yellow", "2025-01", month_file, run_id="run-1"))
+    lists = spark.createDataFrame([(f,) for f in failures], "_cast_failures array<string>")
+    return rows.drop("_cast_failures").crossJoin(lists).select(*SOURCE_KEYS, *FIELD_NAMES, "_cast_failures")
+
+
+@pytest.mark.parametrize("failures", [[[]], [[], [], ["extra"], ["tip_amount"], ["extra", "tip_amount"]], [["extra"], ["fare_amount"]]])
+def test_written_trips_put_in_order_are_those_of_one_plan(spark, month_file, failures):
+    """Trips without unreadable values beside one of which a copy has some, null fields among them."""
+    some = variant_rows(spark, month_file, failures).where("trip_distance > 2")
+    rows = some.unionByName(variant_rows(spark, month_file, [[], []]).where("NOT trip_distance > 2"))
+    got = clean.ordered(cut(clean.collapse_unordered(rows), "variants"))
+    expected = clean.collapse_copies(rows)
+    assert got.schema == expected.schema or got.dtypes == expected.dtypes
+    assert sorted(map(repr, got.select(*expected.columns).collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_trips_that_are_written_are_shuffled_once(spark, capsys):
+    text = plan(trips.annotated(spark, "/root/testdata/sf0.001", False), capsys)
+    above = text[: text.index("partial_count(1)")]
+    assert above.count("Exchange hashpartitioning") == 1 and "Window" not in above
+
+
+def shuffle_files(spark) -> int:
+    return len(list(Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()).rglob("shuffle_*")))
+
+
+@pytest.mark.parametrize("write", [
+    lambda df, path: cut(df, "kept"),
+    lambda df, path: publish.write_curated(df, path, 1_000),
+    lambda df, path: publish.write_partitions(df, path),
+])
+def test_a_write_leaves_no_shuffle_files(spark, january, tmp_path, write):
+    rows = clean.accepted(january).repartition(3, "pickup_datetime")
+    before, name = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(name)
+    write(rows, str(tmp_path / "out"))
+    assert shuffle_files(spark) <= before and spark.conf.get(name) == kept
+
+
+def test_rows_of_a_file_follow_from_the_number_of_trips(spark, seen, monkeypatch):
+    given, write = [], publish.write_curated
+    monkeypatch.setattr(publish, "write_curated", lambda df, path, rows: (given.append(rows), write(df, path, rows)))
+    assert queries.QUERIES["write_curated"](spark, "").count() > 0
+    assert given == [15]

@@ -121,9 +121,9 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.normalize(rows, source_mapping(rows))
 
 
-def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annotated(spark: SparkSession, sf_dir: str, in_order: bool = True) -> DataFrame:
     rows = source_rows(spark, sf_dir)
-    return clean.clean(rows, source_mapping(rows), zones(spark, sf_dir))
+    return clean.clean(rows, source_mapping(rows), zones(spark, sf_dir), in_order=in_order)
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
