@@ -195,7 +195,7 @@ def publish(staged: DataFrame, target: str) -> DataFrame:
     spark = staged.sparkSession
     quality.require(quality.verify_stage(staged), "stage")
     write_partitions(staged, target, rebalance=False)  # staged files are already one month each, sorted
-    months = staged.select(*PARTITION).distinct()
+    months = F.broadcast(staged.select(*PARTITION).distinct())  # one small row per month
     now = spark.read.parquet(target).join(months, list(PARTITION), "left_semi")
     checked = quality.verify_published(now, staged)
     quality.require(checked, "published")

@@ -165,5 +165,6 @@ def test_a_write_leaves_no_shuffle_files(spark, january, tmp_path, write):
 def test_rows_of_a_file_follow_from_the_number_of_trips(spark, seen, monkeypatch):
     given, write = [], publish.write_curated
     monkeypatch.setattr(publish, "write_curated", lambda df, path, rows: (given.append(rows), write(df, path, rows)))
-    assert queries.QUERIES["write_curated"](spark, "").count() > 0
-    assert given == [15]
+    for name in ("write_curated", "publish_partition"):
+        assert queries.QUERIES[name](spark, "").count() > 0
+    assert given == [15, 15]

@@ -254,8 +254,8 @@ def _(spark, sf):
 @query("publish_partition")
 def _(spark, sf):
     """Staged months published twice: the second run replaces, it never appends."""
-    stage, target = scratch_path(spark, "stage"), scratch_path(spark, "target")
-    publish.write_curated(written_fact(spark, sf), stage, 1_000_000)
+    stage, target, fact = scratch_path(spark, "stage"), scratch_path(spark, "target"), written_fact(spark, sf)
+    publish.write_curated(fact, stage, fact.count())
     staged = spark.read.parquet(stage)
     publish.publish(staged, target)
     return publish.publish(staged, target)
