@@ -168,3 +168,7 @@ def test_rows_of_a_file_follow_from_the_number_of_trips(spark, seen, monkeypatch
     for name in ("write_curated", "publish_partition"):
         assert queries.QUERIES[name](spark, "").count() > 0
     assert given == [15, 15]
+
+
+def test_listed_trips_are_cleaned_once(spark, seen):
+    assert queries.QUERIES["filter_listed"](spark, "").count() > 0 and seen == ["fact"]
