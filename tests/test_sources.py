@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
+import random
 
 import pytest
 
 from conftest import source_dicts, write_csv, write_month
 from farebox.operators import registry
+from farebox.session import settings
 from farebox.sources import files, mapping, zones
 from farebox.sources.mapping import SourceError
 
@@ -165,3 +168,22 @@ def test_mapping_table_statuses(schemas):
     rows = {(r.period, r.field or r.source_column): r.status for r in mapping.schema_mapping(schemas, "period").collect()}
     assert rows[("2025-01", "vendor_id")] == "mapped" and rows[("2025-01", "pickup_datetime")] == "missing_required"
     assert rows[("2025-01", "extra")] == "unavailable"
+
+
+def test_files_are_digested_in_pieces_whatever_they_hold(spark, tmp_path):
+    """Line feeds, marks and packed names at either end, and a file of many splits. (Spark lists no empty files.)"""
+    rng = random.Random(5)
+    whole = {
+        "feed": b"\n", "feeds": b"\n\n\n", "no-feed": b"a\r\nb\rc", "ends": b"a\n", "mark": b"\xef\xbb\xbf",
+        "mark-feed": b"\xef\xbb\xbf\n", "mark-text": b"\xef\xbb\xbfab\nc", "mark-ends": b"\xef\xbb\xbfab\nc\n", "twice": b"\xef\xbb\xbf" * 2,
+        "with space.parquet": rng.randbytes(300_000), "long": b"x" * 200_000, "packed.gz": gzip.compress(b"text\n"), "not-packed.zst": b"zz\n",
+    }
+    (tmp_path / "under").mkdir()
+    for name, data in whole.items():
+        (tmp_path / "under" / name).write_bytes(data)
+    (tmp_path / "over").write_bytes(b"\n" * 300_001)
+    with settings(spark, **{"spark.sql.files.maxPartitionBytes": "40000", "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}):
+        sums = files.sha256_sums(spark, str(tmp_path), 300_000, recursive=True)
+        got = {r.file_name: r.sha256 for r in sums.collect()}
+    assert got == {name: hashlib.sha256(data).hexdigest() for name, data in whole.items()}
+    assert files.sha256_sums(spark, str(tmp_path), 300_000).count() == 0

@@ -176,13 +176,8 @@ def _(spark, sf):
     """Every table file of the folder against pins taken from two of them, one wrong, and one file not there."""
     most = 1 << 30  # the limit below; a pin is never compared where the file is over it, so none is taken there
 
-    def file_name() -> Column:
-        return F.element_at(F.split("path", "/"), -1).alias("file_name")
-
-    found = spark.read.format("binaryFile").load(f"{sf}/*.parquet").select(file_name())
-    digest = spark.read.format("binaryFile").load(f"{sf}/orders.parquet").filter(F.col("length") <= most).select(
-        file_name(), F.sha2("content", 256).alias("sha")
-    )
+    found = spark.read.format("binaryFile").load(f"{sf}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    digest = files.sha256_sums(spark, f"{sf}/orders.parquet", most).withColumnRenamed("sha256", "sha")
     names = found.join(digest, "file_name", "left")
     pin = F.when(F.col("file_name") == "orders.parquet", F.col("sha")).when(
         F.col("file_name") == "lineitem.parquet", F.lit("0" * 64)
