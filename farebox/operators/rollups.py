@@ -43,6 +43,26 @@ def rollup(fact: DataFrame, keys: tuple[str, ...], aggregates: list[Column]) ->
     return fact.groupBy(*keys, "data_period").agg(*aggregates, F.min("run_id").alias("run_id"))
 
 
+class Runs:
+    """The runs of a table by number, in the order of their ids. The least number of a group is kept in place as rows come
+    in; the least text isn't, and Spark would sort all rows by their groups for it."""
+
+    def __init__(self, df: DataFrame) -> None:
+        found = df.select("run_id").distinct().where(F.col("run_id").isNotNull()).collect()  # one or a few per month
+        ids = sorted((r.run_id for r in found), key=str.encode)
+        self.table = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(ids)), "_nth_run int, _run string"))
+
+    def _put(self, df: DataFrame, old: str, new: str) -> DataFrame:
+        joined = df.join(self.table, F.col("run_id") == F.col(old), "left")
+        return joined.select(*[F.col(new).alias(c) if c == "run_id" else F.col(f"`{c}`") for c in df.columns])
+
+    def numbered(self, df: DataFrame) -> DataFrame:
+        return self._put(df, "_run", "_nth_run")
+
+    def named(self, df: DataFrame) -> DataFrame:
+        return self._put(df, "_nth_run", "_run")
+
+
 def agg_hourly(fact: DataFrame) -> DataFrame:
     return rollup(fact, HOURLY_KEYS, measures())
 

@@ -289,14 +289,16 @@ def read_publications(spark: SparkSession, root: str, table: str, months: dict[s
 
 def build_rollups(fact: DataFrame, root: str, publication: str) -> dict[str, DataFrame]:
     """The four rollups of the given trips under a publication, and the levels made of them, read back as written."""
-    spark = fact.sparkSession
+    spark, runs = fact.sparkSession, rollups.Runs(fact)
     frames = {}
     for name, build in rollups.ROLLUPS.items():
-        write_partitions(build(fact), folder(root, name, publication))
+        write_partitions(runs.named(build(runs.numbered(fact))), folder(root, name, publication))
         written = read_table(spark, folder(root, name, publication))
         frames[name] = spark.createDataFrame([], SPARSE[name]).drop("publication") if written is None else written
-    levels = rollups.level_rows(frames).hint("rebalance", F.col("level"))  # few rows, so one folder per level, not month
-    levels.write.option("compression", "zstd").partitionBy("level").parquet(folder(root, "levels", publication))
+    levels = runs.named(rollups.level_rows({n: runs.numbered(f) for n, f in frames.items()}))
+    levels = levels.hint("rebalance", F.col("level"))  # few rows, so one folder per level, not month
+    with settings(spark, **{DROP_SHUFFLES: "true"}):
+        levels.write.option("compression", "zstd").partitionBy("level").parquet(folder(root, "levels", publication))
     return frames
 
 
@@ -375,7 +377,8 @@ def publish_normalized(
             "completed_at": F.current_timestamp(),
         }
     )
-    periods = quality.published_periods(fact).withColumns(
+    runs = rollups.Runs(fact)
+    periods = runs.named(quality.published_periods(runs.numbered(fact))).withColumns(
         {
             "publication": F.lit(publication),
             "rollup_publication": F.lit(publication),

@@ -172,3 +172,19 @@ def test_rows_of_a_file_follow_from_the_number_of_trips(spark, seen, monkeypatch
 
 def test_listed_trips_are_cleaned_once(spark, seen):
     assert queries.QUERIES["filter_listed"](spark, "").count() > 0 and seen == ["fact"]
+
+
+def test_rollups_and_levels_are_hashed_not_sorted(spark, january, tmp_path, monkeypatch):
+    """The least run of a group is kept as a number; runs come back by name, missing ones too."""
+    fact = clean.accepted(january).withColumn("run_id", F.when(F.col("pickup_hour") < 9, "b").when(F.col("pickup_hour") < 12, "a"))
+    fact, plans, write = cut(fact, "fact"), [], publish.write_partitions
+    noted = lambda df, path: (plans.append(df._jdf.queryExecution().toString()), write(df, path))
+    monkeypatch.setattr(publish, "write_partitions", noted)
+    frames = publish.build_rollups(fact, str(tmp_path), "p1")
+    assert len(plans) == len(rollups.ROLLUPS) and all("HashAggregate" in p and "SortAggregate" not in p for p in plans)
+    for name, build in rollups.ROLLUPS.items():
+        expected, got = build(fact), frames[name]
+        assert sorted(map(repr, got.select(*expected.columns).collect())) == sorted(map(repr, expected.collect()))
+    levels = spark.read.parquet(f"{tmp_path}/levels/publication=p1")
+    plain = rollups.level_rows(frames).select(*levels.columns)
+    assert sorted(map(repr, levels.collect())) == sorted(map(repr, plain.collect())) and levels.where("run_id = 'a'").count()
