@@ -39,3 +39,13 @@ def test_stages(spark, model_path):
 
 def test_one_query_per_operator():
     assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_the_near_duplicate_stage_broadcasts_nothing(spark, monkeypatch):
+    """What it joins grows with the documents; the pipeline's driver isn't sized for it."""
+    plans, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, label: (plans.append(df._jdf.queryExecution().toString()), cut(df, label))[1])
+    docs = table(spark, SMALL, "documents").limit(30)
+    kept = cp.drop_near_duplicates(spark, docs, SMALL)
+    plans.append(kept._jdf.queryExecution().toString())
+    assert 0 < kept.count() <= 30 and not [p for p in plans if "BroadcastHashJoin" in p]
