@@ -129,7 +129,8 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = components(linked_pairs(nodes))
     linked = nodes.join(found.hint("merge"), nodes.fp == found.node).select("fp", "least", "root")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(roots.hint("merge"), "root").select(F.col("fp").alias("linked_fp"), "root", "component_id")
+    # No plan is asked for here: Spark knows the size of what was shuffled, and a large group's rows needn't meet in a task.
+    linked = linked.join(roots, "root").select(F.col("fp").alias("linked_fp"), "root", "component_id")
     whole = nodes.join(linked.hint("merge"), nodes.fp == linked.linked_fp, "left").select(
         "fp", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("linked_fp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
